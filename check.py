@@ -20,14 +20,14 @@ def main() -> int:
     for name, (query, sql) in load().items():
         if args and name not in args:
             continue
-        start = time.time()
+        start, seen = time.time(), []
         try:
-            diff = compare(spark, con, sf_dir, query, sql) if sql else f"rows only: {query(spark, sf_dir).count()}"
+            diff = compare(spark, con, sf_dir, query, sql, seen) if sql else f"rows only: {query(spark, sf_dir).count()}"
         except Exception as e:
             diff = "".join(traceback.format_exception_only(e))[:1500]
         ok = diff is None or diff.startswith("rows only")
         bad += not ok
-        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.2f}s {diff or ''}", flush=True)
+        print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - start:.2f}s rows={seen} {diff or ''}", flush=True)
         spark.catalog.clearCache()
     print(f"{bad} failed")
     return bad

@@ -16,7 +16,8 @@ ARTICLE_FIELDS = ["article_text", "posting_time", "media_outlet", "inferred_acto
                   "tone", "target_country", "URL", "confidence", "lang_detect", "use_afrolm", "llm_strat",
                   "llm_strat_conf", "llm_strat_notes", "pseudo_kept", "pseudo_weight", "llm_strat_id",
                   "strategic_intent_id"]
-ENCODINGS = ("utf-8", "latin-1", "windows-1252", "iso-8859-1")
+# every byte is valid in iso-8859-1, so nothing after it could ever be chosen
+ENCODINGS = ("utf-8", "iso-8859-1")
 
 
 def read_text_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:

@@ -36,16 +36,19 @@ def normal(columns, rows):
     return [columns[i] for i in order], sorted((tuple(cell(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(spark, con, sf_dir: str, query, sql: str) -> str | None:
+def compare(spark, con, sf_dir: str, query, sql: str, seen: list | None = None) -> str | None:
     """None when equal, else what differs."""
     df = query(spark, sf_dir)
     got_cols, got = normal(df.columns, [tuple(r) for r in df.collect()])
+    if seen is not None:
+        seen.append(len(got))
     res = con.execute(sql)
     want_cols, want = normal([c[0] for c in res.description], res.fetchall())
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if got != want:
-        missing = [r for r in want if r not in set(got)][:3]
-        extra = [r for r in got if r not in set(want)][:3]
+        have, need = set(got), set(want)
+        missing = [r for r in want if r not in have][:3]
+        extra = [r for r in got if r not in need][:3]
         return f"rows {len(got)} vs {len(want)}; only in SQL {missing}; only in Spark {extra}"
     return None
