@@ -15,7 +15,7 @@ CLEAN = f"""
 
 def overview_panel(name, country=None, actor=None, intent=None, page=1):
     def run(spark, d):
-        return reports.overview(view(spark, d, "articles"), view(spark, d, "idx"), country, actor, intent, page, keep=False)[name]
+        return reports.overview(view(spark, d, "articles"), view(spark, d, "idx"), country, actor, intent, page)[name]
 
     return run
 

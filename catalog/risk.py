@@ -93,8 +93,7 @@ def derived_factors(spark, d):
 SELECT actor, country, round(debt, 4) AS debt, round(res, 6) AS res, round(mil, 6) AS mil, round(disinfo, 6) AS disinfo,
   round(elec, 6) AS elec, round(lgbtq, 6) AS lgbtq FROM wide""", "exposure", "profile"))
 def _(spark, d):
-    exposure = view(spark, d, "exposure")
-    grid = R.exposure_grid(exposure, exposure, view(spark, d, "profile"))
+    grid = R.exposure_grid(view(spark, d, "exposure"), view(spark, d, "profile"))
     return grid.select("actor", "country", F.round("debt", 4).alias("debt"),
                        *[F.round(c, 6).alias(c) for c in ("res", "mil", "disinfo", "elec", "lgbtq")])
 

@@ -7,6 +7,7 @@ from catalog.views import low_any, oracle, table, view
 from swaymeter import fixed_values as V
 from swaymeter.functions import text as X
 from swaymeter.operators import html
+from swaymeter.sources.readers import spread
 
 SP = r"[\s\p{Z}]"
 TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -201,13 +202,13 @@ SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'Neutral' WHEN 5 THEN 'Neutral' E
   CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN '' WHEN 2 THEN 'Extracted via Regex from block' WHEN 3 THEN 'Extracted via Regex'
     WHEN 4 THEN 'loose' ELSE '' END AS notes FROM r""")
 def _(spark, d):
-    replies = spark.sql(REPLIES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {e}"), e=table(spark, d, "events"))
+    replies = spark.sql(REPLIES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {e}"), e=spread(table(spark, d, "events")))
     return replies.withColumn("p", X.parse_reply("reply")).select("event_id", "p.intent", "p.conf", "p.notes")
 
 
 # every page with authors and images of several forms put in front of its own markup
 def marked_pages(spark, d):
-    return spark.sql(MARKED.replace("FROM pages", "FROM {p}"), p=table(spark, d, "pages"))
+    return spark.sql(MARKED.replace("FROM pages", "FROM {p}"), p=spread(table(spark, d, "pages")))
 
 
 MARKED = """

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from swaymeter.sources.readers import spread
+
 FACTS = """
 SELECT event_id AS id,
   CASE WHEN event_id % 29 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) END AS posting_time,
@@ -49,6 +51,7 @@ LEAD = """CASE f.id % 12
     WHEN 0 THEN 'Football match report' || chr(10)
     WHEN 1 THEN 'By Ana Oneil' || chr(10) || 'Published 15/04/2025' || chr(10)
       || 'Senegal port trade deal signed with Chinese investors' || chr(10)
+    WHEN 2 THEN 'Talks in ' || COALESCE(f.target_country, 'Africa') || ' go on' || chr(10)
     WHEN 3 THEN 'Chinese military base in Ethiopia draws protest' || chr(10)
     WHEN 4 THEN 'April 15, 2025 - Kremlin envoy visits Kinshasa' || chr(10)
     WHEN 5 THEN 'Medical health project opens in Dakar' || chr(10)
@@ -163,7 +166,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         pattern = rf"\b(FROM|JOIN) {base}\b"
         if re.search(pattern, whole):
             whole = re.sub(pattern, rf"\1 {{t_{base}}}", whole)
-            frames[f"t_{base}"] = table(spark, sf_dir, base)
+            frame = table(spark, sf_dir, base)
+            frames[f"t_{base}"] = spread(frame) if name == "articles" and base == "events" else frame
     return spark.sql(whole, **frames)
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from functools import reduce
+from collections.abc import Callable, Iterable, Mapping
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +24,23 @@ def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+# The characters that count as whitespace
+WHITESPACE = ("\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004"
+              "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c: ColumnOrName) -> Column:
     """Trim every kind of Unicode whitespace at both ends."""
-    return F.regexp_replace(col(c), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.btrim(col(c), F.lit(WHITESPACE))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with `value` computed once, however often `use` mentions it.
+
+    Worth it where the value is costly (case folding of a whole text, parsing) or where
+    repeating it would blow up the generated code.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def missing(c: ColumnOrName) -> Column:
@@ -60,16 +75,63 @@ def shortest_terms(terms: Iterable[str]) -> list[str]:
 def contains_any(c: ColumnOrName, terms: Iterable[str]) -> Column:
     """True if the text holds one of the terms, ignoring case. NULL text gives NULL.
 
-    The upper-cased text is bound once (a one-element `transform`), so the case fold
-    is not repeated for each term; OR stops at the first hit.
+    The text is folded once and OR stops at the first hit. Long lists go through one
+    automaton pass instead of one search per term.
     """
     words = shortest_terms(terms)
     if not words:
         return F.lit(False)
     if len(words) == 1:
         return icontains(c, words[0])
-    folded = F.array(F.upper(col(c)))
-    return F.transform(folded, lambda t: any_of(F.contains(t, F.lit(w)) for w in words))[0]
+    if len(words) > AUTOMATON_TERMS and has_automaton():
+        return F.size(term_hits(F.upper(col(c)), words, first_only=True)) > 0
+    return bind(F.upper(col(c)), lambda t: any_of(F.contains(t, F.lit(w)) for w in words))
+
+
+# measured on 190 MB of text: one search per term costs about 0.6 s per term and core, one
+# automaton pass about 6 s per core for any number of terms, the trip to Python included
+AUTOMATON_TERMS = 40
+
+
+def has_automaton() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
+def term_hits(text: Column, terms: Iterable[str], first_only: bool = False) -> Column:
+    """Positions (in `terms`) of the terms inside the text, in order; NULL for a NULL text.
+
+    Runs as an Arrow-batched function; the automaton is built once per Python worker.
+    """
+    terms = tuple(terms)
+
+    @F.pandas_udf("array<int>")
+    def hits(texts: pd.Series) -> pd.Series:
+        find = automaton(terms)
+        return pd.Series([None if t is None else find(t, first_only) for t in texts], dtype=object)
+
+    return hits(text)
+
+
+@lru_cache(maxsize=8)
+def automaton(terms: tuple[str, ...]) -> Callable[[str, bool], list[int]]:
+    import ahocorasick
+
+    machine = ahocorasick.Automaton()
+    for i, term in enumerate(terms):
+        machine.add_word(term, i)
+    machine.make_automaton()
+
+    def find(text: str, first_only: bool) -> list[int]:
+        if first_only:
+            hit = next(machine.iter(text), None)
+            return [] if hit is None else [hit[1]]
+        return sorted({i for _, i in machine.iter(text)})
+
+    return find
 
 
 def lower_contains_any(c: ColumnOrName, terms: Iterable[str]) -> Column:

@@ -6,16 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import (ColumnOrName, any_of, blank_to_null, col, first_match, look_up,
+from swaymeter.functions.base import (ColumnOrName, any_of, bind, blank_to_null, col, first_match, look_up,
                                       lower_contains_any, missing, strip, title_case)
 
 
 def canonical_intent(raw: ColumnOrName, title: ColumnOrName | None = None) -> Column:
     """Display name of a raw intent, else the intent the title words point at, else NULL."""
-    key = F.lower(strip(raw))
-    mapped = look_up(key, V.intent_aliases("display"))
+    mapped = look_up(F.lower(strip(raw)), V.intent_aliases("display"))
     if title is not None:
-        recovered = first_match(F.lower(col(title)), V.TITLE_FUNNELS, F.lit(None).cast("string"))
+        recovered = bind(F.lower(col(title)), lambda t: first_match(t, V.TITLE_FUNNELS, F.lit(None).cast("string")))
         mapped = F.coalesce(mapped, F.when(~missing(title), recovered))
     return F.when(~missing(raw), mapped)
 
@@ -27,13 +26,15 @@ def contextual_intent(raw: ColumnOrName) -> Column:
     round, then the word funnels. A blank-only label is inside every name and so
     becomes the first one.
     """
+    def from_words(key: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for name in V.INTENTS:
+            low = F.lit(name.lower())
+            out = out.when(F.contains(key, low) | F.contains(low, key), F.lit(name))
+        return out.otherwise(first_match(key, V.CONTEXT_FUNNELS, F.lit("Other")))
+
     key = F.lower(strip(raw))
-    either_way = F.when(F.lit(False), F.lit(""))
-    for name in V.INTENTS:
-        low = F.lit(name.lower())
-        either_way = either_way.when(F.contains(key, low) | F.contains(low, key), F.lit(name))
-    fuzzy = either_way.otherwise(first_match(key, V.CONTEXT_FUNNELS, F.lit("Other")))
-    return F.when(~missing(raw), F.coalesce(look_up(key, V.intent_aliases("context")), fuzzy))
+    return F.when(~missing(raw), F.coalesce(look_up(key, V.intent_aliases("context")), bind(key, from_words)))
 
 
 def score_intent(raw: ColumnOrName) -> Column:
@@ -58,13 +59,14 @@ def clean_intent(raw: ColumnOrName) -> Column:
 
 
 def actor_from_outlet(outlet: ColumnOrName) -> Column:
-    found = first_match(F.lower(col(outlet)), V.OUTLET_ACTOR_RULES, F.lit("Unknown"))
+    found = bind(F.lower(col(outlet)), lambda t: first_match(t, V.OUTLET_ACTOR_RULES, F.lit("Unknown")))
     return F.when(missing(outlet), F.lit("Unknown")).otherwise(found)
 
 
 def _first_entity_actor(entities: Column, rules) -> Column:
     """Actor of the first list element that matches any rule."""
-    per_item = F.transform(entities, lambda e: first_match(F.lower(e), rules, F.lit(None).cast("string")))
+    low = F.transform(entities, F.lower)
+    per_item = F.transform(low, lambda e: first_match(e, rules, F.lit(None).cast("string")))
     return F.try_element_at(F.filter(per_item, lambda a: a.isNotNull()), F.lit(1))
 
 
@@ -76,8 +78,7 @@ def actor_from_content(text: ColumnOrName, organisations: ColumnOrName | None =
         options.append(_first_entity_actor(col(organisations), V.ORGANISATION_ACTOR_RULES))
     if persons is not None:
         options.append(_first_entity_actor(col(persons), V.PERSON_ACTOR_RULES))
-    folded = F.array(F.lower(col(text)))
-    options.append(F.transform(folded, lambda t: first_match(t, V.TEXT_ACTOR_RULES, F.lit("Unknown")))[0])
+    options.append(bind(F.lower(col(text)), lambda t: first_match(t, V.TEXT_ACTOR_RULES, F.lit("Unknown"))))
     return F.coalesce(*options, F.lit("Unknown"))
 
 

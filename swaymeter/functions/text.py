@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import ColumnOrName, any_of, blank_to_null, col, missing, strip
+from swaymeter.functions.base import WHITESPACE, ColumnOrName, any_of, bind, blank_to_null, col, missing, strip
 
 ELLIPSIS = "…"
 STORY_FORMATS = ("MM/dd/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm")
@@ -20,20 +20,28 @@ def model_input(text: ColumnOrName, size: int = 4000) -> Column:
     return F.substring(strip(F.coalesce(col(text), F.lit(""))), 1, size)
 
 
-def non_blank_lines(text: ColumnOrName) -> Column:
-    lines = F.transform(F.split(col(text), r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"), strip)
-    return F.filter(lines, lambda x: x != "")
+LINE_BREAK = r"[\s\p{Z}]*[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029][\s\p{Z}\u001C-\u001F\u0085]*"
+BLANKS = r"[\s\p{Z}\u001C-\u001F\u0085]+"
 
 
-def words(text: ColumnOrName) -> Column:
-    return F.filter(F.split(col(text), r"[\s\p{Z}]+"), lambda w: w != "")
+def _first_parts(text: ColumnOrName, pattern: str, n: int) -> Column:
+    """First n parts between separators, and the rest of the text as part n + 1, if any.
 
+    The split stops after n separators, so a long text costs no more than its start.
+    """
+    parts = F.split(F.ltrim(col(text), F.lit(WHITESPACE)), pattern, n + 1)
+    return F.filter(parts, lambda x: x != "")
+
+
+def first_lines(text: ColumnOrName, n: int) -> Column:
+    """The first n lines that are not blank, without outer whitespace."""
+    return F.transform(F.slice(_first_parts(text, LINE_BREAK, n), 1, n), strip)
 
-def truncate_words(text: ColumnOrName, n: int) -> Column:
+
+def truncate_words(text: ColumnOrName, n: int, mark: str = " " + ELLIPSIS) -> Column:
     """First `n` words, with an ellipsis if there were more."""
-    w = words(text)
-    head = F.array_join(F.slice(w, 1, n), " ")
-    return F.when(F.size(w) > n, F.concat(head, F.lit(" " + ELLIPSIS))).otherwise(F.array_join(w, " "))
+    return bind(_first_parts(text, BLANKS, n), lambda w: F.when(
+        F.size(w) > n, F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(mark))).otherwise(F.array_join(w, " ")))
 
 
 METADATA_LINE = r"(?i)^(?:By|On|Updated|Source:|Published|https?://|.*\d{4})"
@@ -41,29 +49,28 @@ METADATA_LINE = r"(?i)^(?:By|On|Updated|Source:|Published|https?://|.*\d{4})"
 
 def display_title(text: ColumnOrName) -> Column:
     """First of three lines that reads like a title, else the first 20 words."""
-    lines = non_blank_lines(text)
-    candidates = F.filter(F.slice(lines, 1, 3),
-                          lambda x: ~x.rlike(METADATA_LINE) & F.length(x).between(5, 250))
-    w = words(text)
-    first20 = F.array_join(F.slice(w, 1, 20), " ")
-    fallback = F.when(F.size(w) > 20, F.concat(first20, F.lit("..."))).otherwise(first20)
-    return (F.when(missing(text), F.lit("No Content Available"))
-            .when(F.size(lines) == 0, F.lit("Empty Article"))
-            .otherwise(F.coalesce(F.try_element_at(candidates, F.lit(1)), fallback)))
+    def title(lines: Column) -> Column:
+        candidates = F.filter(lines, lambda x: F.length(x).between(5, 250) & ~x.rlike(METADATA_LINE))
+        return F.when(F.size(lines) == 0, F.lit("Empty Article")).otherwise(F.try_element_at(candidates, F.lit(1)))
+
+    return F.when(missing(text), F.lit("No Content Available")).otherwise(
+        F.coalesce(bind(first_lines(text, 3), title), truncate_words(text, 20, "...")))
 
 
 def simple_title(text: ColumnOrName, size: int = 100) -> Column:
-    line = F.try_element_at(non_blank_lines(text), F.lit(1))
+    line = F.try_element_at(first_lines(text, 1), F.lit(1))
     return F.coalesce(F.substring(line, 1, size), F.lit("No Title Available"))
 
 
 def display_summary(text: ColumnOrName, size: int = 500) -> Column:
     """Whole text when short, else cut at the last blank before `size`."""
-    flat = strip(F.replace(col(text), F.lit("\n"), F.lit(" ")))
-    head = F.substring(flat, 1, size)
-    to_blank = F.regexp_extract(head, r"(?s)^(.*) ", 1)
-    cut = F.when(F.length(to_blank) > 0, to_blank).otherwise(head)
-    return F.when(F.length(flat) > size, F.concat(cut, F.lit(ELLIPSIS))).otherwise(flat)
+    def shorten(flat: Column) -> Column:
+        head = F.substring(flat, 1, size)
+        to_blank = F.regexp_extract(head, r"(?s)^(.*) ", 1)
+        cut = F.when(F.length(to_blank) > 0, to_blank).otherwise(head)
+        return F.when(F.length(flat) > size, F.concat(cut, F.lit(ELLIPSIS))).otherwise(flat)
+
+    return bind(strip(F.replace(col(text), F.lit("\n"), F.lit(" "))), shorten)
 
 
 def narrative_summary(notes: ColumnOrName, strategy: ColumnOrName, intent: ColumnOrName,
@@ -96,9 +103,9 @@ def summary_guard(text: ColumnOrName, size: int = 200) -> Column:
 
 def detect_french(text: ColumnOrName) -> Column:
     """`fr` if more than 3 of the French words stand alone in the first 512 characters, else `en`."""
-    padded = F.array(F.concat(F.lit(" "), F.substring(F.lower(F.coalesce(col(text), F.lit(""))), 1, 512), F.lit(" ")))
-    hits = F.transform(padded, lambda t: sum(
-        (F.contains(t, F.lit(f" {w} ")).cast("int") for w in V.FRENCH_WORDS), F.lit(0)))[0]
+    head = F.substring(F.lower(F.substring(F.coalesce(col(text), F.lit("")), 1, 512)), 1, 512)
+    hits = bind(F.concat(F.lit(" "), head, F.lit(" ")), lambda t: sum(
+        (F.contains(t, F.lit(f" {w} ")).cast("int") for w in V.FRENCH_WORDS), F.lit(0)))
     return F.when(hits > 3, F.lit("fr")).otherwise(F.lit("en"))
 
 
@@ -218,19 +225,23 @@ def parse_reply(reply: ColumnOrName) -> Column:
     """
     raw = strip(reply)
     blocks = F.regexp_extract_all(raw, F.lit(r"(?s)(\{.*?\})"), F.lit(1))
-    has_block = F.size(blocks) > 0
-    source = F.when(has_block, F.try_element_at(blocks, F.lit(-1))).otherwise(raw)
-    parsed = F.from_json(source, REPLY_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    # json_object_keys is NULL unless the text is one valid JSON object
-    valid = F.json_object_keys(source).isNotNull()
+    last = F.try_element_at(blocks, F.lit(-1))
+    return bind(F.struct(F.coalesce(last, raw).alias("text"), last.isNotNull().alias("is_block")), _read_reply)
+
+
+def _read_reply(found: Column) -> Column:
+    source = found["text"]
 
     def field(pattern: str) -> Column:
-        hit = F.regexp_extract_all(source, F.lit(pattern), F.lit(1))
-        return F.try_element_at(hit, F.lit(1))
-
-    fallback_notes = F.when(has_block, F.lit("Extracted via Regex from block")).otherwise(F.lit("Extracted via Regex"))
-    intent = F.coalesce(F.when(valid, parsed["strategic_intent"]).otherwise(field(INTENT_FIELD)), F.lit("Neutral"))
-    conf = F.coalesce(F.when(valid, parsed["strategic_intent_conf"]).otherwise(field(CONF_FIELD)).try_cast("double"),
-                      F.lit(0.0))
-    notes = F.when(valid, F.coalesce(parsed["notes"], F.lit(""))).otherwise(F.coalesce(field(NOTES_FIELD), fallback_notes))
-    return F.struct(intent.alias("intent"), conf.alias("conf"), notes.alias("notes"))
+        return F.try_element_at(F.regexp_extract_all(source, F.lit(pattern), F.lit(1)), F.lit(1))
+
+    def answer(intent: Column, conf: Column, notes: Column) -> Column:
+        return F.struct(F.coalesce(intent, F.lit("Neutral")).alias("intent"),
+                        F.coalesce(conf.try_cast("double"), F.lit(0.0)).alias("conf"), notes.alias("notes"))
+
+    no_notes = F.when(found["is_block"], F.lit("Extracted via Regex from block")).otherwise(F.lit("Extracted via Regex"))
+    loose = answer(field(INTENT_FIELD), field(CONF_FIELD), F.coalesce(field(NOTES_FIELD), no_notes))
+    strict = bind(F.from_json(source, REPLY_SCHEMA), lambda p: answer(
+        p["strategic_intent"], p["strategic_intent_conf"], F.coalesce(p["notes"], F.lit(""))))
+    # json_object_keys is NULL unless the text is one valid JSON object
+    return F.when(F.json_object_keys(source).isNotNull(), strict).otherwise(loose)

@@ -37,9 +37,13 @@ def distinct_values(c: ColumnOrName) -> Column:
 
 
 def breadth(df: DataFrame, key: str) -> DataFrame:
-    """Articles, countries and actors per key, and the total over all keys."""
-    per_key = df.groupBy(key).agg(
-        F.count("*").alias("count"),
+    """Articles, countries and actors per key, and the total over all keys.
+
+    Distinct values are counted on the small table of combinations, not on the articles.
+    """
+    combos = count_by(df, key, "target_country", "inferred_actor", name="_n")
+    per_key = combos.groupBy(key).agg(
+        F.sum("_n").alias("count"),
         F.count_distinct("target_country").alias("countries"),
         F.count_distinct("inferred_actor").alias("actors"))
     return per_key.withColumn("total", df.agg(F.count("*")).scalar())
@@ -101,14 +105,14 @@ def author_stats(df: DataFrame, min_articles: int = 1) -> DataFrame:
 
 
 def relative_to_max(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Value over the largest one of its group; 0 where that is not positive."""
+    """Value over the largest one of its group; 0 where that is not positive. For groups of any size."""
     top = df.groupBy(*keys).agg(F.max(value).alias("_max"))
     ratio = F.when(F.col("_max") > 0, F.col(value) / F.col("_max")).otherwise(F.lit(0.0))
     return df.join(top, list(keys), "left").withColumn(name, ratio).drop("_max")
 
 
 def weight_in_group(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Value over the group's sum; equal weights where the sum is 0."""
+    """Value over the group's sum; equal weights where the sum is 0. For groups of any size."""
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"), F.count("*").alias("_n"))
     weight = F.when(F.col("_sum") == 0, F.lit(1.0) / F.col("_n")).otherwise(F.col(value) / F.col("_sum"))
     return df.join(sums, list(keys), "left").withColumn(name, weight).drop("_sum", "_n")

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import (ColumnOrName, all_of, any_of, col, contains_any, icontains, iexact, missing,
-                                      not_in, present, strip, to_day)
+from swaymeter.functions.base import (ColumnOrName, all_of, any_of, bind, col, contains_any, icontains, iexact,
+                                      lower_contains_any, missing, not_in, present, strip)
 from swaymeter.functions.text import is_corrupt
 
 
@@ -145,12 +145,13 @@ def search(query: str, *columns: ColumnOrName) -> Column:
     return any_of(F.coalesce(icontains(c, query), F.lit(False)) for c in columns) if query else F.lit(True)
 
 
+def _stem(term: str) -> str:
+    return term.rstrip("*").strip().lower()
+
+
 def _term_regex(terms: Iterable[str]) -> str:
     """One word-bounded alternation; a trailing `*` leaves the word open to the right."""
-    parts = []
-    for t in terms:
-        stem = t.rstrip("*").strip().lower()
-        parts.append(re.escape(stem) + ("" if t.endswith("*") else r"(?![\p{L}\p{N}_])"))
+    parts = [re.escape(_stem(t)) + ("" if t.endswith("*") else r"(?![\p{L}\p{N}_])") for t in terms]
     return r"(?<![\p{L}\p{N}_])(?:" + "|".join(parts) + ")"
 
 
@@ -158,16 +159,20 @@ def keyword_query(text: ColumnOrName, all_groups: Iterable[Iterable[str]],
                   none_of: Iterable[str] = ()) -> Column:
     """A word of every group occurs in the text, and none of the forbidden ones.
 
-    One regular expression per group, so each group costs one pass over the text.
+    A plain search for the words comes before the regular expression that checks the word
+    bounds, so texts without any of the words never reach it.
     """
-    folded = F.array(F.lower(col(text)))
     none_of = list(none_of)
 
+    def has(t: Column, terms: Iterable[str]) -> Column:
+        terms = list(terms)
+        return lower_contains_any(t, [_stem(w) for w in terms]) & t.rlike(_term_regex(terms))
+
     def check(t: Column) -> Column:
-        hit = all_of(t.rlike(_term_regex(g)) for g in all_groups)
-        return hit & ~t.rlike(_term_regex(none_of)) if none_of else hit
+        hit = all_of(has(t, g) for g in all_groups)
+        return hit & ~has(t, none_of) if none_of else hit
 
-    return F.coalesce(F.transform(folded, check)[0], F.lit(False))
+    return F.coalesce(bind(F.lower(col(text)), check), F.lit(False))
 
 
 def tuple_tone(c: ColumnOrName = "tone") -> Column:
@@ -186,7 +191,3 @@ def lacks_author(author: ColumnOrName = "author", url: ColumnOrName = "url", inc
 
 def corrupt(text: ColumnOrName = "article_text") -> Column:
     return is_corrupt(text)
-
-
-def on_day(c: ColumnOrName) -> Column:
-    return to_day(c)

@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swaymeter.functions.base import ColumnOrName, col, missing
@@ -29,11 +29,9 @@ def softmax_array(logits: ColumnOrName) -> Column:
 
 def softmax_long(scores: DataFrame, keys: Sequence[str] = ("article_id", "model")) -> DataFrame:
     """Adds `prob` to a long table of logits."""
-    keys = list(keys)
-    top = scores.groupBy(*keys).agg(F.max("logit").alias("_top"))
-    powers = scores.join(top, keys).withColumn("_pow", F.exp(F.col("logit") - F.col("_top"))).drop("_top")
-    total = powers.groupBy(*keys).agg(F.sum("_pow").alias("_sum"))
-    return powers.join(total, keys).withColumn("prob", F.col("_pow") / F.col("_sum")).drop("_pow", "_sum")
+    group = Window.partitionBy(*keys)  # one row per class
+    powers = scores.withColumn("_pow", F.exp(F.col("logit") - F.max("logit").over(group)))
+    return powers.withColumn("prob", F.col("_pow") / F.sum("_pow").over(group)).drop("_pow")
 
 
 def mean_scores(scores: DataFrame, value: str = "prob") -> DataFrame:
@@ -129,9 +127,8 @@ def calibrate(probs: DataFrame, calibrator: DataFrame | None, grid: int = 500) -
     keyed = probs.withColumns({"class": F.col("class").cast("int"), "bin": score_bin("prob", grid)})
     raw = keyed.join(calibrator, ["class", "bin"], "left").withColumn(
         "_p", F.coalesce(F.col("p1") / (F.col("p0") + F.col("p1") + 1e-15), F.col("prob")))
-    total = raw.groupBy("article_id").agg(F.sum("_p").alias("_sum"))
-    return (raw.join(total, "article_id")
-            .select("article_id", "class", F.coalesce(F.try_divide("_p", "_sum"), F.lit(0.0)).alias("prob")))
+    total = F.sum("_p").over(Window.partitionBy("article_id"))  # one row per class
+    return raw.select("article_id", "class", F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)).alias("prob"))
 
 
 # ---- scoring texts -------------------------------------------------------

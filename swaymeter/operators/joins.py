@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import blank_to_null, iexact, look_up, present, strip, to_day
+from swaymeter.functions.base import (AUTOMATON_TERMS, bind, has_automaton, iexact, look_up, present, strip,
+                                      term_hits)
 from swaymeter.functions.labels import alias, score_intent
 from swaymeter.operators.aggregates import best_risk, max_risk, pick_best
-from swaymeter.operators.sets import first_per_key
 
 
 def spread_key(key: Column, usable: Column, row_id: str = "id") -> Column:
@@ -194,19 +194,23 @@ def resolve_with(df: DataFrame, column: str, aliases: DataFrame, name: str) -> D
 def term_mentions(df: DataFrame, terms: Sequence[tuple[str, str]], text: str = "article_text") -> DataFrame:
     """One row per article and mentioned term: (id, group, term).
 
-    The term list is a small literal: each text is folded once and tested in place, so
+    Each text is folded once and searched in place for the (literal) term list, so
     articles are never joined with terms and only hits are emitted.
     """
-    upper = F.array(F.upper(F.col(text)))
+    terms = list(terms)
+    upper = F.upper(F.col(text))
+    spelled = list(dict.fromkeys(term.upper() for _, term in terms))
 
-    def hits(t: Column) -> Column:
-        found = [F.when(F.contains(t, F.lit(term.upper())),
-                        F.struct(F.lit(group).alias("group"), F.lit(term).alias("term")))
-                 for group, term in terms]
+    def search(t: Column) -> Column:
+        found = [F.when(F.contains(t, F.lit(w)), F.lit(i)) for i, w in enumerate(spelled)]
         return F.filter(F.array(*found), lambda h: h.isNotNull())
 
-    each = df.select("id", F.explode(F.transform(upper, hits)[0]).alias("_h"))
-    return each.select("id", "_h.group", "_h.term")
+    many = len(spelled) > AUTOMATON_TERMS and has_automaton()
+    hits = term_hits(upper, spelled) if many else bind(upper, search)
+    names = F.array(*[F.array(*[F.struct(F.lit(g).alias("group"), F.lit(t).alias("term"))
+                                for g, t in terms if t.upper() == w]) for w in spelled])
+    each = df.select("id", hits.alias("_hits")).select("id", F.explode("_hits").alias("_i"))
+    return each.select("id", F.explode(names[F.col("_i")]).alias("_h")).select("id", "_h.group", "_h.term")
 
 
 def word_mentions(df: DataFrame, terms: DataFrame, text: str = "article_text") -> DataFrame:
@@ -235,15 +239,3 @@ def query_grid(stories: DataFrame, queries: Mapping[str, Column], actors: Sequen
     targets = F.filter(F.array(*[F.when(F.coalesce(q, F.lit(False)), F.lit(t)) for t, q in queries.items()]),
                        lambda t: t.isNotNull())
     return (stories.filter(F.col(actor).isin(list(actors))).withColumn("target", F.explode(targets)))
-
-
-def story_ranks(stories: DataFrame, *order: str) -> DataFrame:
-    return first_per_key(stories, "url", list(order))
-
-
-def article_days(df: DataFrame) -> DataFrame:
-    return df.withColumn("day", to_day("posting_time"))
-
-
-def blank_authors(df: DataFrame) -> DataFrame:
-    return df.withColumn("author", blank_to_null("author"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import contains_any, icontains, missing
+from swaymeter.functions.base import any_of, bind, missing, shortest_terms
 from swaymeter.functions.labels import canonical_intent, contextual_intent
 from swaymeter.functions.text import date_in_text
 from swaymeter.operators.filters import has_label, lacks_author, needs_intent
@@ -41,15 +41,19 @@ def repaired_intent(intent: str = "strategic_intent", text: str = "article_text"
 
     The rules are folded over as data, so a later rule sees what an earlier one made.
     """
-    off_topic = F.coalesce(contains_any(text, V.OFF_TOPIC_WORDS), F.lit(False))
-    start = F.when(off_topic, F.lit(V.OFF_TOPIC_LABEL)).otherwise(F.col(intent))
-    rules = F.array(*[
-        F.struct(F.lit(wrong.upper()).alias("wrong"), F.lit(right).alias("right"),
-                 (F.coalesce(icontains(text, wrong), F.lit(False)) if wrong in V.LABEL_REPAIRS_IN_TEXT
-                  else F.lit(False)).alias("in_text"))
-        for wrong, right in V.LABEL_REPAIRS])
-    return F.aggregate(rules, start, lambda label, r: F.when(
-        F.coalesce(F.upper(label) == r["wrong"], F.lit(False)) | r["in_text"], r["right"]).otherwise(label))
+    def repaired(t: Column) -> Column:
+        def holds(words) -> Column:
+            return F.coalesce(any_of(F.contains(t, F.lit(w)) for w in shortest_terms(words)), F.lit(False))
+
+        start = F.when(holds(V.OFF_TOPIC_WORDS), F.lit(V.OFF_TOPIC_LABEL)).otherwise(F.col(intent))
+        rules = F.array(*[
+            F.struct(F.lit(wrong.upper()).alias("wrong"), F.lit(right).alias("right"),
+                     (holds([wrong]) if wrong in V.LABEL_REPAIRS_IN_TEXT else F.lit(False)).alias("in_text"))
+            for wrong, right in V.LABEL_REPAIRS])
+        return F.aggregate(rules, start, lambda label, r: F.when(
+            F.coalesce(F.upper(label) == r["wrong"], F.lit(False)) | r["in_text"], r["right"]).otherwise(label))
+
+    return bind(F.upper(F.col(text)), repaired)
 
 
 def repair_labels(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ articles; a page of articles fetches its texts last, for the chosen ids only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,18 +53,40 @@ def contextual_score(index: DataFrame, country: str, actor: str, intent: str | N
     return request_scores(request(index.sparkSession, country, actor, intent), index)
 
 
+class Panels(Mapping):
+    """Named panels, each built when it is asked for."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers = makers
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._makers[name]()
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 # ---- overview ------------------------------------------------------------
 def overview_cards(base: DataFrame, index: DataFrame) -> DataFrame:
-    """Totals, distinct outlets, intents and actors, mean confidence and mean risk, in one row."""
+    """Totals, distinct outlets, intents and actors, mean confidence and mean risk, in one row.
+
+    Distinct values are counted on the table of combinations, not on the articles.
+    """
     def kinds(c: str):
         # a placeholder is no kind of its own, NULL is one
         return A.distinct_values(c) - F.count_distinct(F.when(F.col(c).isin(V.PLACEHOLDERS), F.col(c)))
 
-    cards = base.agg(
-        F.count("*").alias("total"), F.coalesce(A.distinct_values("media_outlet"), F.lit(0)).alias("outlets"),
+    combos = base.groupBy("media_outlet", "strategic_intent", "inferred_actor").agg(
+        F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"))
+    mean = F.try_divide(F.sum("conf"), F.sum("n_conf"))
+    cards = combos.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(A.distinct_values("media_outlet"), F.lit(0)).alias("outlets"),
         F.coalesce(kinds("strategic_intent"), F.lit(0)).alias("intents"),
         F.coalesce(kinds("inferred_actor"), F.lit(0)).alias("actors"),
-        F.bround(F.coalesce(F.avg("confidence"), F.lit(0.0)), 3).alias("avg_confidence"))
+        F.bround(F.coalesce(mean, F.lit(0.0)), 3).alias("avg_confidence"))
     risk = index.agg(F.bround(F.coalesce(F.avg("final_risk"), F.lit(0.0)), 3)).scalar()
     return cards.withColumn("avg_risk", risk)
 
@@ -83,7 +105,7 @@ def top_subjects(base: DataFrame, n: int = 5) -> DataFrame:
 
 
 def overview(articles: DataFrame, index: DataFrame, country: str | None = None, actor: str | None = None,
-             intent: str | None = None, page: object = 1, keep: bool = True) -> dict[str, DataFrame]:
+             intent: str | None = None, page: object = 1, keep: bool = False) -> Panels:
     """Panels of the overview page. With `keep`, the filtered base is stored once for all panels."""
     base = overview_base(articles, country, actor, intent)
     base = base.persist() if keep else base
@@ -91,15 +113,16 @@ def overview(articles: DataFrame, index: DataFrame, country: str | None = None,
     risk = risk.filter(iexact("country", country)) if country else risk
     risk = risk.filter(iexact("actor", actor)) if actor else risk
     panels = {
-        "cards": overview_cards(base, risk),
-        "volume": A.latest_volume(base, 500),
-        "countries": A.top_counts(base.filter(P.no_placeholder("target_country")), "target_country", n=10, name="total"),
-        "subjects": top_subjects(base),
-        "articles": page_with_text(articles, base, page, 10).rows,
+        "cards": lambda: overview_cards(base, risk),
+        "volume": lambda: A.latest_volume(base, 500),
+        "countries": lambda: A.top_counts(base.filter(P.no_placeholder("target_country")), "target_country", n=10,
+                                          name="total"),
+        "subjects": lambda: top_subjects(base),
+        "articles": lambda: page_with_text(articles, base, page, 10).rows,
     }
     if country and actor:
-        panels["score"] = contextual_score(index, country, actor, intent)
-    return panels
+        panels["score"] = lambda: contextual_score(index, country, actor, intent)
+    return Panels(**panels)
 
 
 # ---- outlets -------------------------------------------------------------
@@ -108,18 +131,24 @@ def top_outlets(articles: DataFrame, n: int = 10) -> DataFrame:
 
 
 def outlet_profile(articles: DataFrame, outlets: DataFrame, outlet: str | None = None,
-                   page: object = 1) -> dict[str, DataFrame]:
+                   page: object = 1) -> Panels:
     base = slim_with(articles, "media_outlet_fk")
-    panels = {"top_outlets": top_outlets(base)}
-    chosen = base
-    if outlet and outlet != "All Outlets":
-        chosen = of_outlet(base, outlets, outlet)
-        panels["stats"] = chosen.agg(F.count("*").alias("total_articles"), F.avg("confidence").alias("avg_confidence"))
-        for name, c, n in (("intents", "strategic_intent", 10), ("actors", "inferred_actor", 10), ("tones", "tone", None),
-                           ("countries", "target_country", 10)):
-            panels[name] = A.top_counts(chosen.filter(P.no_placeholder(c)), c, n=n)
-    panels["articles"] = page_with_text(articles, chosen, page, 10).rows
-    return panels
+    one = bool(outlet) and outlet != "All Outlets"
+    chosen = of_outlet(base, outlets, outlet) if one else base
+
+    def top(c: str, n: int | None = 10) -> Callable[[], DataFrame]:
+        return lambda: A.top_counts(chosen.filter(P.no_placeholder(c)), c, n=n)
+
+    panels = {"top_outlets": lambda: top_outlets(base),
+              "articles": lambda: page_with_text(articles, chosen, page, 10).rows}
+    if one:
+        panels |= {"stats": lambda: totals(chosen), "intents": top("strategic_intent"), "actors": top("inferred_actor"),
+                   "tones": top("tone", None), "countries": top("target_country")}
+    return Panels(**panels)
+
+
+def totals(df: DataFrame) -> DataFrame:
+    return df.agg(F.count("*").alias("total_articles"), F.avg("confidence").alias("avg_confidence"))
 
 
 def slim_with(df: DataFrame, *extra: str) -> DataFrame:
@@ -170,13 +199,14 @@ def author_directory(articles: DataFrame, search: str | None = None, page: objec
     return Page(shown, found.number, found.num_pages, found.total)
 
 
-def author_profile(articles: DataFrame, name: str, page: object = 1) -> dict[str, DataFrame]:
+def author_profile(articles: DataFrame, name: str, page: object = 1) -> Panels:
     own = slim(articles).filter(iexact("author", name))
-    panels = {"stats": own.agg(F.count("*").alias("total_articles"), F.avg("confidence").alias("avg_confidence"))}
-    for panel, c in (("intents", "strategic_intent"), ("countries", "target_country"), ("actors", "inferred_actor")):
-        panels[panel] = A.top_counts(own.filter(P.no_placeholder(c)), c, n=5)
-    panels["articles"] = page_with_text(articles, own, page, 10).rows
-    return panels
+
+    def top(c: str) -> Callable[[], DataFrame]:
+        return lambda: A.top_counts(own.filter(P.no_placeholder(c)), c, n=5)
+
+    return Panels(stats=lambda: totals(own), intents=top("strategic_intent"), countries=top("target_country"),
+                  actors=top("inferred_actor"), articles=lambda: page_with_text(articles, own, page, 10).rows)
 
 
 # ---- country report ------------------------------------------------------

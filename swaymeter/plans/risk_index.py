@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
@@ -17,7 +17,6 @@ from swaymeter.functions.base import clip01, present
 from swaymeter.functions.labels import contextual_intent
 from swaymeter.functions.scores import (combine_risk, debt_ratio, election_proximity, fsi_norm, months_to_election,
                                         ppi_estimate, presence)
-from swaymeter.operators.aggregates import relative_to_max, weight_in_group
 from swaymeter.operators.joins import score_cascade
 
 GROUP = ["inferred_actor", "target_country", "strategic_intent"]
@@ -59,23 +58,20 @@ def content_signal(theta: DataFrame) -> DataFrame:
 
 
 # ---- contextual signal ---------------------------------------------------
-def exposure_grid(exposure: DataFrame, actors: DataFrame, countries: DataFrame) -> DataFrame:
+def exposure_grid(exposure: DataFrame, countries: DataFrame) -> DataFrame:
     """One row per (actor, country) with every metric, 0.0 where there is no figure.
 
-    Actors and countries are name lists; their product is the index's own size.
+    Every actor of the figures is paired with every country; that is the index's own size.
     """
     metrics = ["debt", "res", "mil", "disinfo", "elec", "lgbtq"]
     wide = exposure.groupBy(*PAIR).agg(*[
         F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
-    grid = product(actors.select("actor").distinct(), countries.select("country").distinct())
-    return grid.join(wide, PAIR, "left").fillna(0.0, metrics)
-
-
-def product(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs of two short name lists: the right one rides along as one array."""
-    name = right.columns[0]
-    names = right.agg(F.collect_set(name)).scalar()
-    return left.withColumn(name, F.explode(names))
+    # per actor one entry per country, then one row per country of the profile
+    per_actor = wide.groupBy("actor").agg(F.map_from_entries(F.collect_list(
+        F.struct("country", F.struct(*metrics)))).alias("_have"))
+    names = countries.agg(F.collect_set("country")).scalar()
+    grid = per_actor.withColumn("country", F.explode(names)).withColumn("_m", F.try_element_at("_have", F.col("country")))
+    return grid.select(*PAIR, *[F.coalesce(F.col(f"_m.{m}"), F.lit(0.0)).alias(m) for m in metrics])
 
 
 def factors(exposure: DataFrame, profile: DataFrame, as_of: str | Column | None = None,
@@ -92,7 +88,7 @@ def factors(exposure: DataFrame, profile: DataFrame, as_of: str | Column | None
                                             F.col("country")), F.lit(999)) if months else F.lit(999)
     else:
         clock = months_to_election("election_date", F.lit(as_of) if isinstance(as_of, str) else as_of)
-    grid = exposure_grid(exposure, exposure, profile).join(profile, "country")
+    grid = exposure_grid(exposure, profile).join(profile, "country")
     foothold = presence("debt", "mil", "res", "disinfo")
     return grid.select(
         *PAIR, F.col("debt").alias("debt_value"),
@@ -111,7 +107,8 @@ def relative_factors(g: DataFrame, r_metric: str = "raw_debt") -> DataFrame:
     cells = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"g_{f}").alias("g"),
                                F.col(debt if f == "debt" else f"g_{f}").alias("m")) for f in V.FACTORS])
     long = g.select(*PAIR, F.explode(cells).alias("_c")).select(*PAIR, "_c.*")
-    return relative_to_max(long, ["actor", "factor"], "m", "r").drop("m")
+    top = F.max("m").over(Window.partitionBy("actor", "factor"))  # one row per country
+    return long.withColumn("r", F.when(top > 0, F.col("m") / top).otherwise(F.lit(0.0))).drop("m")
 
 
 def contextual_signal(relative: DataFrame, intent_factors: Mapping[str, Sequence[str]] = V.INTENT_FACTORS) -> DataFrame:
@@ -122,8 +119,10 @@ def contextual_signal(relative: DataFrame, intent_factors: Mapping[str, Sequence
             links.setdefault(f, []).append(intent)
     intents = F.create_map(*[x for f, i in links.items() for x in (F.lit(f), F.array(*map(F.lit, i)))])
     used = relative.withColumn("intent", F.explode(F.try_element_at(intents, F.col("factor"))))
-    weighted = weight_in_group(used, ["intent", *PAIR], "r", "w")
-    return weighted.groupBy("intent", *PAIR).agg(clip01(F.sum(F.col("w") * F.col("g"))).alias("ca"))
+    # sum(w * g) with w = r / sum(r), or 1 / k where all r are 0
+    total, k = F.sum("r"), F.count("*")
+    mean = F.when(total == 0, F.sum("g") / k).otherwise(F.sum(F.col("r") * F.col("g")) / total)
+    return used.groupBy("intent", *PAIR).agg(clip01(mean).alias("ca"))
 
 
 def risk_cube(base: DataFrame, context: DataFrame) -> DataFrame:

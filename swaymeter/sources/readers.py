@@ -119,6 +119,16 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when a scan has fewer splits than there are cores.
+
+    For costly work on a few files; with many files the scan is spread already and
+    nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int,
               *columns: str, **options: str) -> DataFrame:
     """A database table read in parallel ranges of `key`; filters and columns are pushed down."""
