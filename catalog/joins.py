@@ -9,6 +9,7 @@ from swaymeter.functions.base import contains_any
 from swaymeter.operators import aggregates as A
 from swaymeter.operators import filters as P
 from swaymeter.operators import joins as J
+from swaymeter.sources.readers import spread
 
 HASH_ID = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
@@ -195,7 +196,7 @@ def _(spark, d):
     words = table(spark, d, "benchmark").select(F.explode(
         F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("term"))
     terms = part.unionByName(words.select(F.lit("word").alias("group"), "term")).distinct()
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("article_text"))
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), F.col("text").alias("article_text"))
     return A.count_by(J.word_mentions(docs, terms), "id", "group", name="n")
 
 

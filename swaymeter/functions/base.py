@@ -88,8 +88,8 @@ def contains_any(c: ColumnOrName, terms: Iterable[str]) -> Column:
     return bind(F.upper(col(c)), lambda t: any_of(F.contains(t, F.lit(w)) for w in words))
 
 
-# measured on 190 MB of text: one search per term costs about 0.6 s per term and core, one
-# automaton pass about 6 s per core for any number of terms, the trip to Python included
+# Measured on 190 MB of text and 8 cores, the trip to Python included: for 185 terms one search
+# per term takes 9.5 s and one automaton pass 2.2 s, for 22 terms 3.4 s and 2.4 s.
 AUTOMATON_TERMS = 40
 
 

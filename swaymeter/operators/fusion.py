@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from swaymeter.functions.base import ColumnOrName, col, missing
+from swaymeter.functions.base import ColumnOrName, bind, col, missing
 from swaymeter.operators.aggregates import most_frequent, pick_best
 
 MATCH_THRESHOLD = 0.6
@@ -21,10 +21,14 @@ MATCH_THRESHOLD = 0.6
 # ---- probabilities and votes ---------------------------------------------
 def softmax_array(logits: ColumnOrName) -> Column:
     """Softmax of an array column, shifted by its maximum."""
-    top = F.array_max(col(logits))
-    powers = F.transform(col(logits), lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(powers, lambda p: p / total)
+    def shifted(x: Column) -> Column:
+        return bind(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda a, p: a + p)
+        return bind(total, lambda t: F.transform(powers, lambda p: p / t))
+
+    return bind(bind(col(logits), shifted), shares)
 
 
 def softmax_long(scores: DataFrame, keys: Sequence[str] = ("article_id", "model")) -> DataFrame:

@@ -23,8 +23,7 @@ ENCODINGS = ("utf-8", "iso-8859-1")
 def read_text_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """A CSV file with header, quoted line breaks and all columns as strings."""
     return (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-            .option("encoding", encoding).option("nullValue", "\u0001").option("emptyValue", "")
-            .option("enforceSchema", False).csv(path))
+            .option("encoding", encoding).option("nullValue", "\u0001").option("emptyValue", "").csv(path))
 
 
 def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
