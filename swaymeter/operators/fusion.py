@@ -129,7 +129,8 @@ def calibrate(probs: DataFrame, calibrator: DataFrame | None, grid: int = 500) -
     if calibrator is None:
         return probs
     keyed = probs.withColumns({"class": F.col("class").cast("int"), "bin": score_bin("prob", grid)})
-    raw = keyed.join(calibrator, ["class", "bin"], "left").withColumn(
+    # the table has at most grid + 1 rows per class, while one bin can hold most scores
+    raw = keyed.join(F.broadcast(calibrator), ["class", "bin"], "left").withColumn(
         "_p", F.coalesce(F.col("p1") / (F.col("p0") + F.col("p1") + 1e-15), F.col("prob")))
     total = F.sum("_p").over(Window.partitionBy("article_id"))  # one row per class
     return raw.select("article_id", "class", F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)).alias("prob"))

@@ -24,34 +24,37 @@ class Ingested:
 
 def story_outcomes(stories: DataFrame, page_texts: DataFrame, store: DataFrame, order: Sequence[str],
                    min_chars: int = 1000, cap: int | None = None, row_id: str = "story_id") -> DataFrame:
-    """Every story with the text of its page and an `outcome`: `saved` or why not.
+    """Every story with an `outcome`: `saved` or why not.
 
     `stories` has a unique `row_id`; `page_texts` is (url, article_text), one row per url.
     """
-    run = capped(stories, cap, *order)
+    run = capped(stories, cap, *order).withColumn("_target", F.coalesce("target_country", F.lit("")))
     stored = store.filter(~missing("url")).select("url").distinct().withColumn("_stored", F.lit(True))
+    # texts are judged once per (url, target), however many stories share the url
     text = F.col("article_text")
-    joined = run.join(stored, "url", "left").join(page_texts, "url", "left")
-    reason = (F.when(missing("url"), F.lit("no url"))
-              .when(F.col("_stored").isNotNull(), F.lit("already stored"))
-              .when(text.isNull(), F.lit("no page"))
-              .when(~relevant("article_text", "target_country"), F.lit("irrelevant"))
-              .when(~scrape_ok("article_text"), F.lit("scrape error"))
-              .when(F.length(text) <= min_chars, F.lit("too short")))
+    gate = (F.when(text.isNull(), F.lit("no page"))
+            .when(~relevant("article_text", "_target"), F.lit("irrelevant"))
+            .when(~scrape_ok("article_text"), F.lit("scrape error"))
+            .when(F.length(text) <= min_chars, F.lit("too short")))
+    verdicts = (run.filter(~missing("url")).select("url", "_target").distinct().join(page_texts, "url", "left")
+                .select("url", "_target", gate.alias("_gate")))
+    joined = run.join(stored, "url", "left").join(verdicts, ["url", "_target"], "left")
+    reason = (F.when(missing("url"), F.lit("no url")).when(F.col("_stored").isNotNull(), F.lit("already stored"))
+              .otherwise(F.col("_gate")))
     judged = joined.withColumn("_reason", reason)
     # a copy counts as a duplicate only of a copy that was saved, so the gate comes first
     winners = first_per_key(judged.filter(F.col("_reason").isNull()).select("url", row_id, *order), "url",
                             list(order), row_id).select(row_id, F.lit(True).alias("_first"))
     outcome = F.coalesce("_reason", F.when(F.col("_first").isNull(), F.lit("duplicate in run")), F.lit("saved"))
-    joined = judged.join(winners, row_id, "left")
     actor = override_actor("inferred_actor", "url", "media_outlet")
-    return joined.withColumn("outcome", outcome).withColumn("inferred_actor", actor).drop("_first", "_stored", "_reason")
+    return (judged.join(winners, row_id, "left").withColumn("outcome", outcome).withColumn("inferred_actor", actor)
+            .drop("_first", "_stored", "_reason", "_gate", "_target"))
 
 
 def ingest_stories(stories: DataFrame, page_texts: DataFrame, store: DataFrame, order: Sequence[str],
                    min_chars: int = 1000, cap: int | None = None, row_id: str = "story_id") -> Ingested:
     """New articles (id from the url, so a repeated run gives the same rows) and rejects."""
     done = story_outcomes(stories, page_texts, store, order, min_chars, cap, row_id)
-    saved = done.filter(F.col("outcome") == "saved").withColumn("id", surrogate_id(F.col("url")))
+    saved = done.filter(F.col("outcome") == "saved").join(page_texts, "url").withColumn("id", surrogate_id(F.col("url")))
     rejects = done.filter(F.col("outcome") != "saved").select(row_id, "url", "outcome")
     return Ingested(saved.drop("outcome"), rejects)

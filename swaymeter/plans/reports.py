@@ -94,7 +94,8 @@ def overview_cards(base: DataFrame, index: DataFrame) -> DataFrame:
 def overview_base(articles: DataFrame, country: str | None = None, actor: str | None = None,
                   intent: str | None = None) -> DataFrame:
     """Articles about monitored countries that are not about sports, text-free."""
-    return slim(P.matching(P.without_words(articles.filter(P.monitored()), V.SPORTS_WORDS), country, actor, intent))
+    chosen = P.matching(articles.filter(P.monitored()), country, actor, intent)  # cheap conditions first
+    return slim(P.without_words(chosen, V.SPORTS_WORDS))
 
 
 def top_subjects(base: DataFrame, n: int = 5) -> DataFrame:
