@@ -216,7 +216,7 @@ SELECT page_id, 'https://site.example/a/b' AS url, CASE page_id % 6
   WHEN 0 THEN '<meta name="author" content=" Mary Major "><meta property="og:image" content="/img/lead.jpg">'
   WHEN 1 THEN '<meta name="author" content="Staff"><script type="application/ld+json">[{{"author": {{"name": "Li Wei"}}, "image": {{"url": "//cdn.example/x.png"}}}}]</script>'
   WHEN 2 THEN '<p class="lead byline">By <b>Awa Diop</b></p><img src="/static/logo.png"><article><img src="pics/one.gif"></article>'
-  WHEN 3 THEN '<p>By Jane Q. Doe</p><img src="/banner.jpg"><img src="two.webp">'
+  WHEN 3 THEN '<p>By Jane Q. Doe, reporter</p><img src="/banner.jpg"><img src="two.webp">'
   ELSE '' END || html AS html FROM pages"""
 
 

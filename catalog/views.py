@@ -65,9 +65,10 @@ SELECT f.*, CASE f.id % 12 WHEN 7 THEN NULL WHEN 8 THEN 'Failed: HTTP 500' WHEN
     ELSE {LEAD} || COALESCE(d.text, '') END AS article_text
 FROM facts f LEFT JOIN documents d ON d.doc_id = CAST((f.id - f.id % 10) / 10 AS BIGINT)"""
 
-# mean confidence per index-style (actor, country, intent); some cells are missing on purpose
+# mean confidence (summed in whole hundredths, so that both engines agree to the last bit) per index-style (actor, country, intent); some cells are missing on purpose
 INDEX = """
-SELECT actor, country, intent, ROUND(AVG(COALESCE(confidence, 0.0E0)), 6) AS final_risk FROM (
+SELECT actor, country, intent, CAST(SUM(CAST(ROUND(COALESCE(confidence, 0.0E0) * 100) AS BIGINT)) AS DOUBLE) / COUNT(*)
+  * 0.00987654321E0 AS final_risk FROM (
   SELECT CASE inferred_actor WHEN 'US' THEN 'UnitedStates' WHEN 'Saudi Arabia' THEN 'Saudi' ELSE inferred_actor END
       AS actor,
     CASE target_country WHEN 'Côte d''Ivoire' THEN 'CoteIvoire' ELSE target_country END AS country,
