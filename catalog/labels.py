@@ -199,7 +199,7 @@ def _(spark, d):
 SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN least(1, greatest(0, 1000 / c_acctbal)) ELSE 0 END, 6) AS ratio,
   CASE WHEN c_acctbal < -500 THEN 1.0 WHEN c_nationkey > 20 THEN 1.0 WHEN c_custkey % 10 = 1 THEN 1.0
     WHEN c_nationkey > 12 THEN 0.5 WHEN c_custkey % 10 > 0 AND c_custkey % 10 < 1 THEN 0.5
-    WHEN c_custkey % 4 = 3 THEN 0.5 ELSE 0.2 END AS presence FROM customer""")
+    WHEN c_custkey % 4 = 3 THEN 0.5E0 ELSE 0.2E0 END AS presence FROM customer""")
 def _(spark, d):
     mil = F.when(F.col("c_nationkey") > 20, 0.33).when(F.col("c_nationkey") > 12, 0.1).otherwise(0.0)
     res = F.when(F.col("c_custkey") % 10 == 1, 0.10).otherwise(0.0)

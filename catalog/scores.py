@@ -199,7 +199,7 @@ def _(spark, d):
 
 
 @check("safe_result_for_empty_text", oracle("""
-SELECT id, 'unknown' AS intent, 'neutral' AS tone, 0.0 AS conf FROM articles WHERE COALESCE(trim(article_text), '') = ''""", "articles"))
+SELECT id, 'unknown' AS intent, 'neutral' AS tone, 0.0E0 AS conf FROM articles WHERE COALESCE(trim(article_text), '') = ''""", "articles"))
 def _(spark, d):
     safe = view(spark, d, "articles").withColumn("s", E.empty_text_result("article_text")).filter(F.col("s").isNotNull())
     return safe.select("id", "s.intent", "s.tone", "s.conf")
