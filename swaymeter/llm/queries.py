@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from swaymeter.llm import mixing, quality, simhash
+from swaymeter.llm import decontaminate, langid, mixing, quality, quality_model, secrets, simhash, token_counts, toxicity
 from swaymeter.llm.common import table
 from swaymeter.llm.oracle import SQL
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2_secret_scans(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -19,11 +24,35 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op5_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op6_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.VOCABULARY))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op7_language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.op8_quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op4_simhash, op10_mixing)
+    f.__name__: f
+    for f in (
+        op2_secret_scans, op3_quality_rules, op4_simhash, op5_decontamination, op6_token_counts, op7_language_id,
+        op8_quality_classifier, op9_toxicity, op10_mixing,
+    )
 }
 ORACLE: dict[str, str] = SQL
