@@ -22,7 +22,9 @@ THRESHOLD = 0.7
 PER_CLASS = 10_000
 #: Lexicon units are whole words and word beginnings of so many letters; the lexicon keeps at most MAX_UNITS of them.
 SHORTEST, LONGEST, MAX_UNITS = 3, 10, 50_000
-LEAST_DOCS, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 4, 0.002, 2.0, 5.0
+LEAST_COUNT, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 5, 0.005, 2.0, 3.5
+#: Repetitions of a unit within one text that count as evidence.
+PER_TEXT = 8
 FLUSH = 200_000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 CLAUSE = re.compile(r"[.!?;:,\n()\"]+")
@@ -93,7 +95,7 @@ class Lexicon:
         return found
 
 
-FEATURES = ("clause_best", "clause_sum", "clauses", "density", "word_best", "word_kinds", "threats", "length")
+FEATURES = ("clause_best", "clause_sum", "clauses", "density", "rate", "word_best", "word_kinds", "threats", "length")
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -128,19 +130,31 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     best = max(scores, default=0.0)
     strong = sorted(kinds.values(), reverse=True)
     return [
-        best, math.log1p(sum(scores)), math.log1p(len(scores)), math.log1p(1000 * hits / n_words), strong[0] if strong else 0.0,
+        best, math.log1p(sum(scores)), math.log1p(len(scores)), math.log1p(1000 * hits / n_words), math.log1p(1000 * sum(scores) / n_words), strong[0] if strong else 0.0,
         math.log1p(sum(strong)), math.log1p(threats), math.log1p(n_words),
     ]
 
 
+def unit_counts(text: str | None) -> tuple[Counter, int]:
+    """How often the units occur in a text, up to PER_TEXT each, and its number of words."""
+    found: Counter = Counter()
+    words = Counter(WORD.findall((text or "").lower()))
+    for word, n in words.items():
+        for unit in units(word):
+            found[unit] += n
+    return Counter({u: min(n, PER_TEXT) for u, n in found.items()}), words.total()
+
+
 class _Units:
-    """(unit, toxic, clean): in how many sampled texts of either class the units occur."""
+    """(unit, toxic, clean): how often the units occur in sampled texts of either class; the empty unit counts words."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for label, text in zip(batch.column(0), batch.column(1), strict=True):
-                seen[label.as_py()].update({u for w in set(WORD.findall((text.as_py() or "").lower())) for u in units(w)})
+                counts, n_words = unit_counts(text.as_py())
+                seen[label.as_py()].update(counts)
+                seen[label.as_py()][""] += n_words
                 if len(seen[0]) + len(seen[1]) >= FLUSH:
                     yield self.batch(*seen)
                     seen = (Counter(), Counter())
@@ -228,10 +242,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         none.weights[-1] = 30.0 if toxic else -30.0
         return none
     seen = sample.mapInArrow(_Units(), "unit string, toxic long, clean long").groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    weight = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
+    seen = cut(seen)
+    words = seen.where("unit = ''").first()
+    weight = F.log((F.col("t") + 0.5) / (words["t"] + 1.0)) - F.log((F.col("c") + 0.5) / (words["c"] + 1.0))
     z = weight / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     kept = seen.select("unit", "t", weight.alias("w"), z.alias("z")).where(
-        (F.col("t") >= max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))) & (F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z))
+        (F.col("unit") != "") & (F.col("t") >= max(LEAST_COUNT, math.ceil(LEAST_SHARE * toxic))) & (F.col("w") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z))
     lexicon = {r["unit"]: r["w"] for r in kept.orderBy(F.desc("z"), "unit").limit(MAX_UNITS).collect()}
     rows = sample.mapInArrow(_Features(spark.sparkContext.broadcast(lexicon)), "label int, x array<double>").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["label"] for r in rows])
