@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from swaymeter.llm import decontaminate, langid, mixing, quality, quality_model, secrets, simhash, token_counts, toxicity
+from swaymeter.llm import decontaminate, langid, mixing, quality, quality_model, secrets, simhash, token_counts, toxicity, warc
 from swaymeter.llm.common import table
 from swaymeter.llm.oracle import SQL
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1_warc(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2_secret_scans(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_secret_scans, op3_quality_rules, op4_simhash, op5_decontamination, op6_token_counts, op7_language_id,
+        op1_warc, op2_secret_scans, op3_quality_rules, op4_simhash, op5_decontamination, op6_token_counts, op7_language_id,
         op8_quality_classifier, op9_toxicity, op10_mixing,
     )
 }
