@@ -122,12 +122,16 @@ def judge(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
 
     The name gets leading underscores where `docs` already has such a column; it is always the last one.
     """
-    (name,) = free_names(docs, "verdict")
     measured = measures(docs, text_col)
-    q, failed = quoted(measured.columns[-1]), failures(quoted(measured.columns[-1]), rules)
+    name, row = free_names(measured, "verdict", "row")
+    # the optimiser does not move a filter below a row number, so that the counts are never written out inside a filter
+    numbered = measured.select("*", F.monotonically_increasing_id().alias(row))
+    q = quoted(measured.columns[-1])
+    failed = failures(q, rules)
     fields = [q[f].alias(f) for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    verdict = F.struct(*fields, base_failed(q).alias("base_failed"), failed.alias("failed_rules"), (~base_failed(q) & (F.size(failed) == 0)).alias("kept"))
-    return measured.select(*(quoted(c) for c in docs.columns), verdict.alias(name))
+    kept = ~base_failed(q) & (F.size(failed) == 0) & (quoted(row) >= 0)
+    verdict = F.struct(*fields, base_failed(q).alias("base_failed"), failed.alias("failed_rules"), kept.alias("kept"))
+    return numbered.select(*(quoted(c) for c in docs.columns), verdict.alias(name))
 
 
 def keep_good(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
