@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -77,9 +78,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(quoted(name).alias(alias) for alias, name in columns.items()))
 
 
-def replaced(df: DataFrame, **new: Column) -> list[Column]:
-    """All columns of `df` in order, some of them computed anew."""
-    return [new[c].alias(c) if c in new else quoted(c) for c in df.columns]
+def in_arrow(df: DataFrame, run, **more: T.DataType) -> DataFrame:
+    """`df` with all its columns through `run`, batch by batch; `more` are columns that `run` adds at the end.
+
+    Inside, columns have plain names by position, so that any name may occur outside, dots and repeats included.
+    """
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    added = [T.StructField(f"c{len(df.columns) + i}", kind) for i, kind in enumerate(more.values())]
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *added])).toDF(*df.columns, *more)
 
 
 def crc32_text(doc_id: Column) -> Column:

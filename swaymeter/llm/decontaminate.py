@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swaymeter.llm.common import pick, quoted
+from swaymeter.llm.common import in_arrow, pick
 
 WINDOW = 13
 #: A document is contaminated when at least one in so many of its words lies in a benchmark passage.
@@ -242,7 +242,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", le
     in the others (length limit). `length_col`, if named, is counted anew where a text changed."""
     names = docs.columns
     make = _Clean(names.index(text_col), names.index(length_col) if length_col else None)
-    return docs.mapInArrow(_Stream(benchmark_items(bench), names.index(text_col), make, window, shard_words), docs.schema)
+    return in_arrow(docs, _Stream(benchmark_items(bench), names.index(text_col), make, window, shard_words))
 
 
 def op5_decontamination(docs: DataFrame, bench: DataFrame) -> DataFrame:

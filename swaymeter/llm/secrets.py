@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from swaymeter.llm.common import pick, quoted
+from swaymeter.llm.common import in_arrow, pick
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds in the order in which spans of one start are listed: the base kinds, then those with an embedded checksum.
@@ -25,14 +25,14 @@ ASSIGN = re.compile(
     r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"""
     r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 )
-ANCHORED = {"access": re.compile("AKIA[A-Z0-9]+"), "github": re.compile("gh[pousr]_[A-Za-z0-9]+"), "npm": re.compile("npm_[A-Za-z0-9]+")}
+ANCHORED = {"access": re.compile("AKIA[A-Z0-9]+"), "github": re.compile("gh[pousr]_[A-Za-z0-9]{36}"), "npm": re.compile("npm_[A-Za-z0-9]{36}")}
 HEX = re.compile("[0-9a-f]+")
 ASSIGN_MIN, ACCESS_MIN, HEX_MIN = 6, 20, 24
 #: A run of HEX_MIN hex digits covers at least PROBES neighbouring multiples of STRIDE.
 STRIDE, PROBES = 8, 3
 PROBE = re.compile("[0-9a-f]{%d,}" % PROBES)
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-RANDOM_CHARS, CHECK_CHARS = 30, 6
+RANDOM_CHARS = 30
 
 
 @cache
@@ -48,10 +48,7 @@ def _automaton() -> ahocorasick.Automaton:
 
 def checksum_holds(token: str) -> bool:
     """Whether the last 6 base-62 digits of a prefixed token are the CRC-32 of the 30 characters before them."""
-    body = token[token.index("_") + 1 :]
-    if len(body) != RANDOM_CHARS + CHECK_CHARS:
-        return False
-    value = 0
+    body, value = token[token.index("_") + 1 :], 0
     for ch in body[RANDOM_CHARS:]:
         value = value * 62 + BASE62.index(ch)
     return value == zlib.crc32(body[:RANDOM_CHARS].encode())
@@ -170,7 +167,7 @@ def redacted(docs: DataFrame, text_col: str = "text", length_col: str | None = N
     Null texts stay null and keep their length; other columns pass through.
     """
     names = docs.columns
-    return docs.mapInArrow(_Redact(names.index(text_col), names.index(length_col) if length_col else None), docs.schema)
+    return in_arrow(docs, _Redact(names.index(text_col), names.index(length_col) if length_col else None))
 
 
 def op2_secret_scans(docs: DataFrame) -> DataFrame:

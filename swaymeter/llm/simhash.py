@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swaymeter.llm.common import cut, free_names, pick, quoted
+from swaymeter.llm.common import cut, free_names, in_arrow, pick, quoted
 from swaymeter.llm.components import components
 
 SHINGLE = 3
@@ -143,7 +143,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     as_key = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.min("component_id").alias("id"))
     best = cut(best.select(F.col("fp").alias(fp), as_key(F.col("id")).alias(key)))
-    with_print = docs.mapInArrow(_Append(docs.columns.index(text_col), fp), T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())]))
+    with_print = in_arrow(docs, _Append(docs.columns.index(text_col)), **{fp: T.LongType()})
     kept = with_print.withColumn(key, as_key(quoted(id_col))).join(best, [fp, key], "left_semi").dropDuplicates([fp, key])
     return kept.select(*(quoted(c) for c in docs.columns))
 
@@ -151,13 +151,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 class _Append:
     """Adds the fingerprint of column number `at` to each batch."""
 
-    def __init__(self, at: int, name: str):
-        self.at, self.name = at, name
+    def __init__(self, at: int):
+        self.at = at
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = pa.array((simhash(t.as_py()) for t in batch.column(self.at)), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, self.name])
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, f"c{batch.num_columns}"])
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
