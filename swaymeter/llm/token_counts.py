@@ -174,6 +174,22 @@ def piece_table(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
     return spark.read.parquet(folder)
 
 
+def widespread(pieces: DataFrame) -> dict[str, int]:
+    """Piece counts of the most widespread short pre-tokens: all above a level of n_docs at which there are at most HEAD.
+
+    The level comes from a histogram over sixteenths of powers of two, so nothing is sorted or met in one task.
+    """
+    level = F.floor(16 * F.log2(F.col("n_docs")))
+    short = pieces.where(F.octet_length("pre_token") <= HEAD_BYTES).select("pre_token", "pieces", level.alias("level"))
+    least, total = None, 0
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > HEAD:
+            break
+        least = r["level"]
+    return {} if least is None else {r["pre_token"]: r["pieces"] for r in short.where(F.col("level") >= least).collect()}
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens), one row per row of `docs`; null texts count as empty.
 
@@ -183,9 +199,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     pieces = piece_table(docs, path, text_col)
-    short = pieces.where(F.octet_length("pre_token") <= HEAD_BYTES)
-    top = short.orderBy(F.desc("n_docs"), "pre_token").limit(HEAD).select("pre_token", "pieces")
-    head = spark.sparkContext.broadcast({r[0]: r[1] for r in top.toLocalIterator()})
+    head = spark.sparkContext.broadcast(widespread(pieces))
     text = F.coalesce(quoted(text_col), F.lit(""))
     keyed = docs.select(quoted(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     keys = keyed.drop("text")
