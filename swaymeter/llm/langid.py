@@ -24,6 +24,8 @@ CLUSTERS, ROUNDS = 3, 8
 #: A text further from every centroid than this share of what training rows have (their 1 % quantile) is rejected.
 REJECT_SHARE = 0.5
 MAX_CENTROID_BYTES = 64 << 20
+#: Languages a table of labels may have; their sampling shares travel with every task.
+MAX_LANGUAGES = 10_000
 FOLDS, HELD_OUT = 5, 0
 CHUNK = 1 << 20
 BLOCK = 512
@@ -139,8 +141,8 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from (doc_id, text, lang); rows without a language are left out.
 
-    The number of rows per language is counted first, so that the sample is drawn by a threshold on the id's hash and
-    only sampled texts move: at most `per_language` (and a margin, cut after sorting) for a language.
+    The number of rows per language is counted first, so that the sample is drawn in place by a threshold on the id's
+    hash and only sampled texts move: at most `per_language` (and a margin, cut after sorting) for a language.
     """
     rows = labelled.where(F.col("lang").isNotNull())
     spread = rows.select("text").mapInArrow(_doc_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
@@ -150,8 +152,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     df[list(counts)] = list(counts.values())
     idf = np.log((1 + n_rows) / (1 + df)) + 1.0
     share = cut(rows.groupBy("lang").agg((F.lit(1.2 * per_language) / F.count(F.lit(1))).alias("share")))
+    if share.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 1)
-    sample = rows.select("lang", "text", h.alias("h")).join(share, "lang").where(F.col("h") < F.col("share") * float(1 << 63)).drop("share")
+    sample = rows.select("lang", "text", h.alias("h")).join(F.broadcast(share), "lang").where(F.col("h") < F.col("share") * float(1 << 63)).drop("share")
     schema = "lang string, centre array<float>, usual double"
     fitted = _Fit(idf, per_language)
     found = sample.groupBy("lang").applyInPandas(lambda group: fitted(group), schema).orderBy("lang").limit(1 + MAX_CENTROID_BYTES // (4 * FEATURES)).collect()
