@@ -246,14 +246,14 @@ def page_sql(page, size):
     return oracle(f"""
 , total AS (SELECT count(*) AS n, greatest(1, CAST(ceil(count(*) / {size}.0) AS BIGINT)) AS pages FROM facts),
 p AS (SELECT CASE WHEN {page} BETWEEN 1 AND pages THEN {page} ELSE pages END AS number, pages, n FROM total)
-SELECT id, CAST(number AS BIGINT) AS page, CAST(pages AS BIGINT) AS pages, n AS total
+SELECT id, rn AS position, CAST(number AS BIGINT) AS page, CAST(pages AS BIGINT) AS pages, n AS total
 FROM (SELECT id, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS rn FROM facts), p
 WHERE rn > (number - 1) * {size} AND rn <= number * {size}""", "facts")
 
 
-def page_rows(spark, d, page, size, **more):
-    found = paging.paginate(view(spark, d, "facts"), page, size, **more)
-    return found.rows.select("id", F.lit(found.number).cast("bigint").alias("page"),
+def page_rows(spark, d, page, size):
+    found = paging.paginate(view(spark, d, "facts"), page, size)
+    return found.rows.select("id", "position", F.lit(found.number).cast("bigint").alias("page"),
                              F.lit(found.num_pages).cast("bigint").alias("pages"),
                              F.lit(found.total).cast("bigint").alias("total"))
 
@@ -275,7 +275,16 @@ def _(spark, d):
 
 @check("page_far_from_both_ends", page_sql(24, 20))
 def _(spark, d):
-    return page_rows(spark, d, 24, 20, near_end=0)
+    return page_rows(spark, d, 24, 20)
+
+
+@check("page_after_a_row", oracle("""
+, o AS (SELECT id, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS rn FROM facts)
+SELECT id, rn - 40 AS position FROM o WHERE rn > 40 AND rn <= 60""", "facts"))
+def _(spark, d):
+    facts = view(spark, d, "facts")
+    last = paging.page_after(facts, 40).filter("position = 40").first()
+    return paging.page_after(facts, 20, {"posting_time": last["posting_time"], "id": last["id"]}).select("id", "position")
 
 
 @check("author_directory_page", oracle("""

@@ -54,11 +54,12 @@ def _(spark, d):
 
 @check("overview_page", oracle(CLEAN + f"""
 , p AS (SELECT * FROM clean ORDER BY posting_time DESC NULLS FIRST, id LIMIT 10 OFFSET 10)
-SELECT id, {mapped("lower(trim(strategic_intent))", V.intent_aliases("display"))} AS canonical_intent,
+SELECT id, 10 + row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS position,
+  {mapped("lower(trim(strategic_intent))", V.intent_aliases("display"))} AS canonical_intent,
   length(regexp_replace(replace(article_text, chr(10), ' '), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) > 500 AS cut FROM p""", "articles"))
 def _(spark, d):
     rows = overview_panel("articles", page=2)(spark, d)
-    return rows.select("id", "canonical_intent", F.endswith("display_summary", F.lit("…")).alias("cut"))
+    return rows.select("id", "position", "canonical_intent", F.endswith("display_summary", F.lit("…")).alias("cut"))
 
 
 @check("overview_score", oracle("""
@@ -204,6 +205,14 @@ def _(spark, d):
     return report_panel("volume")(spark, d)
 
 
+@check("report_volume_by_actor", oracle(BEST + f"""
+SELECT a.actor, CAST(posting_time AS DATE) AS day, count(*) AS count FROM asked a JOIN articles
+  ON upper(target_country) = 'SENEGAL' AND upper(inferred_actor) = upper(a.article_name)
+WHERE posting_time IS NOT NULL AND NOT COALESCE({has_any('article_text', V.SPORTS_WORDS_REPORT)}, FALSE) GROUP BY 1, 2""", "articles", "idx"))
+def _(spark, d):
+    return report_panel("volume_by_actor")(spark, d)
+
+
 @check("report_intents", oracle(BEST + f"""
 SELECT strategic_intent, count(*) AS count FROM about WHERE {no_placeholder("strategic_intent")} GROUP BY 1
 ORDER BY count DESC, strategic_intent NULLS LAST LIMIT 5""", "articles", "idx"))

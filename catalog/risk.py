@@ -161,11 +161,13 @@ def _(spark, d):
 s AS (SELECT id, COALESCE({mapped("lower(trim(target_country))", V.COUNTRY_ALIASES["score"])}, target_country, '') AS c,
   COALESCE({mapped("lower(trim(inferred_actor))", V.ACTOR_ALIASES["score"])}, inferred_actor, '') AS a,
   COALESCE({mapped("lower(trim(strategic_intent))", V.intent_aliases("score"))}, 'Sovereignty') AS i FROM facts)
-SELECT CASE WHEN x.final_risk IS NULL THEN 'constant' ELSE 'exact' END AS match_level, count(*) AS n, round(avg(x.final_risk), 5) AS mean
-FROM s LEFT JOIN x ON lower(x.country) = lower(c) AND lower(x.actor) = lower(a) AND lower(x.intent) = lower(i) GROUP BY 1""", "facts"))
+SELECT id, CASE WHEN x.final_risk IS NOT NULL THEN 'exact' WHEN p.risk IS NOT NULL THEN 'pair' ELSE 'constant' END AS match_level,
+  round(COALESCE(x.final_risk, p.risk), 5) AS score
+FROM s LEFT JOIN x ON lower(x.country) = lower(c) AND lower(x.actor) = lower(a) AND lower(x.intent) = lower(i)
+LEFT JOIN (SELECT lower(country) AS pc, lower(actor) AS pa, max(final_risk) AS risk FROM x GROUP BY 1, 2) p ON pc = lower(c) AND pa = lower(a)""", "facts"))
 def _(spark, d):
     facts = view(spark, d, "facts")
     index = R.build_index(facts, readers.exposure(spark), readers.country_profile(spark), "g_debt", as_of="2026-01-15")
     scored = R.score_articles(facts, index)
-    known = F.when(F.col("match_level") == "exact", F.col("score"))
-    return scored.groupBy("match_level").agg(F.count("*").alias("n"), F.round(F.avg(known), 5).alias("mean"))
+    known = F.when(F.col("match_level") != "constant", F.round("score", 5))
+    return scored.select("id", "match_level", known.alias("score"))

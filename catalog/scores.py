@@ -72,7 +72,31 @@ def _(spark, d):
     return E.best_class(E.apply_stacking(E.fit_stacking(features, labels, max_iter=10), features))
 
 
-GRID = 40
+@check("stacking_features", oracle(PROBS + """
+, every AS (SELECT article_id, m.i AS model, c.i AS class FROM (SELECT DISTINCT article_id FROM logits), range(8) m(i), range(8) c(i))
+SELECT article_id, model, class, round(sum(COALESCE(prob, 0)), 6) AS prob FROM every LEFT JOIN probs USING (article_id, model, class) GROUP BY ALL""", "logits"))
+def _(spark, d):
+    from pyspark.ml.functions import vector_to_array
+
+    wide = E.stacking_features(probs(spark, d), range(8), range(8)).select("article_id", F.posexplode(vector_to_array("features")).alias("at", "prob"))
+    return wide.select("article_id", F.floor(F.col("at") / 8).cast("int").alias("model"), (F.col("at") % 8).alias("class"), F.round("prob", 6).alias("prob"))
+
+
+@check("apply_coefficients", oracle(PROBS + """
+, z AS (SELECT article_id, o.i AS class, sum(prob * ((model * 7 + class * 3 + o.i * 5) % 11 - 5) / 10.0E0) + o.i / 10.0E0 AS z
+  FROM probs, range(4) o(i) GROUP BY article_id, o.i)
+SELECT article_id, class, round(exp(z) / sum(exp(z)) OVER (PARTITION BY article_id), 6) AS prob FROM z""", "logits"))
+def _(spark, d):
+    ids = spark.range(8)
+    every = ids.select(F.col("id").alias("model"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("class"))
+    weights = every.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(
+        "weight", (F.expr("(model * 7 + class * 3 + out * 5) % 11") - 5) / 10.0)
+    biases = spark.range(4).select(F.col("id").alias("out"), (F.col("id") / 10.0).alias("bias"))
+    return E.apply_coefficients(probs(spark, d), weights, biases).withColumn("prob", F.round("prob", 6))
+
+
+#: The scores of these two queries are rounded to hundredths beforehand, so that SQL can list them.
+GRID = 100
 CALIBRATOR = PROBS + f"""
 , bins AS (SELECT class, CAST(round(prob * {GRID}) AS INT) AS bin, count(*) AS n, sum(CASE WHEN class = label THEN 1 ELSE 0 END) AS y
   FROM (SELECT m.article_id, m.class, m.prob, l.label FROM means m JOIN (SELECT DISTINCT article_id, label FROM logits) l USING (article_id))
@@ -89,14 +113,15 @@ cal AS (SELECT class, bin, max(low) AS p0, max(high) AS p1 FROM fits GROUP BY AL
 
 def means_and_labels(spark, d):
     scores = probs(spark, d)
-    return E.mean_scores(scores), scores.select("article_id", "label").distinct()
+    means = E.mean_scores(scores).withColumn("prob", F.round(F.col("prob") * GRID) / GRID)
+    return means, scores.select("article_id", "label").distinct()
 
 
 @check("calibration_table", oracle(CALIBRATOR + """
-SELECT class, bin, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM cal""", "logits"))
+SELECT class, bin, round(p0, 6) AS p0, round(p1, 6) AS p1 FROM cal JOIN bins USING (class, bin)""", "logits"))
 def _(spark, d):
-    table_ = E.fit_calibrator(*means_and_labels(spark, d), grid=GRID)
-    return table_.select("class", "bin", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
+    table_ = E.fit_calibrator(*means_and_labels(spark, d), max_rows=10**6).filter("exact")
+    return table_.select("class", F.round(F.col("score") * GRID).cast("int").alias("bin"), F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
 
 @check("calibrated_probabilities", oracle(CALIBRATOR + f"""
@@ -105,7 +130,7 @@ def _(spark, d):
 SELECT article_id, class, round(p / sum(p) OVER (PARTITION BY article_id), 6) AS prob FROM raw""", "logits"))
 def _(spark, d):
     means, labels = means_and_labels(spark, d)
-    return E.calibrate(means, E.fit_calibrator(means, labels, grid=GRID), grid=GRID).withColumn("prob", F.round("prob", 6))
+    return E.calibrate(means, E.fit_calibrator(means, labels, max_rows=10**6), max_rows=10**6).withColumn("prob", F.round("prob", 6))
 
 
 def length_scorer():
@@ -124,7 +149,7 @@ SELECT id, CASE WHEN starts_with(article_text, 'Failed:') THEN 'unknown' WHEN le
   CASE WHEN starts_with(article_text, 'Failed:') THEN 0 ELSE round(least(1, length(COALESCE(article_text, '')) / 5000.0E0), 6) END AS conf
 FROM articles""", "articles"))
 def _(spark, d):
-    return E.score_texts(view(spark, d, "articles"), length_scorer, batch=1).withColumn("conf", F.round("conf", 6))
+    return E.score_texts(view(spark, d, "articles"), length_scorer, batch=20).withColumn("conf", F.round("conf", 6))
 
 
 @check("decode_labels", oracle(PROBS + """

@@ -4,17 +4,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog import check
+from catalog import check, work_folder
 from catalog.views import oracle, table, view
 from swaymeter.operators.aggregates import count_by
-from swaymeter.operators.paging import shared_folder
 from swaymeter.plans import reports
 from swaymeter.plans.ingest import story_outcomes
 from swaymeter.sources import readers, sinks
 
 
 def new_path(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def csv_of(df, name, **options):
@@ -65,13 +64,14 @@ def _(spark, d):
 
 @check("read_initial_csv", oracle("""
 SELECT CAST(id AS STRING) AS url, COALESCE(inferred_actor, '') AS inferred_actor, nullif(strategic_intent, '') AS strategic_intent,
-  COALESCE(confidence, 0) AS confidence, is_anchor AS use_afrolm FROM facts""", "facts"))
+  COALESCE(confidence, 0) AS confidence, is_anchor AS use_afrolm, md5(article_text) AS text FROM articles WHERE article_text IS NOT NULL""", "articles"))
 def _(spark, d):
-    df = view(spark, d, "facts").select(
-        F.lit("t").alias("article_text"), "posting_time", "media_outlet", "inferred_actor", "strategic_intent",
+    df = view(spark, d, "articles").filter(F.col("article_text").isNotNull()).select(
+        "article_text", "posting_time", "media_outlet", "inferred_actor", "strategic_intent",
         "target_country", F.col("id").cast("string").alias("URL"), "confidence",
         F.when(F.col("is_anchor"), "Yes").otherwise("0").alias("use_afrolm"))
-    return readers.read_initial_csv(spark, csv_of(df, "initial")).select("url", "inferred_actor", "strategic_intent", "confidence", "use_afrolm")
+    return readers.read_initial_csv(spark, csv_of(df, "initial")).select(
+        "url", "inferred_actor", "strategic_intent", "confidence", "use_afrolm", F.md5("article_text").alias("text"))
 
 
 @check("read_risk_csv", oracle("SELECT actor, country, intent, final_risk FROM idx", "idx"))

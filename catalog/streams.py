@@ -4,11 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from catalog import check
+from catalog import check, work_folder
 from catalog.views import FACTS, oracle, table, view
-from swaymeter.operators.aggregates import count_by
 from swaymeter.operators.joins import score_cascade
-from swaymeter.operators.paging import shared_folder
 from swaymeter.streaming import streams as S
 
 
@@ -20,7 +18,7 @@ def events_stream(spark, d):
 
 
 def folders(spark):
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
 
 
@@ -31,11 +29,13 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@check("stream_dedup", oracle("SELECT DISTINCT url FROM facts WHERE url IS NOT NULL AND posting_time IS NOT NULL", "facts"))
+@check("stream_dedup", oracle("""
+SELECT url, FALSE AS undated FROM (SELECT DISTINCT url FROM facts WHERE url IS NOT NULL AND posting_time IS NOT NULL)
+UNION ALL SELECT url, TRUE FROM facts WHERE url IS NOT NULL AND posting_time IS NULL""", "facts"))
 def _(spark, d):
     out, checkpoint = folders(spark)
-    dated = events_stream(spark, d).filter(F.col("posting_time").isNotNull())
-    S.run_once(S.dedup_stream(dated).select("url"), out, checkpoint)
+    kept = S.dedup_stream(events_stream(spark, d)).select("url", F.col("posting_time").isNull().alias("undated"))
+    S.run_once(kept, out, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -44,16 +44,15 @@ SELECT day, count FROM (SELECT CAST(posting_time AS DATE) AS day, count(*) AS co
 WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(posting_time) - INTERVAL 2 DAY FROM facts)""", "facts"))
 def _(spark, d):
     out, checkpoint = folders(spark)
-    dated = events_stream(spark, d).filter(F.col("posting_time").isNotNull())
-    S.run_once(S.daily_volume_stream(dated), out, checkpoint)
+    S.run_once(S.daily_volume_stream(events_stream(spark, d)), out, checkpoint)
     return spark.read.parquet(out)
 
 
 @check("stream_store_and_score", oracle("""
 , first AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS rn FROM facts WHERE url <> '')
-SELECT target_country, count(*) AS n FROM first WHERE rn = 1 GROUP BY target_country""", "facts"))
+SELECT id, url, target_country, TRUE AS scored FROM first WHERE rn = 1""", "facts"))
 def _(spark, d):
     out, checkpoint = folders(spark)
     index = view(spark, d, "idx")
     S.run_batches(events_stream(spark, d), S.store_writer(out, ["id"], transform=lambda b: score_cascade(b, index)), checkpoint)
-    return count_by(S.read_store(spark, out).filter(F.col("score").isNotNull()), "target_country", name="n")
+    return S.read_store(spark, out).select("id", "url", "target_country", F.col("score").isNotNull().alias("scored"))

@@ -7,7 +7,6 @@ from catalog.views import low_any, oracle, table, view
 from swaymeter import fixed_values as V
 from swaymeter.functions import text as X
 from swaymeter.operators import html
-from swaymeter.sources.readers import spread
 
 SP = r"[\s\p{Z}]"
 TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
@@ -36,6 +35,14 @@ def _(spark, d):
     return view(spark, d, "articles").select("id", X.detect_french("article_text").alias("lang"))
 
 
+@check("detect_french_whole_text", oracle("""
+, t AS (SELECT id, ' ' || lower(COALESCE(article_text, '')) || ' ' AS s FROM articles)
+SELECT id, CASE WHEN """ + " + ".join(f"CAST(contains(s, ' {w} ') AS INT)" for w in V.FRENCH_WORDS) + """ > 3
+  THEN 'fr' ELSE 'en' END AS lang FROM t""", "articles"))
+def _(spark, d):
+    return view(spark, d, "articles").select("id", X.detect_french("article_text", None).alias("lang"))
+
+
 @check("display_title", oracle(f"""
 , t AS (SELECT id, article_text, {LINES} AS lines, {WORDS} AS words FROM articles),
 c AS (SELECT *, list_filter(lines[1:3], lambda x: NOT regexp_matches(x, '(?i)^(By|On|Updated|Source:|Published|https?://|.*\\d{{4}})')
@@ -202,13 +209,13 @@ SELECT event_id, CASE event_id % 6 WHEN 3 THEN 'Neutral' WHEN 5 THEN 'Neutral' E
   CASE event_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN '' WHEN 2 THEN 'Extracted via Regex from block' WHEN 3 THEN 'Extracted via Regex'
     WHEN 4 THEN 'loose' ELSE '' END AS notes FROM r""")
 def _(spark, d):
-    replies = spark.sql(REPLIES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {e}"), e=spread(table(spark, d, "events")))
+    replies = spark.sql(REPLIES.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {e}"), e=table(spark, d, "events"))
     return replies.withColumn("p", X.parse_reply("reply")).select("event_id", "p.intent", "p.conf", "p.notes")
 
 
 # every page with authors and images of several forms put in front of its own markup
 def marked_pages(spark, d):
-    return spark.sql(MARKED.replace("FROM pages", "FROM {p}"), p=spread(table(spark, d, "pages")))
+    return spark.sql(MARKED.replace("FROM pages", "FROM {p}"), p=table(spark, d, "pages"))
 
 
 MARKED = """
@@ -227,6 +234,16 @@ def _(spark, d):
     return html.page_authors(marked_pages(spark, d)).select("page_id", "author")
 
 
+@check("page_scan_errors", """
+SELECT page_id, page_id % 5 = 0 AS broken, page_id % 5 > 0 OR page_id % 2 = 0 AS has_author FROM pages""")
+def _(spark, d):
+    before = F.when(F.col("page_id") % 2 == 0, F.lit('<meta name="author" content="Ana Lo">')).otherwise(F.lit(""))
+    odd = F.when(F.col("page_id") % 5 == 0, F.lit("<![foo[bar]]>")).otherwise(F.lit('<meta name="author" content="Bo Li">'))
+    pages = table(spark, d, "pages").select("page_id", "url", F.concat(before, odd, F.coalesce("html", F.lit(""))).alias("html"))
+    scanned = html.scan_pages(pages)
+    return scanned.select("page_id", F.col("error").isNotNull().alias("broken"), F.exists("metas", lambda m: m["name"] == "author").alias("has_author"))
+
+
 @check("page_images", """
 SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://site.example/img/lead.jpg' WHEN 1 THEN 'https://cdn.example/x.png'
   WHEN 2 THEN 'https://site.example/a/pics/one.gif' WHEN 3 THEN 'https://site.example/a/two.webp' END AS image FROM pages""")

@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from swaymeter.sources.readers import spread
 
 FACTS = """
 SELECT event_id AS id,
@@ -168,7 +167,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(pattern, whole):
             whole = re.sub(pattern, rf"\1 {{t_{base}}}", whole)
             frame = table(spark, sf_dir, base)
-            frames[f"t_{base}"] = spread(frame) if name == "articles" and base == "events" else frame
+            frames[f"t_{base}"] = frame
     return spark.sql(whole, **frames)
 
 

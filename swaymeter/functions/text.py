@@ -101,9 +101,13 @@ def summary_guard(text: ColumnOrName, size: int = 200) -> Column:
     return F.when(short, F.lit(V.TOO_SHORT_SUMMARY))
 
 
-def detect_french(text: ColumnOrName) -> Column:
-    """`fr` if more than 3 of the French words stand alone in the first 512 characters, else `en`."""
-    head = F.substring(F.lower(F.substring(F.coalesce(col(text), F.lit("")), 1, 512)), 1, 512)
+def detect_french(text: ColumnOrName, size: int | None = 512) -> Column:
+    """`fr` if more than 3 of the French words stand alone in the opening of `size` characters, else `en`.
+
+    The rule to be matched reads 512 characters; None reads the whole text.
+    """
+    whole = F.coalesce(col(text), F.lit(""))
+    head = F.lower(whole) if size is None else F.substring(F.lower(F.substring(whole, 1, size)), 1, size)
     hits = bind(F.concat(F.lit(" "), head, F.lit(" ")), lambda t: sum(
         (F.contains(t, F.lit(f" {w} ")).cast("int") for w in V.FRENCH_WORDS), F.lit(0)))
     return F.when(hits > 3, F.lit("fr")).otherwise(F.lit("en"))
@@ -138,13 +142,13 @@ def parse_timestamp(c: ColumnOrName, formats: Sequence[str] = STORY_FORMATS) ->
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
-def date_in_text(text: ColumnOrName, size: int = 300) -> Column:
-    """Date written near the start of a text.
+def date_in_text(text: ColumnOrName, size: int | None = 300) -> Column:
+    """Date written near the start of a text (the rule to be matched reads 300 characters; None: anywhere).
 
     The first of three patterns that occurs decides. Numeric dates are read day first,
     with day and month swapped where that is the only valid reading.
     """
-    head = F.substring(col(text), 1, size)
+    head = col(text) if size is None else F.substring(col(text), 1, size)
     numeric = F.regexp_extract(head, r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b", 1)
     month_first = F.regexp_extract(head, r"\b(\w+ \d{1,2}, \d{4})\b", 1)
     day_first = F.regexp_extract(head, r"\b(\d{1,2} \w+ \d{4})\b", 1)
@@ -185,11 +189,24 @@ def absolute_url(url: ColumnOrName, base: ColumnOrName) -> Column:
     root = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     page = F.regexp_replace(b, r"[?#].*$", "")
     folder = F.when(page.rlike(r"://[^/]*/"), F.regexp_replace(page, r"[^/]*$", "")).otherwise(F.concat(page, F.lit("/")))
+
+    def without_dots(full: Column) -> Column:
+        """`.` and `..` segments of the path resolved; query and fragment stay."""
+        start = F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        path = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        rest = F.regexp_extract(full, r"([?#].*)$", 1)
+        parts = F.filter(F.split(F.regexp_replace(path, r"/\.{1,2}$", "$0/"), "/"), lambda x: x != ".")
+        done = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(
+            x == "..", F.when(F.size(out) > 1, F.slice(out, F.lit(1), F.size(out) - 1)).otherwise(out)).otherwise(F.array_append(out, x)))
+        return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(start, F.array_join(done, "/"), rest)).otherwise(full)
+
     return (F.when(missing(u), F.lit(None).cast("string"))
             .when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u))
-            .when(F.startswith(u, F.lit("/")), F.concat(root, u))
+            .when(F.startswith(u, F.lit("/")), without_dots(F.concat(root, u)))
             .when(u.rlike("^https?://"), u)
-            .otherwise(F.concat(folder, u)))
+            .when(F.startswith(u, F.lit("?")), F.concat(page, u))
+            .when(F.startswith(u, F.lit("#")), F.concat(F.regexp_replace(b, r"#.*$", ""), u))
+            .otherwise(without_dots(F.concat(folder, u))))
 
 
 def url_path(url: ColumnOrName) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections.abc import Iterable, Mapping
 
@@ -72,13 +73,17 @@ def between_days(c: ColumnOrName, start: str | None, end: str | None) -> Column:
     Written as a timestamp range, so that it reaches the parquet scan.
     """
     def day(value: str | None) -> str | None:
-        return value if value and re.fullmatch(r"\d{4}-\d{1,2}-\d{1,2}", value) else None
+        found = re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", value or "")
+        try:
+            return datetime.date(*map(int, found.groups())).isoformat() if found else None
+        except ValueError:  # no such day
+            return None
 
     bounds = []
     if day(start):
-        bounds.append(col(c) >= F.to_timestamp(F.lit(start)))
+        bounds.append(col(c) >= F.to_timestamp(F.lit(day(start))))
     if day(end):
-        bounds.append(col(c) < F.to_timestamp(F.date_add(F.to_date(F.lit(end)), 1)))
+        bounds.append(col(c) < F.to_timestamp(F.date_add(F.to_date(F.lit(day(end))), 1)))
     return all_of(bounds)
 
 

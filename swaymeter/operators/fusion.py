@@ -5,6 +5,7 @@ Scores come as a long table (article_id, model, class, prob or logit).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 
 from swaymeter.functions.base import ColumnOrName, bind, col, missing
 from swaymeter.operators.aggregates import most_frequent, pick_best
+from swaymeter.operators.joins import small
 
 MATCH_THRESHOLD = 0.6
+#: Classes a class table may have: models tell apart tens of them.
+MAX_CLASSES = 10_000
 
 
 # ---- probabilities and votes ---------------------------------------------
@@ -85,55 +89,114 @@ def apply_stacking(model, features: DataFrame) -> DataFrame:
     return probs.select("article_id", F.posexplode("_p").alias("class", "prob"))
 
 
-# ---- calibration ---------------------------------------------------------
-def _venn_abers_group(pdf: pd.DataFrame, grid: int) -> pd.DataFrame:
-    """p0 and p1 on every grid score of one class (at most grid + 1 rows in).
+def apply_coefficients(scores: DataFrame, weights: DataFrame, biases: DataFrame) -> DataFrame:
+    """Long class probabilities of a stacked model given as tables: weights (model, class, out, weight), biases (out, bias).
 
-    An isotonic fit at s is max over starts a <= s of min over ends b >= s of the mean of
-    a..b; p0 and p1 are that fit with one extra point at s labelled 0 or 1.
+    A missing score counts as 0. The tables are as large as models times classes squared, so they are broadcast.
     """
-    n = np.zeros(grid + 1)
-    y = np.zeros(grid + 1)
-    bins = pdf["bin"].to_numpy(dtype=int)
-    n[bins], y[bins] = pdf["n"], pdf["positives"]
-    cum_n, cum_y = np.r_[0.0, n.cumsum()], np.r_[0.0, y.cumsum()]
-    p = np.zeros((2, grid + 1))
-    for s in range(grid + 1):
-        count = cum_n[None, s + 1:] - cum_n[: s + 1, None] + 1.0
-        hits = cum_y[None, s + 1:] - cum_y[: s + 1, None]
-        for extra in (0, 1):
-            p[extra, s] = ((hits + extra) / count).min(axis=1).max()
-    return pd.DataFrame({"class": pdf["class"].iloc[0], "bin": np.arange(grid + 1), "p0": p[0], "p1": p[1]})
+    parts = scores.join(small(weights), ["model", "class"]).groupBy("article_id", "out").agg(F.sum(F.col("prob") * F.col("weight")).alias("_z"))
+    logits = parts.join(small(biases), "out").select("article_id", F.col("out").alias("class"), (F.col("_z") + F.col("bias")).alias("logit"))
+    return softmax_long(logits, ("article_id",)).select("article_id", "class", "prob")
 
 
-def score_bin(prob: ColumnOrName, grid: int) -> Column:
-    return F.round(col(prob) * grid).cast("int")
+# ---- calibration ---------------------------------------------------------
+#: Labelled articles a calibrator is fitted on, those with the smallest id hashes.
+MAX_CALIBRATION_ROWS = 20_000
 
 
-def fit_calibrator(probs: DataFrame, labels: DataFrame, grid: int = 500) -> DataFrame:
-    """One-against-rest Venn-Abers table (class, bin, p0, p1).
+def _venn_abers_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """p0 and p1 at every score of one class and in every gap between scores.
 
-    Scores are counted on a grid before anything is grouped, so a class arrives as at
-    most grid + 1 counts however many labelled articles there are.
+    p0 and p1 at s are the isotonic fit at s with one extra point there, labelled 0 or 1. The fits of the scores before
+    and after s are kept as stacks of pooled blocks that share their tails, and the extra point pools what it must.
     """
+    pdf = pdf.sort_values("prob")
+    points = list(zip(pdf["positives"].astype(float), pdf["n"].astype(float), strict=True))
+
+    def stacks(some, falls):
+        """The stack after each prefix of `some`; a stack is (positives, size, rest) or None."""
+        out = [None]
+        for y, n in some:
+            rest = out[-1]
+            while rest is not None and falls(rest[0] * n, y * rest[1]):
+                y, n, rest = y + rest[0], n + rest[1], rest[2]
+            out.append((y, n, rest))
+        return out
+
+    before = stacks(points, lambda mean, own: mean > own)
+    after = stacks(points[::-1], lambda mean, own: mean < own)[::-1]
+
+    def fit(left, right, y, n):
+        while True:
+            if left is not None and left[0] * n > y * left[1]:
+                y, n, left = y + left[0], n + left[1], left[2]
+            elif right is not None and right[0] * n < y * right[1]:
+                y, n, right = y + right[0], n + right[1], right[2]
+            else:
+                return y / n
+
+    rows = [(-math.inf, False, *(fit(None, after[0], float(e), 1.0) for e in (0, 1)))]
+    for j, (score, (y, n)) in enumerate(zip(pdf["prob"], points, strict=True)):
+        rows.append((score, True, *(fit(before[j], after[j + 1], y + e, n + 1) for e in (0, 1))))
+        rows.append((score, False, *(fit(before[j + 1], after[j + 1], float(e), 1.0) for e in (0, 1))))
+    return pd.DataFrame([(pdf["class"].iloc[0], *r) for r in rows], columns=["class", "score", "exact", "p0", "p1"])
+
+
+def fit_calibrator(probs: DataFrame, labels: DataFrame, max_rows: int = MAX_CALIBRATION_ROWS) -> DataFrame:
+    """One-against-rest Venn-Abers table (class, score, exact, p0, p1).
+
+    `exact` rows hold at the score, the others between it and the next one. Equal scores are counted before a class is
+    gathered, and a class has at most `max_rows` labelled articles. A split of the labelled articles that the models
+    were not trained on is the caller's to choose.
+    """
+    known = labels.select("article_id", "label").orderBy(F.xxhash64("article_id"), "article_id", "label").limit(max_rows)
     hit = (F.col("class") == F.col("label")).cast("long")
-    counts = (probs.join(labels.select("article_id", "label"), "article_id")
-              .groupBy(F.col("class").cast("int").alias("class"), score_bin("prob", grid).alias("bin"))
+    counts = (probs.filter(F.col("prob").isNotNull()).join(known, "article_id")
+              .groupBy(F.col("class").cast("int").alias("class"), F.col("prob").cast("double").alias("prob"))
               .agg(F.count("*").alias("n"), F.sum(hit).alias("positives")))
-    return counts.groupBy("class").applyInPandas(lambda pdf: _venn_abers_group(pdf, grid),
-                                                 "class int, bin int, p0 double, p1 double")
+    return counts.groupBy("class").applyInPandas(_venn_abers_group, "class int, score double, exact boolean, p0 double, p1 double")
+
 
+def calibrate(probs: DataFrame, calibrator: DataFrame | None, max_rows: int = MAX_CALIBRATION_ROWS) -> DataFrame:
+    """Calibrated probabilities that sum to 1 per article; without a calibrator, as they are.
 
-def calibrate(probs: DataFrame, calibrator: DataFrame | None, grid: int = 500) -> DataFrame:
-    """Calibrated probabilities that sum to 1 per article; without a calibrator, as they are."""
+    The calibrator is as large as its scores, at most 2 * max_rows + 1 rows a class, and is looked up in place.
+    """
     if calibrator is None:
         return probs
-    keyed = probs.withColumns({"class": F.col("class").cast("int"), "bin": score_bin("prob", grid)})
-    # the table has at most grid + 1 rows per class, while one bin can hold most scores
-    raw = keyed.join(F.broadcast(calibrator), ["class", "bin"], "left").withColumn(
-        "_p", F.coalesce(F.col("p1") / (F.col("p0") + F.col("p1") + 1e-15), F.col("prob")))
+    tables = {}
+    for (klass,), rows in _by_class(calibrator, max_rows).items():
+        rows = sorted(rows, key=lambda r: (r["score"], not r["exact"]))
+        tables[klass] = (np.array([r["score"] for r in rows]), np.array([r["exact"] for r in rows]),
+                         np.array([r["p1"] / (r["p0"] + r["p1"] + 1e-15) for r in rows]))
+
+    @F.pandas_udf("double")
+    def looked_up(klass: pd.Series, prob: pd.Series) -> pd.Series:
+        out = prob.astype(float).copy()
+        for k, (scores, _, values) in tables.items():
+            own = ((klass == k) & prob.notna()).to_numpy()
+            if own.any():
+                p = prob[own].to_numpy(float)
+                at = np.searchsorted(scores, p, side="right") - 1
+                # the last row of a score is the gap above it, the row before it the score itself
+                out[own] = values[np.where((scores[at] == p), at - 1, at)]
+        return out
+
+    raw = probs.withColumn("_p", looked_up(F.col("class").cast("int"), F.col("prob").cast("double")))
     total = F.sum("_p").over(Window.partitionBy("article_id"))  # one row per class
-    return raw.select("article_id", "class", F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)).alias("prob"))
+    return raw.select("article_id", F.col("class").cast("int").alias("class"), F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)).alias("prob"))
+
+
+def _by_class(calibrator: DataFrame, max_rows: int) -> dict[tuple[int], list]:
+    n_classes = calibrator.select("class").distinct().limit(MAX_CLASSES + 1).count()
+    most = n_classes * (2 * max_rows + 1)
+    rows = calibrator.limit(most + 1).collect()
+    if n_classes > MAX_CLASSES or len(rows) > most:
+        raise ValueError(f"the calibrator has more than {2 * max_rows + 1} rows a class or more than {MAX_CLASSES} classes")
+    out: dict[tuple[int], list] = {}
+    for r in rows:
+        out.setdefault((r["class"],), []).append(r)
+    return out
 
 
 # ---- scoring texts -------------------------------------------------------
@@ -144,9 +207,21 @@ def score_texts(df: DataFrame, make_scorer: Callable[[], Scorer], text: str = "a
                 batch: int = 20) -> DataFrame:
     """(key, label, conf) from an outside model, called on batches of texts.
 
-    The model is made once per task. A batch that fails gives ('unknown', 0.0) rows; a
-    task whose model cannot be made gives them for all its rows.
+    The model is made once per task. A batch that fails is asked again text by text, and only a text that fails alone
+    gives ('unknown', 0.0), so the result does not depend on how rows fall into batches; a task whose model cannot be
+    made gives that for all its rows.
     """
+    def ask(scorer: Scorer | None, texts: list[str]) -> list[tuple[str, float]]:
+        try:
+            scored = [(str(a), float(b)) for a, b in scorer(texts)]
+            if len(scored) != len(texts):
+                raise ValueError("one result per text expected")
+            return scored
+        except Exception:
+            if len(texts) == 1 or scorer is None:
+                return [("unknown", 0.0)] * len(texts)
+            return [one for t in texts for one in ask(scorer, [t])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
             scorer = make_scorer()
@@ -156,14 +231,7 @@ def score_texts(df: DataFrame, make_scorer: Callable[[], Scorer], text: str = "a
             out: list[tuple[str, float]] = []
             texts = frame[text].fillna("").tolist()
             for i in range(0, len(texts), batch):
-                part = texts[i:i + batch]
-                try:
-                    scored = [(str(a), float(b)) for a, b in scorer(part)]
-                    if len(scored) != len(part):
-                        raise ValueError("one result per text expected")
-                except Exception:
-                    scored = [("unknown", 0.0)] * len(part)
-                out += scored
+                out += ask(scorer, texts[i:i + batch])
             yield pd.DataFrame({key: frame[key], "label": [a for a, _ in out], "conf": [b for _, b in out]})
 
     kind = df.schema[key].dataType.simpleString()
@@ -172,15 +240,27 @@ def score_texts(df: DataFrame, make_scorer: Callable[[], Scorer], text: str = "a
 
 def decode_labels(df: DataFrame, classes: DataFrame, column: str = "class", name: str = "label",
                   default: str = "Factual") -> DataFrame:
-    """Class index to name through a class table (`class`, `label`)."""
-    table = classes.select(F.col("class").alias(column), F.col("label").alias(name))
-    return df.join(table, column, "left").withColumn(name, F.coalesce(name, F.lit(default)))
+    """Class index to name through a class table (`class`, `label`), which is small by its nature.
+
+    The table becomes one map that every row looks up in place: rows are not dealt out by class. A table of more than
+    MAX_CLASSES classes is an error.
+    """
+    known = classes.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("label").alias("label"))
+    n = known.count()
+    if n > MAX_CLASSES:
+        raise ValueError(f"{n} classes; the bound is {MAX_CLASSES}")
+    names = known.agg(F.map_from_entries(F.collect_list(F.struct("class", "label")))).scalar()
+    return df.withColumn(name, F.coalesce(F.try_element_at(names, F.col(column)), F.lit(default)))
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:
-    """Class table (class, label): distinct labels in sorted order, counted from 0."""
-    classes = df.filter(F.col(label).isNotNull()).agg(F.array_sort(F.collect_set(label)).alias("_l"))
-    return classes.select(F.posexplode("_l").alias("class", "label"))
+    """Class table (class, label): distinct labels in sorted order, counted from 0.
+
+    The ranks are counted on the distinct labels, each of which is met once.
+    """
+    classes = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
+    rank = F.row_number().over(Window.orderBy("label")) - 1  # one row per class
+    return classes.select(rank.alias("class"), "label")
 
 
 # ---- merging two sources -------------------------------------------------

@@ -21,18 +21,21 @@ from swaymeter.functions.text import absolute_url, is_image_url, is_meaningful_i
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SCAN_SCHEMA = ("{keys}, url string, metas array<struct<name:string,content:string>>, "
                "linked_data array<struct<author:string,image:string>>, bylines array<struct<rule:int,text:string>>, "
-               "images array<struct<rule:int,url:string>>, logos array<struct<rule:int,url:string>>, head string")
+               "images array<struct<rule:int,url:string>>, logos array<struct<rule:int,url:string>>, head string, "
+               "error string")
 CONTENT = [("tag", "article"), ("tag", "main"), ("role", "main"), ("class", "article-body"),
            ("class", "post-content"), ("class", "entry-content"), ("id", "content"), ("class", "content")]
 ALL_IMAGES = len(CONTENT)
+#: Characters of text at the start of a page that "By Name" is looked for in (the matching rule); None: the whole text.
 HEAD_CHARS = 500
 
 
 class _Scan(HTMLParser):
     """Collects metas, linked data, bylines, images and logos of one page."""
 
-    def __init__(self):
+    def __init__(self, head_chars: int | None = HEAD_CHARS):
         super().__init__(convert_charrefs=True)
+        self.head_chars = head_chars
         self.open: list[tuple[str, dict]] = []
         self.metas, self.linked_data, self.images, self.logos, self.head = [], [], [], [], ""
         self.byline: dict[int, list] = {}     # rule -> [depth, text]
@@ -99,7 +102,7 @@ class _Scan(HTMLParser):
             for b in self.byline.values():
                 if b[2]:
                     b[1] += data
-            if len(self.head) < HEAD_CHARS:
+            if self.head_chars is None or len(self.head) < self.head_chars:
                 self.head += data
 
 
@@ -122,21 +125,25 @@ def _linked_data(text: str) -> list[dict]:
     return out
 
 
-def _scan(html: str | None) -> dict:
-    page = _Scan()
-    page.feed(html or "")
-    page.close()
-    return {"metas": page.metas, "linked_data": page.linked_data,
+def _scan(html: str | None, head_chars: int | None = HEAD_CHARS) -> dict:
+    """Candidates of one page; a page that the parser gives up on keeps what was found before, and says why."""
+    page, error = _Scan(head_chars), None
+    try:
+        page.feed(html or "")
+        page.close()
+    except (AssertionError, ValueError, RecursionError) as e:
+        error = f"{type(e).__name__}: {e}"
+    return {"error": error, "metas": page.metas, "linked_data": page.linked_data,
             "bylines": [{"rule": r, "text": b[1]} for r, b in sorted(page.byline.items())],
-            "images": page.images, "logos": page.logos, "head": page.head[:HEAD_CHARS]}
+            "images": page.images, "logos": page.logos, "head": page.head[:head_chars]}
 
 
-def scan_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def scan_pages(pages: DataFrame, key: str = "page_id", head_chars: int | None = HEAD_CHARS) -> DataFrame:
     """Candidates of every page; the HTML itself is not passed on."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = pd.DataFrame([_scan(h) for h in frame["html"]],
-                                 columns=["metas", "linked_data", "bylines", "images", "logos", "head"])
+            found = pd.DataFrame([_scan(h, head_chars) for h in frame["html"]],
+                                 columns=["metas", "linked_data", "bylines", "images", "logos", "head", "error"])
             yield pd.concat([frame[[key, "url"]].reset_index(drop=True), found], axis=1)
 
     kind = f"{key} {pages.schema[key].dataType.simpleString()}"

@@ -11,12 +11,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import (AUTOMATON_TERMS, bind, has_automaton, iexact, look_up, present, strip,
-                                      term_hits)
+from swaymeter.functions.base import bind, contains_any, iexact, look_up, present, strip
 from swaymeter.functions.labels import alias, score_intent
-from swaymeter.operators.aggregates import best_risk, max_risk, pick_best
+from swaymeter.operators.aggregates import best_risk, pick_best
 
 
 def spread_key(key: Column, usable: Column, row_id: str = "id") -> Column:
@@ -81,12 +81,23 @@ def _link(df, profiles, column, fk, ignore_case):
 def of_outlet(df: DataFrame, outlets: DataFrame, outlet: str) -> DataFrame:
     """Articles of an outlet, by their linked profile or by the name in the text column."""
     ids = outlets.filter(iexact("name", outlet)).select(F.col("id").alias("media_outlet_fk"), F.lit(True).alias("_hit"))
-    joined = df.join(ids.distinct(), "media_outlet_fk", "left")
+    keyed = df.withColumn("_key", spread_key(F.col("media_outlet_fk").cast("string"), F.col("media_outlet_fk").isNotNull()))
+    linked = ids.select(F.col("media_outlet_fk").cast("string").alias("_key"), "_hit").distinct()
+    joined = keyed.join(linked, "_key", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False)) | F.coalesce(iexact("media_outlet", outlet), F.lit(False))
     return joined.filter(hit).drop("_hit").select(*df.columns)
 
 
 # ---- score lookups -------------------------------------------------------
+#: Rows of a lookup table that is sent to every task; an index has a few hundred (actors times countries).
+MAX_LOOKUP = 100_000
+
+
+def small(table: DataFrame, most: int = MAX_LOOKUP) -> DataFrame:
+    """A lookup table marked for broadcast after its rows have been counted; beyond the bound Spark joins as it sees fit."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def _key(c: Column) -> Column:
     return F.lower(strip(c))
 
@@ -113,14 +124,19 @@ def score_cascade(df: DataFrame, index: DataFrame) -> DataFrame:
     fill = {c: F.coalesce(F.col(c), F.lit("")) for c in ("target_country", "inferred_actor", "strategic_intent")}
     country = alias("country", "score", fill["target_country"])
     actor = alias("actor", "score", fill["inferred_actor"])
-    exact = _exact(df, index, country, actor, score_intent(fill["strategic_intent"]), "_exact")
-    pair = max_risk(index.withColumns({"_c": _key(F.col("country")), "_a": _key(F.col("actor"))}), "_c", "_a")
+    folded = index.withColumns({"_c": _key(F.col("country")), "_a": _key(F.col("actor")), "_i": _key(F.col("intent"))})
+    best = folded.filter(F.col("_c").isNotNull() & F.col("_a").isNotNull()).groupBy("_c", "_a", "_i").agg(F.max("final_risk").alias("risk"))
+    # one row per pair: its scores by intent and its highest score
+    pairs = best.groupBy("_c", "_a").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "risk")))).alias("_by_intent"),
+        F.max("risk").alias("_pair"))
+    keyed = df.withColumns({"_c": _key(country), "_a": _key(actor), "_i": _key(score_intent(fill["strategic_intent"]))})
+    joined = keyed.join(small(pairs), ["_c", "_a"], "left").withColumn("_exact", F.try_element_at("_by_intent", F.coalesce("_i", F.lit(""))))
     constant = F.coalesce(look_up(F.col("strategic_intent"), V.INTENT_CONSTANTS), F.lit(V.INTENT_CONSTANT_DEFAULT))
-    return (exact.join(pair, ["_c", "_a"], "left")
-            .withColumn("score", F.coalesce("_exact", "max_risk", constant))
+    return (joined.withColumn("score", F.coalesce("_exact", "_pair", constant))
             .withColumn("match_level", F.when(F.col("_exact").isNotNull(), F.lit("exact"))
-                        .when(F.col("max_risk").isNotNull(), F.lit("pair")).otherwise(F.lit("constant")))
-            .drop("_c", "_a", "_i", "_exact", "max_risk"))
+                        .when(F.col("_pair").isNotNull(), F.lit("pair")).otherwise(F.lit("constant")))
+            .drop("_c", "_a", "_i", "_by_intent", "_exact", "_pair"))
 
 
 def score_without_actor(df: DataFrame, index: DataFrame, country: Column, intent: Column, actor: Column) -> DataFrame:
@@ -183,10 +199,14 @@ def labelled_by(df: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
 
 
 def resolve_with(df: DataFrame, column: str, aliases: DataFrame, name: str) -> DataFrame:
-    """Canonical spelling from an alias table (`key`, `value`), unknown names unchanged."""
+    """Canonical spelling from an alias table (`key`, `value`), unknown names unchanged.
+
+    A NULL name meets nothing and gets a key from the other columns, so that rows without a name are dealt out evenly.
+    """
+    own = F.xxhash64(*[f.name for f in df.schema if not isinstance(f.dataType, T.MapType)]).cast("string")
     table = aliases.groupBy(F.lower("key").alias("_key")).agg(F.min("value").alias("_value"))
     usable = F.col(column).isNotNull()
-    keyed = df.withColumn("_key", F.when(usable, F.lower(strip(column))).otherwise(F.lit("\u0001")))
+    keyed = df.withColumn("_key", F.when(usable, F.lower(strip(column))).otherwise(F.concat(F.lit("\u0001"), own)))
     return (keyed.join(table, "_key", "left").withColumn(name, F.coalesce("_value", column))
             .drop("_key", "_value"))
 
@@ -194,8 +214,8 @@ def resolve_with(df: DataFrame, column: str, aliases: DataFrame, name: str) -> D
 def term_mentions(df: DataFrame, terms: Sequence[tuple[str, str]], text: str = "article_text") -> DataFrame:
     """One row per article and mentioned term: (id, group, term).
 
-    Each text is folded once and searched in place for the (literal) term list, so
-    articles are never joined with terms and only hits are emitted.
+    Texts that hold none of the (literal) terms are left out by one pass of one pattern. The others are folded once
+    and searched in place, so articles are never joined with terms and only hits are emitted.
     """
     terms = list(terms)
     upper = F.upper(F.col(text))
@@ -205,11 +225,10 @@ def term_mentions(df: DataFrame, terms: Sequence[tuple[str, str]], text: str = "
         found = [F.when(F.contains(t, F.lit(w)), F.lit(i)) for i, w in enumerate(spelled)]
         return F.filter(F.array(*found), lambda h: h.isNotNull())
 
-    many = len(spelled) > AUTOMATON_TERMS and has_automaton()
-    hits = term_hits(upper, spelled) if many else bind(upper, search)
+    hits = bind(upper, search)
     names = F.array(*[F.array(*[F.struct(F.lit(g).alias("group"), F.lit(t).alias("term"))
                                 for g, t in terms if t.upper() == w]) for w in spelled])
-    each = df.select("id", hits.alias("_hits")).select("id", F.explode("_hits").alias("_i"))
+    each = df.filter(contains_any(text, spelled)).select("id", hits.alias("_hits")).select("id", F.explode("_hits").alias("_i"))
     return each.select("id", F.explode(names[F.col("_i")]).alias("_h")).select("id", "_h.group", "_h.term")
 
 

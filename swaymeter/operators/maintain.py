@@ -25,9 +25,15 @@ def upsert(dimension: DataFrame, updates: DataFrame, fields: Sequence[str], orde
             .select(*dimension.columns))
 
 
-def keyed_update(df: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
-    """Overwrite columns of the rows whose key has an update; NULL updates count."""
-    u = updates.select(F.col(key), F.struct(*columns).alias("_u"))
+def keyed_update(df: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "id",
+                 order: str | None = None) -> DataFrame:
+    """Overwrite columns of the rows whose key has an update; NULL updates count.
+
+    Of several updates with one key the last in `order` wins, without an order the largest by value; ties in the
+    order go by value, too. So every row of `df` comes out once.
+    """
+    rank = F.struct(*([order] if order else []), F.struct(*columns).alias("_u"))
+    u = updates.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(rank)["_u"].alias("_u"))
     new = {c: F.when(F.col("_u").isNotNull(), F.col(f"_u.{c}")).otherwise(F.col(c)) for c in columns}
     return df.join(u, key, "left").withColumns(new).select(*df.columns)
 

@@ -6,16 +6,14 @@ texts never take part in a sort.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swaymeter.functions.base import newest_first
 
-NEAR_END = 100_000
-
 
 @dataclass
 class Page:
@@ -62,12 +60,12 @@ NEWEST = [("posting_time", False, True), ("id", True, False)]
 
 
 def paginate(df: DataFrame, page: object, size: int, order: Sequence[tuple[str, bool, bool]] = NEWEST,
-             key: str = "id", near_end: int = NEAR_END) -> Page:
+             key: str = "id") -> Page:
     """Page `page` of the rows in a total order, given as (column, ascending, nulls first).
 
-    `key` must be unique. The page is taken from the nearer end of the order. A page that
-    is far from both ends is cut out of a distributed sort, so no task ever gets more
-    than its share of the keys.
+    `key` must be unique. Rows come in page order, with their place in the whole order in `position` (from 1). Only
+    keys are sorted, from the nearer end; a reader who walks on from page to page uses `page_after`, which costs the
+    same however far it has come.
     """
     total = df.count()
     num_pages = max(1, -(-total // size))
@@ -77,52 +75,51 @@ def paginate(df: DataFrame, page: object, size: int, order: Sequence[tuple[str,
     names = list(dict.fromkeys([n for n, _, _ in order] + [key]))
     keys = df.select(*names)
     behind = total - skip - take
-    if min(skip, behind) <= near_end:
-        if skip <= behind:
-            chosen = keys.orderBy(*_columns(order)).offset(skip).limit(take)
-        else:
-            chosen = keys.orderBy(*_columns(_reverse(order))).offset(behind).limit(take)
+    if skip <= behind:
+        chosen = keys.orderBy(*_columns(order)).offset(skip).limit(take)
     else:
-        chosen = _from_sorted_ranges(keys, order, skip, take)
-    rows = df.join(F.broadcast(chosen.select(key)), key, "left_semi")
-    return Page(rows, number, num_pages, total)
+        chosen = keys.orderBy(*_columns(_reverse(order))).offset(behind).limit(take)
+    return Page(_in_order(df, chosen, order, key, skip), number, num_pages, total)
 
 
-def _from_sorted_ranges(keys: DataFrame, order, skip: int, take: int) -> DataFrame:
-    """Rows skip .. skip+take of a range-partitioned sort.
+def page_after(df: DataFrame, size: int, last: Mapping[str, object] | None = None,
+               order: Sequence[tuple[str, bool, bool]] = NEWEST, key: str = "id") -> DataFrame:
+    """The next `size` rows after the row whose order columns are `last` (None: the first rows), in order.
 
-    The sorted keys are checkpointed, which pins the partition each key lies in; the
-    driver sees one count per partition.
+    A filter and a top-n: every task sends at most `size` keys.
     """
-    ensure_checkpoint_dir(keys)
-    cols = _columns(order)
-    placed = (keys.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id()).checkpoint())
-    start, pieces = 0, []
-    for row in placed.groupBy("_part").count().orderBy("_part").collect():
-        first, last = max(skip, start), min(skip + take, start + row["count"])
-        if first < last:
-            part = placed.filter(F.col("_part") == row["_part"])
-            pieces.append(part.orderBy(*cols).offset(first - start).limit(last - first))
-        start += row["count"]
-    out = pieces[0]
-    for p in pieces[1:]:
-        out = out.unionByName(p)
-    return out.drop("_part")
-
-
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the cluster's checkpoint folder; only a session without one gets a local folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    keys = df if last is None else df.filter(_behind(order, last))
+    chosen = keys.select(*dict.fromkeys([n for n, _, _ in order] + [key])).orderBy(*_columns(order)).limit(size)
+    return _in_order(df, chosen, order, key, 0)
+
+
+def _behind(order: Sequence[tuple[str, bool, bool]], last: Mapping[str, object]) -> Column:
+    """Whether a row stands behind `last` in the order."""
+    behind = F.lit(False)
+    for name, asc, nulls_first in reversed(order):
+        value, c = last[name], F.col(name)
+        if value is None:
+            further = c.isNotNull() if nulls_first else F.lit(False)
+        else:
+            further = c > F.lit(value) if asc else c < F.lit(value)
+            further = F.coalesce(further, F.lit(not nulls_first))
+        behind = further | (c.eqNullSafe(F.lit(value)) & behind)
+    return behind
 
 
-def shared_folder(spark) -> str:
-    """Folder for intermediate tables: `spark.checkpoint.dir`, or a new local one when unset."""
-    import tempfile
+def _in_order(df: DataFrame, chosen: DataFrame, order, key: str, skip: int) -> DataFrame:
+    """The rows of at most one page of chosen keys, in order and numbered; the window spans these rows only."""
+    place = F.row_number().over(Window.orderBy(*_columns(order))) + skip
+    numbered = chosen.withColumn("position", place.cast("bigint")).select(key, "position")
+    return df.join(F.broadcast(numbered), key).select(*df.columns, "position").orderBy("position")
+
 
+def shared_folder(spark) -> str:
+    """Folder for intermediate tables that driver and executors share: `spark.checkpoint.dir`."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="swaymeter-")
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return configured.rstrip("/")
 
 
 def first_ids_cutoff(df: DataFrame, n: int, key: str = "id") -> DataFrame:

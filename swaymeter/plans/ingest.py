@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from swaymeter.functions.base import missing
 from swaymeter.functions.labels import override_actor
 from swaymeter.operators.filters import relevant, scrape_ok
-from swaymeter.operators.joins import surrogate_id
+from swaymeter.operators.joins import spread_key, surrogate_id
 from swaymeter.operators.paging import capped
 from swaymeter.operators.sets import first_per_key
 
@@ -29,7 +29,9 @@ def story_outcomes(stories: DataFrame, page_texts: DataFrame, store: DataFrame,
     `stories` has a unique `row_id`; `page_texts` is (url, article_text), one row per url.
     """
     run = capped(stories, cap, *order).withColumn("_target", F.coalesce("target_country", F.lit("")))
-    stored = store.filter(~missing("url")).select("url").distinct().withColumn("_stored", F.lit(True))
+    # stories without a url get keys of their own, so that they are not dealt to one task
+    run = run.withColumn("_url", spread_key(F.col("url"), ~missing("url"), row_id))
+    stored = store.filter(~missing("url")).select(F.col("url").alias("_url")).distinct().withColumn("_stored", F.lit(True))
     # texts are judged once per (url, target), however many stories share the url
     text = F.col("article_text")
     gate = (F.when(text.isNull(), F.lit("no page"))
@@ -37,8 +39,8 @@ def story_outcomes(stories: DataFrame, page_texts: DataFrame, store: DataFrame,
             .when(~scrape_ok("article_text"), F.lit("scrape error"))
             .when(F.length(text) <= min_chars, F.lit("too short")))
     verdicts = (run.filter(~missing("url")).select("url", "_target").distinct().join(page_texts, "url", "left")
-                .select("url", "_target", gate.alias("_gate")))
-    joined = run.join(stored, "url", "left").join(verdicts, ["url", "_target"], "left")
+                .select(F.col("url").alias("_url"), "_target", gate.alias("_gate")))
+    joined = run.join(stored, "_url", "left").join(verdicts, ["_url", "_target"], "left")
     reason = (F.when(missing("url"), F.lit("no url")).when(F.col("_stored").isNotNull(), F.lit("already stored"))
               .otherwise(F.col("_gate")))
     judged = joined.withColumn("_reason", reason)
@@ -48,7 +50,7 @@ def story_outcomes(stories: DataFrame, page_texts: DataFrame, store: DataFrame,
     outcome = F.coalesce("_reason", F.when(F.col("_first").isNull(), F.lit("duplicate in run")), F.lit("saved"))
     actor = override_actor("inferred_actor", "url", "media_outlet")
     return (judged.join(winners, row_id, "left").withColumn("outcome", outcome).withColumn("inferred_actor", actor)
-            .drop("_first", "_stored", "_reason", "_gate", "_target"))
+            .drop("_first", "_stored", "_reason", "_gate", "_target", "_url"))
 
 
 def ingest_stories(stories: DataFrame, page_texts: DataFrame, store: DataFrame, order: Sequence[str],

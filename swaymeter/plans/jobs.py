@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from swaymeter import fixed_values as V
 from swaymeter import schemas
 from swaymeter.functions.base import present
-from swaymeter.functions.labels import is_valid_country, untuple_tone
+from swaymeter.functions.labels import is_valid_country, is_valid_pair, resolve_actor, untuple_tone
 from swaymeter.operators import filters as P
 from swaymeter.operators import fusion, html, joins, maintain
-from swaymeter.operators.paging import capped, mark_first
+from swaymeter.operators.paging import capped
 from swaymeter.plans.ingest import ingest_stories
 from swaymeter.plans.risk_index import build_index, score_articles
 from swaymeter.sources import readers, sinks
@@ -26,15 +26,19 @@ from swaymeter.sources import readers, sinks
 
 def import_articles(spark: SparkSession, csv: str, out: str, rejects: str, anchor_size: int = 0,
                     anchor_ids: str = "") -> None:
-    """Articles from CSV; anchors are the first rows or the ids on a list."""
-    rows, bad = readers.read_articles_csv(spark, csv)
-    # a CSV with quoted line breaks is read file by file, so this counts in file order
-    rows = rows.withColumn("id", F.monotonically_increasing_id())
+    """Articles from CSV; anchors are the first rows (by file name, then by line) or the ids on a list.
+
+    The id is a hash of the file's path and the line's place, so a repeated import gives the same ids and an import of
+    other files other ones.
+    """
+    rows, bad = readers.read_articles_csv(spark, csv, place=True)
+    rows = rows.withColumn("id", readers.place_id("_file", "_line"))
     if anchor_ids:
         rows = joins.mark_listed(rows, readers.read_ids(spark, anchor_ids))
     elif anchor_size:
-        rows = mark_first(rows, anchor_size)
-    sinks.append_articles(rows, out)
+        first = rows.select("id", "_file", "_line").orderBy("_file", "_line").limit(anchor_size).select("id")
+        rows = joins.mark_listed(rows, first)
+    sinks.append_articles(rows.drop("_file", "_line"), out)
     bad.write.mode("overwrite").json(rejects)
 
 
@@ -43,10 +47,10 @@ def import_index(spark: SparkSession, csv: str, out: str) -> str:
 
 
 def import_dimensions(spark: SparkSession, csv: str, table: str, out: str, kind: str = "outlets") -> None:
-    """Insert or update outlets or journalists from CSV; later lines win."""
+    """Insert or update outlets or journalists from CSV; later lines (of later file names) win."""
     fields = schemas.OUTLET_FIELDS if kind == "outlets" else schemas.JOURNALIST_FIELDS
     read = readers.read_outlets_csv if kind == "outlets" else readers.read_journalists_csv
-    updates = read(spark, csv).withColumn("_line", F.monotonically_increasing_id())
+    updates = read(spark, csv, place=True).withColumn("_line", F.struct("_file", "_line"))
     old = spark.read.parquet(table) if table else spark.createDataFrame(
         [], "id bigint, " + ", ".join(f"{f} string" for f in fields))
     maintain.upsert(old, updates, fields[1:], "_line").write.mode("overwrite").parquet(out)
@@ -89,16 +93,26 @@ def repair(spark: SparkSession, articles: str, out: str, dry_run: str = "") -> N
     after.write.mode("overwrite").parquet(out)
 
 
-def label(spark: SparkSession, articles: str, predictions: str, out: str, limit: int = 0, dry_run: str = "") -> None:
-    """Fill missing labels from predictions (id, model, model_conf, llm, llm_conf, tone)."""
+def label(spark: SparkSession, articles: str, predictions: str, out: str, limit: int = 0, min_chars: int = 50,
+          dry_run: str = "") -> None:
+    """Fill missing labels from predictions (id, model, model_conf, llm, llm_conf, tone, and optionally tone_conf).
+
+    Takes articles of a monitored country with at least `min_chars` characters, resolves their actor from outlet and
+    text, keeps pairs that may influence each other, and stores the surer of intent and tone as confidence.
+    """
     before = spark.read.parquet(articles)
-    todo = capped(before.filter(P.needs_processing() & is_valid_country("target_country")), limit or None, "id")
-    merged = spark.read.parquet(predictions).withColumn(
-        "_m", fusion.merge_either("model", "model_conf", "llm", "llm_conf")).filter(F.col("_m").isNotNull())
-    updates = merged.join(todo.select("id"), "id", "left_semi").select(
-        "id", F.col("_m.intent").alias("strategic_intent"), F.col("_m.conf").alias("confidence"),
-        F.col("_m.source").alias("prediction_source"), "tone")
-    columns = ["strategic_intent", "confidence", "prediction_source", "tone"]
+    todo = before.filter(P.needs_processing() & is_valid_country("target_country") & (F.length("article_text") >= min_chars))
+    todo = todo.select("id", "target_country", resolve_actor("inferred_actor", "media_outlet", "article_text").alias("inferred_actor"))
+    todo = capped(todo.filter(is_valid_pair("target_country", "inferred_actor")), limit or None, "id")
+    found = spark.read.parquet(predictions)
+    if "tone_conf" not in found.columns:
+        found = found.withColumn("tone_conf", F.lit(0.0))
+    merged = found.withColumn("_m", fusion.merge_either("model", "model_conf", "llm", "llm_conf")).filter(F.col("_m").isNotNull())
+    updates = merged.join(todo.select("id", "inferred_actor"), "id").select(
+        "id", F.col("_m.intent").alias("strategic_intent"),
+        fusion.final_confidence(F.col("_m.conf"), F.coalesce("tone_conf", F.lit(0.0))).alias("confidence"),
+        F.col("_m.source").alias("prediction_source"), "tone", "inferred_actor")
+    columns = ["strategic_intent", "confidence", "prediction_source", "tone", "inferred_actor"]
     after = maintain.keyed_update(before, updates, columns)
     if dry_run:
         after = maintain.change_set(before, after, columns)
@@ -116,8 +130,25 @@ def index(spark: SparkSession, articles: str, out: str, as_of: str, r_metric: st
     return sinks.replace_table(cube, out)
 
 
-def all(spark: SparkSession, articles: str, work: str, index_path: str, as_of: str) -> None:  # noqa: A001
-    """Repair, keep pseudo labels, recompute the index, score."""
+def fill_intents(spark: SparkSession, articles: str, predictions: str, out: str) -> None:
+    """Intents for articles without one, from predictions (id, intent, conf, tone)."""
+    maintain.fill_missing_intents(spark.read.parquet(articles), spark.read.parquet(predictions)).write.mode("overwrite").parquet(out)
+
+
+def relabel(spark: SparkSession, articles: str, predictions: str, out: str, cutoff: int = 0) -> None:
+    """Index intents for unlabelled articles, and anchors up to the id `cutoff`."""
+    done = maintain.relabel_for_index(spark.read.parquet(articles), spark.read.parquet(predictions), cutoff)
+    done.write.mode("overwrite").parquet(out)
+
+
+def all(spark: SparkSession, articles: str, work: str, index_path: str, as_of: str, csv: str = "",  # noqa: A001
+        predictions: str = "", anchor_size: int = 0) -> None:
+    """Import (with `csv`), label (with `predictions`), repair, keep pseudo labels, recompute the index, score."""
+    if csv:
+        import_articles(spark, csv, articles, f"{work}/rejected", anchor_size)
+    if predictions:
+        label(spark, articles, predictions, f"{work}/labelled")
+        articles = f"{work}/labelled"
     repair(spark, articles, f"{work}/repaired")
     kept = fusion.keep_pseudo_labels(spark.read.parquet(f"{work}/repaired").filter(present("article_text")))
     kept.write.mode("overwrite").parquet(f"{work}/kept")
@@ -126,7 +157,7 @@ def all(spark: SparkSession, articles: str, work: str, index_path: str, as_of: s
 
 
 JOBS: dict[str, Callable] = {f.__name__: f for f in (
-    import_articles, import_index, import_dimensions, ingest, link, backfill_authors, repair, label, score, index, all)}
+    import_articles, import_index, import_dimensions, ingest, link, backfill_authors, repair, label, fill_intents, relabel, score, index, all)}
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
 from swaymeter.functions import text as X
-from swaymeter.functions.base import iexact, look_up, present, strip
+from swaymeter.functions.base import iexact, look_up, present, strip, to_day
 from swaymeter.functions.labels import alias, canonical_intent, country_name
 from swaymeter.functions.scores import risk_band
 from swaymeter.operators import aggregates as A
@@ -40,8 +40,9 @@ def display_rows(rows: DataFrame, title=X.display_title) -> DataFrame:
 def page_with_text(articles: DataFrame, chosen: DataFrame, page: object, size: int, title=X.display_title) -> Page:
     """A page chosen among text-free rows, with the texts of just these rows."""
     found = paginate(chosen, page, size)
-    ids = F.broadcast(found.rows.select("id"))  # at most `size` ids
-    return Page(display_rows(articles.join(ids, "id", "left_semi"), title), found.number, found.num_pages, found.total)
+    places = F.broadcast(found.rows.select("id", "position"))  # at most `size` ids
+    rows = display_rows(articles.join(places, "id"), title).orderBy("position")
+    return Page(rows, found.number, found.num_pages, found.total)
 
 
 def request(spark, country: str | None, actor: str | None, intent: str | None) -> DataFrame:
@@ -232,10 +233,26 @@ def report_scores(index: DataFrame, country: str, actors: Sequence[str]) -> Data
         .orderBy(F.desc("score"), "position"))
 
 
+def volume_by_actor(articles: DataFrame, country: str, actors: Sequence[str]) -> DataFrame:
+    """(actor, day, count): articles a day about the country for each asked actor, in one grouped scan.
+
+    An actor that is asked under two names has a series under each.
+    """
+    asked: dict[str, list[str]] = {}
+    for actor in actors:
+        asked.setdefault(V.ACTOR_ALIASES["report_articles"].get(actor.lower(), actor).upper(), []).append(actor)
+    about = articles.filter((F.upper("target_country") == F.upper(F.lit(country))) & F.upper("inferred_actor").isin(list(asked))
+                            & F.col("posting_time").isNotNull())
+    base = P.without_words(about, V.SPORTS_WORDS_REPORT)
+    days = base.groupBy(F.upper("inferred_actor").alias("_a"), to_day("posting_time").alias("day")).agg(F.count("*").alias("count"))
+    names = F.create_map(*[x for a, shown in asked.items() for x in (F.lit(a), F.array(*map(F.lit, shown)))])
+    return days.select(F.explode(names[F.col("_a")]).alias("actor"), "day", "count")
+
+
 def country_report(articles: DataFrame, index: DataFrame, country: str, actors: Sequence[str]) -> dict[str, DataFrame]:
-    """Scores of the actors; narratives, volume and intents of the top one."""
-    name = known_country(articles, country).scalar()
+    """Scores of the actors and their volumes; narratives, volume and intents of the top one."""
     spelled = known_country(articles, country).first()["country"]
+    name = F.lit(spelled)
     scores = report_scores(index, spelled, actors)
     top = scores.first()["actor"]
     top_name = V.ACTOR_ALIASES["report_articles"].get(top.lower(), top)
@@ -255,6 +272,7 @@ def country_report(articles: DataFrame, index: DataFrame, country: str, actors:
         "evidence": latest(base.filter(F.col("article_text").isNotNull()), 15).select(
             "id", "media_outlet", "strategic_intent", X.snippet("article_text", 500).alias("excerpt")),
         "volume": A.daily_volume(slim(base)),
+        "volume_by_actor": volume_by_actor(articles, spelled, actors),
         "intents": A.shown_ascending(intents, "count", "strategic_intent"),
     }
 

@@ -21,6 +21,8 @@ from swaymeter.operators.joins import score_cascade
 
 GROUP = ["inferred_actor", "target_country", "strategic_intent"]
 PAIR = ["actor", "country"]
+#: Pairs of actors and countries an index may have.
+MAX_CELLS = 1_000_000
 
 
 # ---- content signal ------------------------------------------------------
@@ -31,21 +33,37 @@ def anchor_share(articles: DataFrame) -> DataFrame:
                                              F.col("anchors").cast("double") / F.col("total")))
 
 
-def ppi_sums(articles: DataFrame) -> DataFrame:
-    """Per (actor, country, raw intent): articles, confidence, correction and labelled anchors."""
+def _group_sums(articles: DataFrame) -> DataFrame:
+    """Per (actor, country, raw intent), whether known or not: articles, confidence, correction, anchors."""
     conf = F.coalesce("confidence", F.lit(0.0))
     labelled = F.coalesce(F.col("is_anchor"), F.lit(False)) & present("true_label")
     error = (F.col("true_label") == F.col("strategic_intent")).cast("double") - conf
-    return (articles.filter(present(GROUP[0]) & present(GROUP[1]) & present(GROUP[2])).groupBy(*GROUP)
-            .agg(F.count("*").alias("n"), F.sum(conf).alias("sum_conf"),
-                 F.coalesce(F.sum(F.when(labelled, error)), F.lit(0.0)).alias("correction"),
-                 F.count_if(labelled).alias("n_labelled")))
+    return articles.groupBy(*GROUP).agg(
+        F.count("*").alias("n"), F.sum(conf).alias("sum_conf"),
+        F.coalesce(F.sum(F.when(labelled, error)), F.lit(0.0)).alias("correction"),
+        F.count_if(labelled).alias("n_labelled"), F.count_if("is_anchor").alias("_anchors"))
+
+
+def known_group() -> Column:
+    return present(GROUP[0]) & present(GROUP[1]) & present(GROUP[2])
+
+
+def ppi_sums(articles: DataFrame) -> DataFrame:
+    """Per (actor, country, raw intent): articles, confidence, correction and labelled anchors."""
+    return _group_sums(articles.filter(known_group())).drop("_anchors")
 
 
 def ppi(articles: DataFrame, apply_correction: bool = True) -> DataFrame:
-    """Estimate `theta` per (actor, country, raw intent); empty when there are no anchors."""
-    share = anchor_share(articles).select("share").scalar()
-    sums = ppi_sums(articles).withColumn("share", share).filter(F.col("share").isNotNull())
+    """Estimate `theta` per (actor, country, raw intent); empty when there are no anchors.
+
+    Articles are read once: all groups are summed, those without a name too, and the share of anchors is a window
+    total over the group sums, whose number does not depend on the number of articles.
+    """
+    every = _group_sums(articles)
+    whole = Window.partitionBy(F.lit(1))
+    total, anchors = F.sum("n").over(whole), F.sum("_anchors").over(whole)
+    shared = every.withColumn("share", F.when(anchors > 0, anchors.cast("double") / total)).drop("_anchors")
+    sums = shared.filter(known_group() & F.col("share").isNotNull())
     correction = F.col("correction") if apply_correction else F.lit(0.0)
     return sums.withColumn("theta", ppi_estimate("n", "sum_conf", correction, "share"))
 
@@ -61,17 +79,21 @@ def content_signal(theta: DataFrame) -> DataFrame:
 def exposure_grid(exposure: DataFrame, countries: DataFrame) -> DataFrame:
     """One row per (actor, country) with every metric, 0.0 where there is no figure.
 
-    Every actor of the figures is paired with every country; that is the index's own size.
+    Every actor of the figures is paired with every country of the profile, which is the index's own size and is held
+    against MAX_CELLS. Figures without an actor or a country belong to no pair.
     """
     metrics = ["debt", "res", "mil", "disinfo", "elec", "lgbtq"]
-    wide = exposure.groupBy(*PAIR).agg(*[
+    known = exposure.filter(F.col("actor").isNotNull() & F.col("country").isNotNull())
+    names = countries.filter(F.col("country").isNotNull()).select("country").distinct()
+    actors = known.select("actor").distinct()
+    n_actors, n_names = actors.count(), names.count()
+    if n_actors * n_names > MAX_CELLS:
+        raise ValueError(f"{n_actors} actors and {n_names} countries; the bound is {MAX_CELLS} pairs")
+    wide = known.groupBy(*PAIR).agg(*[
         F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
-    # per actor one entry per country, then one row per country of the profile
-    per_actor = wide.groupBy("actor").agg(F.map_from_entries(F.collect_list(
-        F.struct("country", F.struct(*metrics)))).alias("_have"))
-    names = countries.agg(F.collect_set("country")).scalar()
-    grid = per_actor.withColumn("country", F.explode(names)).withColumn("_m", F.try_element_at("_have", F.col("country")))
-    return grid.select(*PAIR, *[F.coalesce(F.col(f"_m.{m}"), F.lit(0.0)).alias(m) for m in metrics])
+    every = names.agg(F.collect_list("country")).scalar()  # at most MAX_CELLS names, as just counted
+    grid = actors.withColumn("country", F.explode(every)).join(wide, PAIR, "left")
+    return grid.select(*PAIR, *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics])
 
 
 def factors(exposure: DataFrame, profile: DataFrame, as_of: str | Column | None = None,

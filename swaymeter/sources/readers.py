@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from swaymeter import schemas
 from swaymeter.functions.base import blank_to_null, col, present, strip
 from swaymeter.functions.text import parse_timestamp, safe_bool, safe_double, safe_int
+from swaymeter.operators.joins import small, surrogate_id
 
 ARTICLE_FIELDS = ["article_text", "posting_time", "media_outlet", "inferred_actor", "strategic_intent", "sector",
                   "tone", "target_country", "URL", "confidence", "lang_detect", "use_afrolm", "llm_strat",
@@ -33,6 +34,25 @@ def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
                        for n in names])
 
 
+PLACE = ["_file", "_line"]
+
+
+def with_place(raw: DataFrame) -> DataFrame:
+    """Adds the path of the file a row comes from and its place in the file, from 0.
+
+    A file with quoted line breaks is read in one piece, so row numbers within it follow each other; the first number
+    of each file (one row a file) makes them independent of how files are dealt to tasks.
+    """
+    numbered = raw.select("*", F.col("_metadata.file_path").alias("_file")).withColumn("_line", F.monotonically_increasing_id())
+    starts = numbered.groupBy("_file").agg(F.min("_line").alias("_start"))
+    return numbered.join(small(starts), "_file").withColumn("_line", F.col("_line") - F.col("_start")).drop("_start")
+
+
+def place_id(file: str = "_file", line: str = "_line") -> Column:
+    """Id of a row by its place: the same in every run."""
+    return surrogate_id(F.concat_ws("\u0001", F.col(file), F.col(line).cast("string")))
+
+
 def article_rows(raw: DataFrame) -> DataFrame:
     """Typed article rows with defaults; `posting_time` is NULL where no format fits."""
     def text(c: str, default: str | None = None) -> Column:
@@ -48,12 +68,13 @@ def article_rows(raw: DataFrame) -> DataFrame:
         text("llm_strat").alias("llm_strat"), safe_double("llm_strat_conf").alias("llm_strat_conf"),
         text("llm_strat_notes").alias("llm_strat_notes"), safe_bool("pseudo_kept").alias("pseudo_kept"),
         safe_double("pseudo_weight", 0.0).alias("pseudo_weight"), safe_int("llm_strat_id", -1).alias("llm_strat_id"),
-        safe_int("strategic_intent_id", 0).alias("strategic_intent_id"))
+        safe_int("strategic_intent_id", 0).alias("strategic_intent_id"), *[c for c in PLACE if c in raw.columns])
 
 
-def read_articles_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejects): rows without a usable time are rejected with a reason."""
-    raw = _with_columns(read_text_csv(spark, path), ARTICLE_FIELDS)
+def read_articles_csv(spark: SparkSession, path: str, place: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(articles, rejects): rows without a usable time are rejected with a reason. With `place`, see `with_place`."""
+    read = read_text_csv(spark, path)
+    raw = _with_columns(with_place(read), [*ARTICLE_FIELDS, *PLACE]) if place else _with_columns(read, ARTICLE_FIELDS)
     time = parse_timestamp("posting_time")
     reason = F.when(~present(strip("posting_time")), F.lit("posting_time is empty")).otherwise(
         F.concat(F.lit("Could not parse date: "), F.col("posting_time")))
@@ -67,7 +88,7 @@ def initial_rows(raw: DataFrame) -> DataFrame:
         "article_text", blank_to_null("posting_time").try_cast("timestamp").alias("posting_time"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in plain],
         blank_to_null("strategic_intent").alias("strategic_intent"), F.coalesce("URL", F.lit("")).alias("url"),
-        F.coalesce(blank_to_null("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
+        F.coalesce(blank_to_null("confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
         safe_bool("use_afrolm", ("true", "1", "yes")).alias("use_afrolm"))
 
 
@@ -77,16 +98,18 @@ def read_initial_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_risk_csv(spark: SparkSession, path: str) -> DataFrame:
     raw = read_text_csv(spark, path)
-    return raw.select("actor", "country", "intent", F.col("FinalRisk").cast("double").alias("final_risk"))
+    return raw.select("actor", "country", "intent", F.col("FinalRisk").try_cast("double").alias("final_risk"))
 
 
-def blanks_to_null(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*[blank_to_null(strip(n)).alias(n) for n in names])
+def read_outlets_csv(spark: SparkSession, path: str, place: bool = False) -> DataFrame:
+    """Outlet profiles; blank cells are NULL, unnamed columns are ignored."""
+    read = read_text_csv(spark, path)
+    return _profiles(with_place(read) if place else read, schemas.OUTLET_FIELDS, place)
 
 
-def read_outlets_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Outlet profiles; blank cells are NULL, unnamed columns are ignored."""
-    return blanks_to_null(_with_columns(read_text_csv(spark, path), schemas.OUTLET_FIELDS), schemas.OUTLET_FIELDS)
+def _profiles(raw: DataFrame, fields: Sequence[str], place: bool) -> DataFrame:
+    more = PLACE if place else []
+    return _with_columns(raw, [*fields, *more]).select(*[blank_to_null(strip(n)).alias(n) for n in fields], *more)
 
 
 def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
@@ -100,10 +123,11 @@ def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENC
     return encodings[-1]
 
 
-def read_journalists_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
-    raw = read_text_csv(spark, path, pick_encoding(spark, path, encodings))
+def read_journalists_csv(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, place: bool = False) -> DataFrame:
+    read = read_text_csv(spark, path, pick_encoding(spark, path, encodings))
+    raw = with_place(read) if place else read
     bom_free = raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])
-    cleaned = blanks_to_null(_with_columns(bom_free, schemas.JOURNALIST_FIELDS), schemas.JOURNALIST_FIELDS)
+    cleaned = _profiles(bom_free, schemas.JOURNALIST_FIELDS, place)
     return cleaned.filter(F.col("name").isNotNull())
 
 
@@ -118,16 +142,6 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a scan has fewer splits than there are cores.
-
-    For costly work on a few files; with many files the scan is spread already and
-    nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int,
               *columns: str, **options: str) -> DataFrame:
     """A database table read in parallel ranges of `key`; filters and columns are pushed down."""

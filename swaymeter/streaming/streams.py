@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,14 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
 
 
 def dedup_stream(stream: DataFrame, time: str = "posting_time", key: str = "url", late: str = LATE) -> DataFrame:
-    """One row per url within the late window; state older than that is dropped."""
-    return (stream.filter(F.col(key).isNotNull()).withWatermark(time, late).dropDuplicatesWithinWatermark([key]))
+    """One row per url within the late window; state older than that is dropped.
+
+    An undated row has no place in the window and goes on without
+    state, to be held against the store by `store_writer` like every other row.
+    """
+    keyed = stream.filter(F.col(key).isNotNull())
+    dated = keyed.filter(F.col(time).isNotNull()).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return dated.unionByName(keyed.filter(F.col(time).isNull()))
 
 
 def daily_volume_stream(stream: DataFrame, time: str = "posting_time", late: str = LATE) -> DataFrame:
@@ -62,26 +69,33 @@ def store_writer(store_path: str, order: list[str], row_id: str = "id",
                  transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """Batch handler: first copy of each url the store does not have, labelled, then stored.
 
-    Each batch writes a folder of its own, replaced if the batch is repeated, so a batch
-    that ran twice is stored once.
+    A batch writes a folder of its own, named after the streaming query (whose id lives in the checkpoint) and the
+    batch, and replaces it if the batch is repeated: a batch that ran twice is stored once, and a query with a new
+    checkpoint adds to what earlier ones stored. Every batch is held against the whole store but its own folder.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = stored_before(spark, store_path, batch_id)
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        earlier = stored_before(spark, store_path, run, batch_id)
         fresh = first_per_key(batch, "url", order, row_id)
         fresh = not_stored(fresh, earlier, "url") if earlier is not None else fresh.filter(F.col("url") != "")
         done = transform(fresh) if transform else fresh
-        done.write.mode("overwrite").parquet(f"{store_path}/batch={batch_id}")
+        done.write.mode("overwrite").parquet(f"{store_path}/run={run}/batch={batch_id}")
 
     return handle
 
 
-def stored_before(spark: SparkSession, store_path: str, batch_id: int) -> DataFrame | None:
-    """What batches before this one stored; None for the first batch."""
-    if batch_id == 0:
+def stored_before(spark: SparkSession, store_path: str, run: str, batch_id: int) -> DataFrame | None:
+    """The store without the folder of this very batch; None while there is no store."""
+    try:
+        store = spark.read.parquet(store_path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
-    return spark.read.parquet(store_path).filter(F.col("batch") < batch_id).drop("batch")
+    own = (F.col("run").cast("string") == run) & (F.col("batch") == batch_id)
+    return store.filter(~own).drop("run", "batch")
 
 
 def read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    return spark.read.parquet(store_path).drop("batch")
+    return spark.read.parquet(store_path).drop("run", "batch")

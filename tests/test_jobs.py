@@ -26,7 +26,7 @@ def stored(spark, tmp_path, name, df):
 
 
 def test_label(spark, tmp_path):
-    base = {"article_text": "t", "target_country": "Senegal", "inferred_actor": "China"}
+    base = {"article_text": "t" * 60, "target_country": "Senegal", "inferred_actor": "China"}
     art = stored(spark, tmp_path, "art", narratives(spark, [
         {"id": 1, **base}, {"id": 2, **base, "strategic_intent": "x", "tone": "y"}, {"id": 3, **base, "target_country": "Mali"}]))
     pred = stored(spark, tmp_path, "pred", spark.createDataFrame(
@@ -36,11 +36,41 @@ def test_label(spark, tmp_path):
     jobs.label(spark, art, pred, out)
     got = {r.id: (r.strategic_intent, r.confidence, r.prediction_source, r.tone) for r in spark.read.parquet(out).collect()}
     assert got == {1: ("Religious", 0.9, "llm", "Cynical"), 2: ("x", None, None, "y"), 3: (None, None, None, None)}
+    short = stored(spark, tmp_path, "short", narratives(spark, [{"id": 1, **base, "article_text": "t" * 49}]))
+    jobs.label(spark, short, pred, str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).first().strategic_intent is None
     jobs.label(spark, art, pred, str(tmp_path / "dry"), dry_run="yes")
     assert {(r.id, r.column) for r in spark.read.parquet(str(tmp_path / "dry")).collect()} == {
         (1, c) for c in ("strategic_intent", "confidence", "prediction_source", "tone")}
 
 
+def test_imports_keep_ids_apart_and_anchors_in_file_order(spark, tmp_path):
+    """The longer file sorts last by name and first by size."""
+    head = "article_text,posting_time,inferred_actor,target_country,strategic_intent,URL,confidence\n"
+    one, two = tmp_path / "one", tmp_path / "two"
+    for folder in (one, two):
+        folder.mkdir()
+        (folder / "a.csv").write_text(head + "".join(f"{folder.name} a{i},2025-01-01 00:00:00,China,Senegal,Economic,u,0.5\n" for i in range(3)))
+        (folder / "b.csv").write_text(head + "".join(f'"{folder.name} b{i}\n{"x" * 500}",2025-01-01 00:00:00,China,Senegal,Economic,u,abc\n' for i in range(5)))
+    out = str(tmp_path / "out")
+    for folder in (one, two, one):
+        jobs.import_articles(spark, str(folder), out, str(tmp_path / "rej"), anchor_size=4)
+    found = spark.read.parquet(out).collect()
+    assert len(found) == 24 and len({r.id for r in found}) == 16
+    anchors = {r.article_text.split("\n")[0] for r in found if r.is_anchor}
+    assert anchors == {f"{f} {n}" for f in ("one", "two") for n in ("a0", "a1", "a2", "b0")}
+
+
+def test_fill_and_relabel(spark, tmp_path):
+    art = stored(spark, tmp_path, "art", narratives(spark, [{"id": i, "article_text": "t", "inferred_actor": "China", "target_country": "Senegal"} for i in (1, 2)]))
+    pred = stored(spark, tmp_path, "pred", spark.createDataFrame([(1, "economic dependency", 0.5, "Cynical"), (1, "economic dependency", 0.4, "Cynical")],
+                                                                  "id long, intent string, conf double, tone string"))
+    jobs.fill_intents(spark, art, pred, str(tmp_path / "filled"))
+    assert sorted((r.id, r.confidence) for r in spark.read.parquet(str(tmp_path / "filled")).collect() if r.confidence) == [(1, 0.5)]
+    jobs.relabel(spark, art, pred, str(tmp_path / "relabelled"), cutoff=1)
+    assert sorted((r.id, r.is_anchor) for r in spark.read.parquet(str(tmp_path / "relabelled")).collect()) == [(1, True), (2, None)]
+
+
 def test_link_and_backfill(spark, tmp_path):
     art = stored(spark, tmp_path, "art", narratives(spark, [
         {"id": 1, "media_outlet": "rfi", "author": "ana", "url": "http://u/1"}, {"id": 2, "media_outlet": "New", "author": "", "url": "http://u/2"}]))

@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import urllib.parse
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from swaymeter import fixed_values as V
 from swaymeter.functions.labels import clean_tone, untuple_tone
 from swaymeter.operators import aggregates as A
+from swaymeter.operators import filters as P
 from swaymeter.operators import fusion as E
 from swaymeter.operators import html
 from swaymeter.operators import joins as J
@@ -173,16 +175,22 @@ def test_page_clamp(page, number):
     assert paging.clamp_page(page, 4) == number
 
 
-@pytest.mark.parametrize("near_end", [0, 100_000])
-def test_pages_cover_the_table_once(spark, near_end):
+def test_pages_cover_the_table_once(spark):
     df = spark.range(95).select("id", F.when(F.col("id") % 4 > 0, F.timestamp_seconds(F.col("id") % 7)).alias("posting_time"))
     expected = [r.id for r in df.orderBy(*paging.newest_order()).collect()]
     seen = []
     for n in range(1, 6):
-        found = paging.paginate(df, n, 20, near_end=near_end)
+        found = paging.paginate(df, n, 20)
         assert (found.number, found.num_pages, found.total) == (n, 5, 95)
-        seen += [r.id for r in found.rows.orderBy(*paging.newest_order()).collect()]
+        page = found.rows.collect()
+        assert [r.position for r in page] == list(range(20 * n - 19, min(95, 20 * n) + 1))
+        seen += [r.id for r in page]
     assert seen == expected
+    walked, last = [], None
+    while batch := paging.page_after(df, 20, last).collect():
+        walked += [r.id for r in batch]
+        last = {"posting_time": batch[-1].posting_time, "id": batch[-1].id}
+    assert walked == expected
 
 
 def test_empty_table_has_one_page(spark):
@@ -264,30 +272,28 @@ def test_failing_batches_give_unknown(spark):
 
     df = spark.createDataFrame([(1, "a"), (2, "boom"), (3, None)], "id long, article_text string").coalesce(1)
     assert rows(E.score_texts(df, make, batch=1)) == [(1, "ok", 0.9), (2, "unknown", 0.0), (3, "ok", 0.9)]
+    assert rows(E.score_texts(df, make, batch=20)) == rows(E.score_texts(df, make, batch=1))
     assert {r.label for r in E.score_texts(df, lambda: 1 / 0).collect()} == {"unknown"}
 
 
 def test_calibrator_against_pooling(spark):
     rng = np.random.default_rng(5)
-    grid = 20
-    bins = rng.integers(0, grid + 1, 200)
-    hits = (rng.random(200) < bins / grid).astype(int)
-    probs = spark.createDataFrame([(i, 0, float(b) / grid) for i, b in enumerate(bins)], "article_id long, class int, prob double")
+    scores = rng.integers(0, 21, 200) / 20
+    hits = (rng.random(200) < scores).astype(int)
+    probs = spark.createDataFrame([(i, 0, float(s)) for i, s in enumerate(scores)], "article_id long, class int, prob double")
     labels = spark.createDataFrame([(i, 0 if h else 1) for i, h in enumerate(hits)], "article_id long, label int")
-    table = {r.bin: (r.p0, r.p1) for r in E.fit_calibrator(probs, labels, grid).collect()}
-    for s in range(grid + 1):
-        for extra in (0, 1):
-            pairs = sorted([(int(b), int(h)) for b, h in zip(bins, hits)] + [(s, extra)])
+    table = E.fit_calibrator(probs, labels).collect()
+    assert len(table) == 2 * len(set(scores)) + 1
+    for row in table:
+        s = row.score if row.exact else row.score + 0.01 if row.score >= 0 else -1.0
+        for extra, got in ((0, row.p0), (1, row.p1)):
+            pairs = sorted([(float(b), int(h)) for b, h in zip(scores, hits)] + [(s, extra)])
+            places = sorted({b for b, _ in pairs})
             # equal scores form one point: average them first, weighted
-            means, sizes = [], []
-            for b in sorted({b for b, _ in pairs}):
-                ys = [h for x, h in pairs if x == b]
-                means.append(sum(ys) / len(ys))
-                sizes.append(len(ys))
-            fit = weighted_pava(means, sizes)[sorted({b for b, _ in pairs}).index(s)]
-            assert table[s][extra] == pytest.approx(fit)
-    p1 = [table[s][1] for s in range(grid + 1)]
-    assert p1 == sorted(p1) and all(a <= b for a, b in table.values())
+            ys = [[h for x, h in pairs if x == b] for b in places]
+            fit = weighted_pava([sum(y) / len(y) for y in ys], [len(y) for y in ys])[places.index(s)]
+            assert got == pytest.approx(fit)
+    assert all(r.p0 <= r.p1 for r in table)
 
 
 def weighted_pava(y, w):
@@ -305,7 +311,7 @@ def test_calibrated_rows_sum_to_one(spark):
     probs = spark.createDataFrame([(a, c, p) for a in range(30) for c, p in enumerate((a / 60, 1 - a / 60))],
                                   "article_id long, class int, prob double")
     labels = spark.createDataFrame([(a, int(a < 20)) for a in range(30)], "article_id long, label int")
-    out = E.calibrate(probs, E.fit_calibrator(probs, labels, 50), 50)
+    out = E.calibrate(probs, E.fit_calibrator(probs, labels))
     assert {round(r.s, 9) for r in out.groupBy("article_id").agg(F.sum("prob").alias("s")).collect()} == {1.0}
     assert rows(E.calibrate(probs, None)) == rows(probs)
 
@@ -473,6 +479,59 @@ def test_repeated_batch_is_stored_once(spark, tmp_path):
     assert rows(S.read_store(spark, out), "id") == [(1,), (2,)]
 
 
+def test_new_checkpoint_adds_to_the_store(spark, tmp_path):
+    schema = "id long, url string, posting_time timestamp"
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    store = S.store_writer(out, ["id"])
+    write_day(source, "d1", [{"id": 1, "url": "a"}, {"id": 2, "url": "b"}])
+    S.run_batches(S.story_stream(spark, str(source), schema), store, str(tmp_path / "ck1"))
+    write_day(source, "d2", [{"id": 3, "url": "a"}, {"id": 4, "url": "c"}])
+    S.run_batches(S.story_stream(spark, str(source), schema), store, str(tmp_path / "ck2"))
+    assert rows(S.read_store(spark, out), "id", "url") == [(1, "a"), (2, "b"), (4, "c")]
+
+
+def test_undated_stories_pass_the_window(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    write_day(source, "d1", [{"url": "a"}, {"url": "a"}, {"url": "b", "posting_time": "2024-01-01T00:00:00"}, {"url": "b", "posting_time": "2024-01-01T00:00:00"}])
+    S.run_once(S.dedup_stream(S.story_stream(spark, str(source), "url string, posting_time timestamp")), out, str(tmp_path / "ck"))
+    assert rows(spark.read.parquet(out), "url") == [("a",), ("a",), ("b",)]
+
+
+def test_repeated_updates_keep_one_row(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, tone string")
+    updates = spark.createDataFrame([(1, "x", 1), (1, "w", 2), (3, "z", 1)], "id long, tone string, at int")
+    assert rows(M.keyed_update(df, updates, ["tone"])) == [(1, "x"), (2, "b")]
+    assert rows(M.keyed_update(df, updates, ["tone"], order="at")) == [(1, "w"), (2, "b")]
+
+
+def test_impossible_days_bound_nothing(spark):
+    df = spark.sql("SELECT timestamp'2024-03-01' AS t")
+    assert df.filter(P.between_days("t", "2024-13-45", "2023-02-30")).count() == 1
+    assert df.filter(P.between_days("t", "2024-3-1", "2024-3-1")).count() == 1
+
+
+def test_dot_segments(spark):
+    from swaymeter.functions.text import absolute_url
+    links = ["../x", "./x", "?q=1", "x/../y", "/a/../b?c=../d", "../../../z", "#f", "..", "p.html"]
+    df = spark.createDataFrame([(u, "https://h.example/a/b/c?d=1") for u in links], "u string, b string")
+    assert [r[0] for r in df.select(absolute_url("u", "b")).collect()] == [
+        urllib.parse.urljoin("https://h.example/a/b/c?d=1", u) for u in links]
+
+
+def test_missing_keys_are_spread(spark):
+    """A third of the rows without a key: no shuffle partition gets more than twice its share."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("n"), "id")).alias("name"), F.lit("x").alias("media_outlet"),
+                                      F.when(F.col("id") % 3 > 0, F.col("id")).alias("media_outlet_fk"))
+        aliases = spark.range(500).select(F.concat(F.lit("n"), "id").alias("key"), F.lit("v").alias("value"))
+        for joined in (J.resolve_with(df, "name", aliases.hint("merge"), "full"),):
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 2 * 3000 / len(sizes) and sum(sizes) == 3000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_daily_volume_stream_drops_late_rows(spark, tmp_path):
     source, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     schema = "posting_time timestamp"
