@@ -97,6 +97,12 @@ def _(spark, d):
     return outlet_panel("tones")(spark, d)
 
 
+@check("outlet_page", oracle(RFI + """
+SELECT id, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS position FROM rfi ORDER BY position LIMIT 10""", "facts", "outlets"))
+def _(spark, d):
+    return outlet_panel("articles")(spark, d).select("id", "position")
+
+
 def country_panel(name, country=None):
     def run(spark, d):
         return reports.country_profile_report(view(spark, d, "facts"), view(spark, d, "idx"), country)[name]
@@ -157,6 +163,13 @@ def _(spark, d):
     return author_panel("countries")(spark, d)
 
 
+@check("author_page", oracle("""
+SELECT id, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS position FROM facts WHERE upper(author) = 'JEAN-LUC B.'
+ORDER BY position LIMIT 10""", "facts"))
+def _(spark, d):
+    return author_panel("articles")(spark, d).select("id", "position")
+
+
 ASKED = ["USA", "China", "Saudi Arabia", "Turkey"]
 BEST = """
 , asked(position, actor, article_name, name) AS (VALUES (0, 'USA', 'US', 'UnitedStates'), (1, 'China', 'China', 'China'),

@@ -137,6 +137,29 @@ def _(spark, d):
     return count_by(spark.read.parquet(path).withColumn("month", F.col("month").cast("string")), "month", name="n")
 
 
+@check("read_articles_of_days", oracle("""
+SELECT id, url FROM facts WHERE CAST(posting_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""", "facts"))
+def _(spark, d):
+    path = new_path(spark, "store")
+    sinks.append_articles(view(spark, d, "facts"), path)
+    return readers.read_articles(spark, path, "2024-1-5", "2024-01-20").select("id", "url")
+
+
+@check("import_twice", oracle("""
+SELECT 'first' AS file, url, 0 + row_number() OVER (ORDER BY id) - 1 AS line FROM facts UNION ALL
+SELECT 'second', url, row_number() OVER (ORDER BY id) - 1 FROM facts""", "facts"))
+def _(spark, d):
+    """Ids by place: the two imports share none, and neither has one twice."""
+    parts = []
+    for name in ("first", "second"):
+        df = view(spark, d, "facts").select(F.lit("t").alias("article_text"), F.lit("2025-01-01 00:00:00").alias("posting_time"), F.col("url").alias("URL"), "id")
+        path = csv_of(df.orderBy("id").coalesce(1).drop("id"), name)
+        rows = readers.read_articles_csv(spark, path, place=True)[0]
+        parts.append(rows.select(F.lit(name).alias("file"), F.nullif("url", F.lit("")).alias("url"), F.col("_line").alias("line"), readers.place_id().alias("id")))
+    both = parts[0].unionByName(parts[1])
+    return both.join(both.groupBy("id").count().filter("count = 1"), "id", "left_semi").drop("id")
+
+
 @check("replace_table", oracle("SELECT actor, country, intent, final_risk FROM idx", "idx"))
 def _(spark, d):
     path = new_path(spark, "index")

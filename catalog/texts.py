@@ -234,6 +234,15 @@ def _(spark, d):
     return html.page_authors(marked_pages(spark, d)).select("page_id", "author")
 
 
+@check("page_logos", """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://site.example/static/logo.png' WHEN 1 THEN 'https://site.example/icon.png' END AS logo FROM pages""")
+def _(spark, d):
+    head = (F.when(F.col("page_id") % 3 == 0, F.lit('<header><img src="/static/logo.png" alt="Logo"></header>'))
+            .when(F.col("page_id") % 3 == 1, F.lit('<link rel="apple-touch-icon" href="/icon.png">')).otherwise(F.lit("")))
+    home = table(spark, d, "pages").select("page_id", F.lit("https://site.example/").alias("url"), F.concat(head, F.coalesce("html", F.lit(""))).alias("html"))
+    return html.page_logos(home).select("page_id", "logo")
+
+
 @check("page_scan_errors", """
 SELECT page_id, page_id % 5 = 0 AS broken, page_id % 5 > 0 OR page_id % 2 = 0 AS has_author FROM pages""")
 def _(spark, d):

@@ -190,8 +190,11 @@ def absolute_url(url: ColumnOrName, base: ColumnOrName) -> Column:
     page = F.regexp_replace(b, r"[?#].*$", "")
     folder = F.when(page.rlike(r"://[^/]*/"), F.regexp_replace(page, r"[^/]*$", "")).otherwise(F.concat(page, F.lit("/")))
 
-    def without_dots(full: Column) -> Column:
+    def without_dots(address: Column) -> Column:
         """`.` and `..` segments of the path resolved; query and fragment stay."""
+        return bind(address, resolved)
+
+    def resolved(full: Column) -> Column:
         start = F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
         path = F.regexp_extract(full, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
         rest = F.regexp_extract(full, r"([?#].*)$", 1)
@@ -202,11 +205,10 @@ def absolute_url(url: ColumnOrName, base: ColumnOrName) -> Column:
 
     return (F.when(missing(u), F.lit(None).cast("string"))
             .when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u))
-            .when(F.startswith(u, F.lit("/")), without_dots(F.concat(root, u)))
             .when(u.rlike("^https?://"), u)
             .when(F.startswith(u, F.lit("?")), F.concat(page, u))
             .when(F.startswith(u, F.lit("#")), F.concat(F.regexp_replace(b, r"#.*$", ""), u))
-            .otherwise(without_dots(F.concat(folder, u))))
+            .otherwise(without_dots(F.concat(F.when(F.startswith(u, F.lit("/")), root).otherwise(folder), u))))
 
 
 def url_path(url: ColumnOrName) -> Column:
@@ -216,10 +218,11 @@ def url_path(url: ColumnOrName) -> Column:
 
 
 def is_image_url(url: ColumnOrName) -> Column:
-    path = url_path(url)
-    ends = path.rlike(r"\.(?:" + "|".join(V.IMAGE_EXTENSIONS) + ")$")
-    return F.coalesce(~missing(url) & (ends | any_of(F.contains(path, F.lit(m)) for m in V.IMAGE_PATH_MARKERS)),
-                      F.lit(False))
+    def holds(path: Column) -> Column:
+        ends = path.rlike(r"\.(?:" + "|".join(V.IMAGE_EXTENSIONS) + ")$")
+        return ends | any_of(F.contains(path, F.lit(m)) for m in V.IMAGE_PATH_MARKERS)
+
+    return bind(col(url), lambda u: F.coalesce(~missing(u) & bind(url_path(u), holds), F.lit(False)))
 
 
 def is_meaningful_image(url: ColumnOrName) -> Column:

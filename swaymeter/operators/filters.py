@@ -72,21 +72,23 @@ def between_days(c: ColumnOrName, start: str | None, end: str | None) -> Column:
 
     Written as a timestamp range, so that it reaches the parquet scan.
     """
-    def day(value: str | None) -> str | None:
-        found = re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", value or "")
-        try:
-            return datetime.date(*map(int, found.groups())).isoformat() if found else None
-        except ValueError:  # no such day
-            return None
-
     bounds = []
-    if day(start):
-        bounds.append(col(c) >= F.to_timestamp(F.lit(day(start))))
-    if day(end):
-        bounds.append(col(c) < F.to_timestamp(F.date_add(F.to_date(F.lit(day(end))), 1)))
+    if first := real_day(start):
+        bounds.append(col(c) >= F.to_timestamp(F.lit(first)))
+    if last := real_day(end):
+        bounds.append(col(c) < F.to_timestamp(F.date_add(F.to_date(F.lit(last)), 1)))
     return all_of(bounds)
 
 
+def real_day(value: str | None) -> str | None:
+    """The day as `yyyy-MM-dd`, None for what is no day."""
+    found = re.fullmatch(r"(\d{4})-(\d{1,2})-(\d{1,2})", value or "")
+    try:
+        return datetime.date(*map(int, found.groups())).isoformat() if found else None
+    except ValueError:
+        return None
+
+
 def since(c: ColumnOrName, as_of: str | Column, days: int) -> Column:
     """Not older than `days` days before `as_of`."""
     now = F.to_timestamp(F.lit(as_of)) if isinstance(as_of, str) else as_of

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import missing, strip
+from swaymeter.functions.base import bind, missing, strip
 from swaymeter.functions.text import absolute_url, is_image_url, is_meaningful_image
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -199,7 +199,7 @@ def logo_of(base: str = "url") -> Column:
         hit = _first(F.col("logos"), lambda x: x["rule"] == rule)
         return absolute_url(hit["url"], F.col(base))
 
-    valid = [F.when(is_image_url(first_of(r)), first_of(r)) for r in range(12)]
+    valid = [bind(first_of(r), lambda u: F.when(is_image_url(u), u)) for r in range(12)]
     return F.coalesce(*valid, first_of(1), first_of(2))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from swaymeter import schemas
 from swaymeter.functions.base import blank_to_null, col, present, strip
 from swaymeter.functions.text import parse_timestamp, safe_bool, safe_double, safe_int
+from swaymeter.operators.filters import between_days, real_day
 from swaymeter.operators.joins import small, surrogate_id
 
 ARTICLE_FIELDS = ["article_text", "posting_time", "media_outlet", "inferred_actor", "strategic_intent", "sector",
@@ -142,6 +143,21 @@ def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def read_articles(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The stored article table, or its articles of the UTC days `start` to `end` (ISO dates; None: open).
+
+    Only the months that can hold such days are read. A bound that is no day is ignored; undated articles come only
+    without bounds.
+    """
+    df = spark.read.schema(T.StructType([*schemas.NARRATIVES.fields, T.StructField("month", T.StringType())])).parquet(path)
+    first, last = (real_day(d) for d in (start, end))
+    if first:
+        df = df.filter((F.col("month") >= first[:7]) & (F.col("month") != "undated"))
+    if last:
+        df = df.filter(F.col("month") <= last[:7])
+    return df.filter(between_days("posting_time", start, end)).drop("month")
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int,
               *columns: str, **options: str) -> DataFrame:
     """A database table read in parallel ranges of `key`; filters and columns are pushed down."""

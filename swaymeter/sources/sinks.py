@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def append_articles(df: DataFrame, path: str) -> None:
-    """Append to the article table, partitioned by month of posting."""
+    """Append to the article table, partitioned by month of posting.
+
+    Rows are brought together by month first, so a month gets few files; Spark splits a month that is too large for one.
+    """
     month = F.coalesce(F.date_format("posting_time", "yyyy-MM"), F.lit("undated"))
-    df.withColumn("month", month).write.mode("append").partitionBy("month").parquet(path)
+    df.withColumn("month", month).hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> str:

@@ -560,6 +560,17 @@ def test_plans_stay_in_the_engine(spark):
     assert "ReadSchema: struct<event_id:bigint>" in plan_of(ranged)
 
 
+def test_days_prune_months(spark, tmp_path):
+    path = str(tmp_path / "store")
+    df = spark.range(90).select("id", F.date_add(F.lit("2024-01-01"), F.col("id").cast("int")).cast("timestamp").alias("posting_time"))
+    sinks.append_articles(df.unionByName(spark.sql("SELECT -1L AS id, CAST(NULL AS timestamp) AS posting_time")), path)
+    found = readers.read_articles(spark, path, "2024-02-10", "2024-02-20")
+    assert sorted(r.id for r in found.select("id").collect()) == list(range(40, 51))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan
+    assert readers.read_articles(spark, path).count() == 91
+
+
 def test_fixed_tables():
     assert len(V.exposure_rows()) == 6 * 11 * 5
     assert V.intent_aliases("display")["human rights advocacy"] == "LGBTQ"
