@@ -37,6 +37,13 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a full URI of the file system that Spark means by it, for writers outside the JVM."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a slim table: lineage ends in the shared folder."""
     shared_folder(df.sparkSession)

@@ -18,7 +18,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swaymeter.llm.common import cut, new_folder, pick
+from swaymeter.llm.common import cut, new_folder, pick, qualified
 
 #: Payloads of at least so many bytes are stored once; later captures of the same payload refer to the first.
 REVISIT_BYTES = 0
@@ -304,6 +304,7 @@ def archive_and_read(pages: DataFrame, folder: str, id_col: str = "page_id", url
     One row per row of `pages`: rows of equal id and url are all found under their one key. Null urls lie under the
     empty key, null ids before all others; an empty table gives an empty result.
     """
+    folder = qualified(pages.sparkSession, folder)
     slim = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("page_id", F.col("page_id").cast("long"))
     build_index(write_archives(slim, folder, min_revisit), folder)
     wanted = slim.select(reversed_host_key(F.col("url")).alias("key"), F.coalesce("page_id", F.lit(LEAST_ID)).alias("id"))
