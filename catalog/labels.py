@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from catalog import check
+from catalog import CHECKS, check
 from catalog.views import low_any, mapped, oracle, quoted, rules, table, view
 from swaymeter import fixed_values as V
 from swaymeter.functions import labels as L
 from swaymeter.functions import scores as S
 from swaymeter.functions.base import clip01
 from swaymeter.operators import aggregates as A
-from swaymeter.plans.questions import route_questions
+from swaymeter.plans.questions import answer_questions, route_questions
 
 
 @check("clip_to_unit", """
@@ -251,6 +251,26 @@ def _(spark, d):
     return route_questions(view(spark, d, "questions")).drop("text")
 
 
+@check("answer_questions", oracle(f"""
+, routed AS ({CHECKS["route_questions"][1]}),
+named AS (SELECT lower(target_country) AS c, lower(inferred_actor) AS a, tone FROM facts WHERE inferred_actor NOT IN ('', 'Unknown')),
+per AS (SELECT c, a, count(*) AS n FROM named WHERE c IS NOT NULL GROUP BY ALL UNION ALL SELECT '', a, count(*) FROM named GROUP BY a),
+top AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY c ORDER BY n DESC, a) <= 5),
+two AS (SELECT conv_id, turn, COALESCE(lower(country), '') AS c, unnest([actor, other_actor]) AS label FROM routed WHERE route = 'compare')
+SELECT conv_id, turn, 'articles' AS measure, NULL AS label, CAST((SELECT count(*) FROM facts) AS DOUBLE) AS value FROM routed WHERE route = 'total'
+UNION ALL SELECT conv_id, turn, 'mean index', NULL, (SELECT round(avg(final_risk), 6) FROM idx) FROM routed WHERE route = 'avg_index'
+UNION ALL SELECT conv_id, turn, 'articles', country, COALESCE(n, 0) FROM routed LEFT JOIN (SELECT lower(target_country) AS c, count(*) AS n FROM facts GROUP BY 1)
+  ON c = lower(country) WHERE route = 'country_counts'
+UNION ALL SELECT conv_id, turn, 'articles', label, COALESCE(n, 0) FROM two LEFT JOIN per ON per.c = two.c AND per.a = lower(label)
+UNION ALL SELECT conv_id, turn, 'tone', t.tone, t.n FROM routed JOIN (SELECT a, tone, count(*) AS n FROM named WHERE tone NOT IN ('', 'Unknown') GROUP BY ALL) t
+  ON t.a = lower(actor) WHERE route = 'tone'
+UNION ALL SELECT conv_id, turn, 'articles', a, n FROM routed JOIN top ON top.c = COALESCE(lower(country), '') WHERE route = 'actor_stats'""",
+    "questions", "facts", "idx"))
+def _(spark, d):
+    routed = route_questions(view(spark, d, "questions")).drop("text")
+    return answer_questions(routed, view(spark, d, "facts"), view(spark, d, "idx"), ["conv_id", "turn"])
+
+
 @check("questions_per_route", oracle(f"""
 SELECT CASE WHEN {q_any("overview").replace("(q,", "(lower(text),")} THEN 'overview' ELSE 'other' END AS kind, count(*) AS n
 FROM questions WHERE NOT regexp_matches(lower(text), {quoted("(" + V.QUESTION_COUNTRY_PATTERN + ")")}) GROUP BY 1""", "questions"))

@@ -11,7 +11,6 @@ from swaymeter import fixed_values as V
 from swaymeter.functions.base import WHITESPACE, ColumnOrName, any_of, bind, blank_to_null, col, missing, strip
 
 ELLIPSIS = "…"
-STORY_FORMATS = ("MM/dd/yyyy HH:mm", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm")
 
 
 # ---- cutting -------------------------------------------------------------
@@ -44,13 +43,10 @@ def truncate_words(text: ColumnOrName, n: int, mark: str = " " + ELLIPSIS) -> Co
         F.size(w) > n, F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(mark))).otherwise(F.array_join(w, " ")))
 
 
-METADATA_LINE = r"(?i)^(?:By|On|Updated|Source:|Published|https?://|.*\d{4})"
-
-
 def display_title(text: ColumnOrName) -> Column:
     """First of three lines that reads like a title, else the first 20 words."""
     def title(lines: Column) -> Column:
-        candidates = F.filter(lines, lambda x: F.length(x).between(5, 250) & ~x.rlike(METADATA_LINE))
+        candidates = F.filter(lines, lambda x: F.length(x).between(5, 250) & ~x.rlike(V.METADATA_LINE))
         return F.when(F.size(lines) == 0, F.lit("Empty Article")).otherwise(F.try_element_at(candidates, F.lit(1)))
 
     return F.when(missing(text), F.lit("No Content Available")).otherwise(
@@ -136,7 +132,7 @@ def safe_bool(c: ColumnOrName, true_values: Sequence[str] = ("true",)) -> Column
     return F.coalesce(F.lower(strip(c)).isin(list(true_values)), F.lit(False))
 
 
-def parse_timestamp(c: ColumnOrName, formats: Sequence[str] = STORY_FORMATS) -> Column:
+def parse_timestamp(c: ColumnOrName, formats: Sequence[str] = V.STORY_FORMATS) -> Column:
     """First format that fits."""
     text = strip(c)
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
@@ -149,9 +145,9 @@ def date_in_text(text: ColumnOrName, size: int | None = 300) -> Column:
     with day and month swapped where that is the only valid reading.
     """
     head = col(text) if size is None else F.substring(col(text), 1, size)
-    numeric = F.regexp_extract(head, r"\b(\d{1,2}[/-]\d{1,2}[/-]\d{4})\b", 1)
-    month_first = F.regexp_extract(head, r"\b(\w+ \d{1,2}, \d{4})\b", 1)
-    day_first = F.regexp_extract(head, r"\b(\d{1,2} \w+ \d{4})\b", 1)
+    numeric = F.regexp_extract(head, V.NUMERIC_DATE, 1)
+    month_first = F.regexp_extract(head, V.MONTH_FIRST_DATE, 1)
+    day_first = F.regexp_extract(head, V.DAY_FIRST_DATE, 1)
 
     def read(c: Column, *formats: str) -> Column:
         return F.coalesce(*[F.to_date(F.try_to_timestamp(c, F.lit(f))) for f in formats])
@@ -232,9 +228,6 @@ def is_meaningful_image(url: ColumnOrName) -> Column:
 
 # ---- model replies -------------------------------------------------------
 REPLY_SCHEMA = "strategic_intent string, strategic_intent_conf string, notes string"
-INTENT_FIELD = r'"strategic_intent":\s*"([^"]+)"'
-CONF_FIELD = r'"strategic_intent_conf":\s*([\d.]+)'
-NOTES_FIELD = r'"notes":\s*"([^"]*)"'
 
 
 def parse_reply(reply: ColumnOrName) -> Column:
@@ -260,7 +253,7 @@ def _read_reply(found: Column) -> Column:
                         F.coalesce(conf.try_cast("double"), F.lit(0.0)).alias("conf"), notes.alias("notes"))
 
     no_notes = F.when(found["is_block"], F.lit("Extracted via Regex from block")).otherwise(F.lit("Extracted via Regex"))
-    loose = answer(field(INTENT_FIELD), field(CONF_FIELD), F.coalesce(field(NOTES_FIELD), no_notes))
+    loose = answer(field(V.INTENT_FIELD), field(V.CONF_FIELD), F.coalesce(field(V.NOTES_FIELD), no_notes))
     strict = bind(F.from_json(source, REPLY_SCHEMA), lambda p: answer(
         p["strategic_intent"], p["strategic_intent_conf"], F.coalesce(p["notes"], F.lit(""))))
     # json_object_keys is NULL unless the text is one valid JSON object

@@ -154,9 +154,6 @@ def _first(items: Column, keep) -> Column:
     return F.try_element_at(F.filter(items, keep), F.lit(1))
 
 
-BY_NAME = r"(?:By|by)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z.]+)+)"
-
-
 def author_of(stop_words: Iterable[str] = V.AUTHOR_STOP_WORDS) -> Column:
     """Author of a scanned page: metas, linked data, bylines, then "By Name" in the first text."""
     stop = list(stop_words)
@@ -169,7 +166,7 @@ def author_of(stop_words: Iterable[str] = V.AUTHOR_STOP_WORDS) -> Column:
     linked = F.transform("linked_data", lambda x: strip(x["author"]))
     # byline rules are in order and hold one element each
     lines = F.transform("bylines", lambda b: F.regexp_replace(strip(b["text"]), r"(?i)^By\s+", ""))
-    named = strip(F.regexp_extract("head", BY_NAME, 1))
+    named = strip(F.regexp_extract("head", V.BY_NAME, 1))
     return F.coalesce(_first(metas, usable), _first(linked, usable),
                       _first(lines, lambda n: usable(n) & (F.length(n) > 2)),
                       F.when(F.length(named) > 2, named))

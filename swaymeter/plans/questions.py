@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swaymeter import fixed_values as V
 from swaymeter.functions.base import look_up, lower_contains_any, strip, title_case
 from swaymeter.functions.labels import has_words
+from swaymeter.operators.filters import no_placeholder
 
 
 def _first_key(q: Column, values: dict[str, str]) -> Column:
@@ -65,3 +69,43 @@ def route_questions(questions: DataFrame, text: str = "text") -> DataFrame:
         "country": country, "actor": actor,
         "other_actor": F.when(r == "compare", F.try_element_at(actors, F.lit(2))),
         "intent": F.when(r == "context", _first_key(q, V.intent_aliases("display")))}).drop("_q")
+
+
+def answer_questions(routed: DataFrame, articles: DataFrame, index: DataFrame, keys: Sequence[str] = ("question_id",), n: int = 5) -> DataFrame:
+    """(keys, measure, label, value) for a table of routed questions, all at once.
+
+    `total` and `avg_index` get one figure, `country_counts` the articles about the country, `compare` the articles of
+    either actor (in the country, if one is named), `tone` the tones of the actor's articles, `actor_stats` the `n` most
+    active actors (in the country). Articles are counted once by country, actor and tone; every question asks for one
+    or two keys, and one join with the table of counts answers them all.
+    """
+    counts = articles.groupBy(F.lower("target_country").alias("_c"), "inferred_actor", "tone").agg(F.count("*").alias("n"))
+    named = counts.filter(F.col("inferred_actor").isNotNull() & no_placeholder("inferred_actor")).withColumn("_a", F.lower("inferred_actor"))
+    anywhere = F.array(F.lit(""), "_c")  # each count holds for its country and for no country asked
+    actors = (named.withColumn("_c", F.explode(F.array_compact(anywhere))).groupBy("_c", "_a").agg(F.sum("n").alias("value")))
+    rank = F.row_number().over(Window.partitionBy("_c").orderBy(F.desc("value"), "_a"))  # one row per actor
+    nothing = F.lit(None).cast("string")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value"))
+    mean = index.agg(F.round(F.avg("final_risk"), 6).alias("value"))
+    tones = named.filter(F.col("tone").isNotNull() & no_placeholder("tone")).groupBy("_a", "tone").agg(F.sum("n").alias("value"))
+    known = [
+        total.select(F.lit("total").alias("route"), F.lit("").alias("_c"), F.lit("").alias("_a"), nothing.alias("found"), "value"),
+        mean.select(F.lit("avg_index"), F.lit(""), F.lit(""), nothing, "value"),
+        counts.filter("_c IS NOT NULL").groupBy("_c").agg(F.sum("n").alias("value")).select(F.lit("country_counts"), "_c", F.lit(""), nothing, "value"),
+        actors.select(F.lit("compare"), "_c", "_a", nothing, "value"),
+        tones.select(F.lit("tone"), F.lit(""), "_a", "tone", "value"),
+        actors.withColumn("_rank", rank).filter(F.col("_rank") <= n).select(F.lit("actor_stats"), "_c", F.lit(""), "_a", "value"),
+    ]
+    answers = reduce(DataFrame.union, [k.withColumn("value", F.col("value").cast("double")) for k in known])
+    route, place = F.col("route"), F.coalesce(F.lower("country"), F.lit(""))
+    who = F.when(route == "compare", F.array("actor", "other_actor")).when(route == "tone", F.array("actor")).otherwise(F.array(F.lit("")))
+    asked = routed.filter(route.isin("total", "avg_index", "country_counts", "compare", "tone", "actor_stats")).select(
+        *keys, "route", F.when(route.isin("country_counts", "compare", "actor_stats"), place).otherwise(F.lit("")).alias("_c"),
+        F.when(route == "country_counts", F.col("country")).alias("_country"), F.explode(who).alias("_who"))
+    joined = asked.withColumn("_a", F.lower("_who")).join(answers, ["route", "_c", "_a"], "left")
+    label = F.coalesce("found", F.when(route == "compare", F.col("_who")), "_country")
+    value = F.coalesce("value", F.when(route.isin("country_counts", "compare"), F.lit(0.0)))
+    measure = F.when(route == "tone", F.lit("tone")).when(route == "avg_index", F.lit("mean index")).otherwise(F.lit("articles"))
+    # a tone or a list that nothing answers has no rows; the mean of no index is one row without a value
+    return joined.filter(F.col("value").isNotNull() | ~route.isin("tone", "actor_stats")).select(
+        *keys, measure.alias("measure"), label.alias("label"), value.alias("value"))
