@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from swaymeter.llm.common import cut, free_names, pick, quoted, words
+from swaymeter.operators.joins import small
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -76,7 +77,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     right = by_source.select(key.alias("key"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
-    joined = sized.select("doc_id", "source", "size", key.alias("key")).join(right, "key")
+    joined = sized.select("doc_id", "source", "size", key.alias("key")).join(small(right), "key")
     whole = F.floor(rate)
     more = (draw(F.col("doc_id"), seed).cast("double") < (rate - whole) * float(2**BITS)).cast("long")
     return joined.select("doc_id", "source", "size", "source_size", "target", (whole + more).alias("copies"))
@@ -86,8 +87,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         weights=WEIGHTS, max_rate: int = MAX_RATE, seed: int = SEED) -> DataFrame:
     """The mixed documents: every row of `docs` as many times as planned, plus the last column `copy` (from 1).
 
-    The rates of the sources join the rows themselves, so texts move only where Spark has to sort a large table of
-    sources; a small one is broadcast by its measured size.
+    The rates of the sources join the rows themselves: broadcast where the sources have been counted and are few, so that
+    no text moves; a larger table of sources is joined by a shuffle that splits hot sources.
     """
     slim = cut(docs.select(quoted(source_col).alias("source"), sizes(docs, text_col).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     by_source = cut(rates(slim, weights, max_rate))
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     cols = [quoted(c) for c in docs.columns]
     rate = F.when(F.col(size_name) > 0, F.col(target_name) / F.col(size_name).cast("double")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + (draw(quoted(id_col), seed).cast("double") < (rate - F.floor(rate)) * float(2**BITS)).cast("long")).cast("int")
-    joined = docs.select(*cols, key(quoted(source_col)).alias(key_name)).join(right, key_name)
+    joined = docs.select(*cols, key(quoted(source_col)).alias(key_name)).join(small(right), key_name)
     each = joined.select(*cols, F.when(copies > 0, F.sequence(F.lit(1), copies)).alias(copy_name))
     return each.select(*cols, F.explode(copy_name).alias(copy_name))
 
