@@ -17,7 +17,10 @@ from swaymeter.functions.base import newest_first
 
 @dataclass
 class Page:
+    """Rows of a page in order; `keys` are just its keys and positions, at most one page of them."""
+
     rows: DataFrame
+    keys: DataFrame
     number: int
     num_pages: int
     total: int
@@ -79,7 +82,8 @@ def paginate(df: DataFrame, page: object, size: int, order: Sequence[tuple[str,
         chosen = keys.orderBy(*_columns(order)).offset(skip).limit(take)
     else:
         chosen = keys.orderBy(*_columns(_reverse(order))).offset(behind).limit(take)
-    return Page(_in_order(df, chosen, order, key, skip), number, num_pages, total)
+    numbered = _numbered(chosen, order, key, skip)
+    return Page(_rows_of(df, numbered, key), numbered, number, num_pages, total)
 
 
 def page_after(df: DataFrame, size: int, last: Mapping[str, object] | None = None,
@@ -90,7 +94,7 @@ def page_after(df: DataFrame, size: int, last: Mapping[str, object] | None = Non
     """
     keys = df if last is None else df.filter(_behind(order, last))
     chosen = keys.select(*dict.fromkeys([n for n, _, _ in order] + [key])).orderBy(*_columns(order)).limit(size)
-    return _in_order(df, chosen, order, key, 0)
+    return _rows_of(df, _numbered(chosen, order, key, 0), key)
 
 
 def _behind(order: Sequence[tuple[str, bool, bool]], last: Mapping[str, object]) -> Column:
@@ -107,10 +111,13 @@ def _behind(order: Sequence[tuple[str, bool, bool]], last: Mapping[str, object])
     return behind
 
 
-def _in_order(df: DataFrame, chosen: DataFrame, order, key: str, skip: int) -> DataFrame:
-    """The rows of at most one page of chosen keys, in order and numbered; the window spans these rows only."""
+def _numbered(chosen: DataFrame, order, key: str, skip: int) -> DataFrame:
+    """At most one page of chosen keys with their positions; the window spans these rows only."""
     place = F.row_number().over(Window.orderBy(*_columns(order))) + skip
-    numbered = chosen.withColumn("position", place.cast("bigint")).select(key, "position")
+    return chosen.withColumn("position", place.cast("bigint")).select(key, "position")
+
+
+def _rows_of(df: DataFrame, numbered: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(numbered), key).select(*df.columns, "position").orderBy("position")
 
 

@@ -40,9 +40,8 @@ def display_rows(rows: DataFrame, title=X.display_title) -> DataFrame:
 def page_with_text(articles: DataFrame, chosen: DataFrame, page: object, size: int, title=X.display_title) -> Page:
     """A page chosen among text-free rows, with the texts of just these rows."""
     found = paginate(chosen, page, size)
-    places = F.broadcast(found.rows.select("id", "position"))  # at most `size` ids
-    rows = display_rows(articles.join(places, "id"), title).orderBy("position")
-    return Page(rows, found.number, found.num_pages, found.total)
+    rows = display_rows(articles.join(F.broadcast(found.keys), "id"), title).orderBy("position")
+    return Page(rows, found.keys, found.number, found.num_pages, found.total)
 
 
 def request(spark, country: str | None, actor: str | None, intent: str | None) -> DataFrame:
@@ -198,7 +197,7 @@ def author_directory(articles: DataFrame, search: str | None = None, page: objec
     found = paginate(stats, page, size, AUTHOR_ORDER, key="author")
     shown = found.rows.filter(F.length(strip("author")) > 2).select(
         strip("author").alias("author"), "articles", F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))
-    return Page(shown, found.number, found.num_pages, found.total)
+    return Page(shown, found.keys, found.number, found.num_pages, found.total)
 
 
 def author_profile(articles: DataFrame, name: str, page: object = 1) -> Panels:

@@ -77,10 +77,14 @@ def store_writer(store_path: str, order: list[str], row_id: str = "id",
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
         earlier = stored_before(spark, store_path, run, batch_id)
-        fresh = first_per_key(batch, "url", order, row_id)
-        fresh = not_stored(fresh, earlier, "url") if earlier is not None else fresh.filter(F.col("url") != "")
-        done = transform(fresh) if transform else fresh
-        done.write.mode("overwrite").parquet(f"{store_path}/run={run}/batch={batch_id}")
+        batch = batch.persist()  # it is read once to choose rows and once to fetch them
+        try:
+            fresh = first_per_key(batch, "url", order, row_id)
+            fresh = not_stored(fresh, earlier, "url") if earlier is not None else fresh.filter(F.col("url") != "")
+            done = transform(fresh) if transform else fresh
+            done.write.mode("overwrite").parquet(f"{store_path}/run={run}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return handle
 
