@@ -234,18 +234,19 @@ def _(spark, d):
 
 
 @check("article_listing", oracle(f"""
-SELECT id, COALESCE({LINES}[1][1:100], 'No Title Available') AS display_title FROM articles
+SELECT id, row_number() OVER (ORDER BY posting_time DESC, id) AS position, COALESCE({LINES}[1][1:100], 'No Title Available') AS display_title FROM articles
 WHERE upper(inferred_actor) = 'CHINA' AND CAST(posting_time AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'
 ORDER BY posting_time DESC, id LIMIT 20""", "articles"))
 def _(spark, d):
     found = reports.article_listing(view(spark, d, "articles"), actor="China", start="2024-01-03", end="2024-01-25")
-    return found.rows.select("id", "display_title")
+    return found.rows.select("id", "position", "display_title")
 
 
 @check("article_search", oracle("""
-SELECT id FROM articles WHERE contains(upper(article_text), 'KREMLIN') ORDER BY posting_time DESC NULLS FIRST, id LIMIT 10 OFFSET 10""", "articles"))
+SELECT id, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS position FROM articles WHERE contains(upper(article_text), 'KREMLIN')
+ORDER BY position LIMIT 10 OFFSET 10""", "articles"))
 def _(spark, d):
-    return reports.article_search(view(spark, d, "articles"), "kremlin", 2).rows.select("id")
+    return reports.article_search(view(spark, d, "articles"), "kremlin", 2).rows.select("id", "position")
 
 
 def context_panel(name, **who):
