@@ -17,9 +17,12 @@ from swaymeter.llm.common import crc32_text, cut, pick
 #: n-grams of 1, 2 and 3 letters are hashed into so many features.
 FEATURES = 1 << 12
 ORDERS = (1, 2, 3)
-#: Centroids are fitted on at most so many training rows of a language, those with the smallest id hashes. Document
+#: Centroids are fitted on at most so many distinct training texts of a language, those with the smallest hashes. Document
 #: frequencies are counted over all training rows.
 PER_LANGUAGE = 1000
+#: Texts are drawn by a threshold on their hash for so many times the number wanted, since the number of distinct texts
+#: it comes from is known to within COUNT_ERROR only.
+MARGIN, COUNT_ERROR = 1.2, 0.02
 CLUSTERS, ROUNDS = 3, 8
 #: A text further from every centroid than this share of what training rows have (their 1 % quantile) is rejected.
 REJECT_SHARE = 0.5
@@ -110,7 +113,7 @@ class _Fit:
         self.idf, self.most = idf, most
 
     def __call__(self, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "text"], na_position="last").head(self.most)
+        group = group.sort_values("h").head(self.most)
         rows = vectors(list(group["text"]), self.idf)
         centres = cluster(rows)
         if not len(centres):
@@ -141,8 +144,10 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from (doc_id, text, lang); rows without a language are left out.
 
-    The number of rows per language is counted first, so that the sample is drawn in place by a threshold on the id's
-    hash and only sampled texts move: at most `per_language` (and a margin, cut after sorting) for a language.
+    The number of distinct texts per language is counted first, so that the sample is drawn in place by a threshold on
+    the text's hash and only sampled texts move. Equal texts of a language are drawn once, by a combinable aggregate, so
+    that neither ids (null and repeated ones among them) nor copies bring more than `per_language` texts and the margin,
+    cut after sorting, together for a language.
     """
     rows = labelled.where(F.col("lang").isNotNull())
     spread = rows.select("text").mapInArrow(_doc_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
@@ -151,11 +156,13 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     df = np.zeros(FEATURES)
     df[list(counts)] = list(counts.values())
     idf = np.log((1 + n_rows) / (1 + df)) + 1.0
-    share = cut(rows.groupBy("lang").agg((F.lit(1.2 * per_language) / F.count(F.lit(1))).alias("share")))
+    texts = rows.select("lang", F.coalesce("text", F.lit("")).alias("text"))
+    share = cut(texts.groupBy("lang").agg((F.lit(MARGIN * per_language) / F.approx_count_distinct("text", COUNT_ERROR)).alias("share")))
     if share.count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id")), 1)
-    sample = rows.select("lang", "text", h.alias("h")).join(F.broadcast(share), "lang").where(F.col("h") < F.col("share") * float(1 << 63)).drop("share")
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    drawn = texts.select("lang", "text", h.alias("h")).join(F.broadcast(share), "lang").where(F.col("h") < F.col("share") * float(1 << 63))
+    sample = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
     schema = "lang string, centre array<float>, usual double"
     fitted = _Fit(idf, per_language)
     found = sample.groupBy("lang").applyInPandas(lambda group: fitted(group), schema).orderBy("lang").limit(1 + MAX_CENTROID_BYTES // (4 * FEATURES)).collect()

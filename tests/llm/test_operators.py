@@ -232,6 +232,20 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in langid.op7_language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    class Bounded(langid._Fit):
+        def __call__(self, group):
+            assert len(group) <= 2 * self.most and group["text"].is_unique
+            return super().__call__(group)
+
+    monkeypatch.setattr(langid, "_Fit", Bounded)
+    texts = [(f"word{i} the river and stone {i}", "en") for i in range(3000)] + [(f"wort{i} der fluss und stein {i}", "de") for i in range(3000)]
+    rows = [(None if i % 3 == 0 else 1 if i % 3 == 1 else i, *texts[i]) for i in range(6000)] + [(7, *texts[0])] * 1000 + [(None, None, "en")] * 1000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=100)
+    assert set(model.langs) == {"de", "en"} and model.predict(["the stone", "der stein"])[0] == ["en", "de"]
+
+
 def test_grams_do_not_depend_on_chunks(monkeypatch):
     whole = langid.gram_counts(PROSE)
     monkeypatch.setattr(langid, "CHUNK", 7)
