@@ -221,13 +221,22 @@ def cut_out(text: str, hit: bytearray) -> str:
     return b"".join([*parts, raw[at:]]).decode()
 
 
+def long_runs(hit: bytearray, least: int) -> bytearray:
+    """The marks of runs of at least `least` marked words; shorter runs are left out."""
+    out = bytearray(len(hit))
+    for run in re.finditer(rb"\x01{%d,}" % least, hit):
+        out[run.start() : run.end()] = run[0]
+    return out
+
+
 class _Clean:
-    def __init__(self, text_at: int, length_at: int | None):
-        self.text_at, self.length_at = text_at, length_at
+    def __init__(self, text_at: int, length_at: int | None, least: int):
+        self.text_at, self.length_at, self.least = text_at, length_at, least
 
     def __call__(self, batch: pa.RecordBatch, texts, marks) -> pa.RecordBatch:
         keep = [not contaminated(len(hit), sum(hit)) for hit, _ in marks]
-        clean = [cut_out(t, hit) if k and any(hit) else t for t, k, (hit, _) in zip(texts, keep, marks, strict=True)]
+        passages = [long_runs(hit, self.least) if k else hit for k, (hit, _) in zip(keep, marks, strict=True)]
+        clean = [cut_out(t, hit) if k and any(hit) else t for t, k, hit in zip(texts, keep, passages, strict=True)]
         columns = list(batch.columns)
         columns[self.text_at] = pa.array(clean, pa.string())
         if self.length_at is not None:
@@ -238,10 +247,11 @@ class _Clean:
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", length_col: str | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """`docs` without contaminated documents (coverage limit), and without the passages of WINDOW or more benchmark words
-    in the others (length limit). `length_col`, if named, is counted anew where a text changed."""
+    """`docs` without contaminated documents (coverage limit), and without the passages of `window` or more benchmark
+    words in the others (length limit). Shorter items count for the coverage alone: where one stands by itself in a clean
+    document, its words stay. `length_col`, if named, is counted anew where a text changed."""
     names = docs.columns
-    make = _Clean(names.index(text_col), names.index(length_col) if length_col else None)
+    make = _Clean(names.index(text_col), names.index(length_col) if length_col else None, window)
     return in_arrow(docs, _Stream(benchmark_items(bench), names.index(text_col), make, window, shard_words))
 
 

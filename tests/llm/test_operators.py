@@ -159,6 +159,17 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.overlaps(odd, items.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_short_items_are_not_cut_out_of_clean_documents(spark):
+    words = [f"w{i}" for i in range(600)]
+    long = " ".join(f"b{i}" for i in range(15))
+    text = " ".join([*words[:100], "Paris", *words[100:300], long, *words[300:], "paris, yes"])
+    docs = spark.createDataFrame([(1, text, len(text)), (2, "paris " + " ".join(words[:18]), 0), (3, "paris " + " ".join(words[:30]), 7)], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(1, "paris"), (2, "Yes"), (3, long)], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.decontaminated(docs, bench, length_col="n_chars").collect()}
+    without = text.replace(long, "")
+    assert got == {1: (without, len(without)), 3: ("paris " + " ".join(words[:30]), 7)}
+
+
 def test_cut_out():
     text = "Keep this. One two THREE, four! Keep that one."
     hit = bytearray([0, 0, 1, 1, 1, 1, 0, 0, 0])
