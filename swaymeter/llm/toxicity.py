@@ -99,7 +99,11 @@ FEATURES = ("clause_best", "clause_sum", "clauses", "density", "rate", "word_bes
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Scores of the clauses that the grammar matches in a whole text; all zero when there are none."""
+    """Scores of the clauses that the grammar matches in a whole text; all zero when there are none.
+
+    Words count everywhere with the grammar's factor at their place: `word_best` and `word_kinds` take a word where it
+    weighs most, `density` adds the factors.
+    """
     low = (text or "").lower()
     n_words = low.count(" ") + 1
     kinds = {}
@@ -109,7 +113,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             kinds[word] = w
     if not kinds and not any(t in low for t in THREATS):
         return [0.0] * (len(FEATURES) - 1) + [math.log1p(n_words)]
-    scores, hits, threats = [], 0, 0.0
+    scores, hits, threats, heard = [], 0.0, 0.0, dict.fromkeys(kinds, 0.0)
     for clause in CLAUSE.split(low):
         found = WORD.findall(clause)
         if not any(w in kinds or w in THREATS for w in found):
@@ -121,14 +125,15 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
             state, factor = GRAMMAR.get((state, kind)) or GRAMMAR[state, ""]
             if kind == "insult":
                 total += weight * factor
-                hits += 1
+                hits += factor
+                heard[word] = max(heard[word], weight * factor)
             elif kind == "threat":
                 total += THREAT * factor
                 threats += factor
         if total > 0:
             scores.append(total)
     best = max(scores, default=0.0)
-    strong = sorted(kinds.values(), reverse=True)
+    strong = sorted(heard.values(), reverse=True)
     return [
         best, math.log1p(sum(scores)), math.log1p(len(scores)), math.log1p(1000 * hits / n_words), math.log1p(1000 * sum(scores) / n_words), strong[0] if strong else 0.0,
         math.log1p(sum(strong)), math.log1p(threats), math.log1p(n_words),

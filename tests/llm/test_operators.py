@@ -287,6 +287,16 @@ def test_grammar():
     assert score("plain words") == 0 and score(None) == 0
 
 
+def test_word_features_follow_the_grammar():
+    lexicon = toxicity.Lexicon({"idiot$": 5.0})
+    at = dict(zip(toxicity.FEATURES, range(len(toxicity.FEATURES)), strict=True))
+    plain_, negated, told, aimed = (toxicity.features(t, lexicon) for t in ("an idiot here", "not an idiot", "someone said idiot", "you idiot there"))
+    for name in ("word_best", "word_kinds", "density"):
+        assert negated[at[name]] < told[at[name]] < plain_[at[name]] < aimed[at[name]]
+    assert negated[at["word_best"]] == pytest.approx(1.5) and told[at["word_best"]] == 2.5 and plain_[at["word_best"]] == 5
+    assert toxicity.features("not an idiot. an idiot", lexicon)[at["word_best"]] == 5
+
+
 def test_mixing(spark, odd, none):
     sizes = [(r[0], r[3], len(plain.words(r[1]))) for r in ROWS]
     want = sorted(((d, n, s, t, n * c) for d, n, s, t, c in plain.mix(sizes)), key=repr)
