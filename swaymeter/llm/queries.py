@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from swaymeter.llm import decontaminate, langid, mixing, quality, quality_model, secrets, simhash, spelling, token_counts, toxicity, warc
+from swaymeter.llm import conversations, decontaminate, jaccard, langid, mixing, quality, quality_model, secrets, simhash, spelling, token_counts, toxicity, warc
 from swaymeter.llm.common import table
 from swaymeter.llm.oracle import SQL
 
@@ -52,15 +52,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op10_mixing(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.op11_conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.op12_spelling(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op13_jaccard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_secret_scans, op3_quality_rules, op4_simhash, op5_decontamination, op6_token_counts, op7_language_id,
-        op8_quality_classifier, op9_toxicity, op10_mixing, op12_spelling,
+        op8_quality_classifier, op9_toxicity, op10_mixing, op11_conversation_repair, op12_spelling, op13_jaccard,
     )
 }
 ORACLE: dict[str, str] = SQL

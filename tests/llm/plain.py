@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -105,3 +106,115 @@ def mix(rows, weights=(5, 2, 1), most=3, seed=11):
         draw = int(hashlib.md5(f"{'null' if doc_id is None else doc_id}|{seed}".encode()).hexdigest()[:13], 16)
         out.append((doc_id, n, size[source], target[source], int(rate) + (draw < (rate - int(rate)) * 2**52)))
     return out
+
+
+def one_edit(a, b):
+    """Exactly one inserted, deleted or replaced code point apart."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spelling(docs, least=5, factor=5):
+    """(doc_id, text) -> sorted (word, form, root, n, n_near, form_n)"""
+    n = Counter()
+    for doc, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", ascii_lower(text)):
+            h = zlib.crc32(f"{'null' if doc is None else doc}:{run}".encode())
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 199 == 0 else run] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 6 and k >= least}
+    near = {w: [v for v in n if one_edit(v, w)] for w in n}
+    form = {}
+    for w in n:
+        best = min(near[w], key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= factor * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n)
+
+
+def cheapest(rows):
+    """(cost, audit) over all edit sequences, state by state: rows are (role initial, fault 0 to 3)."""
+    step = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    to = {0: 2, 1: 2, 2: 3, 3: 2}
+
+    def inserted(at):
+        for _ in range(3):
+            for s, (cost, audit) in list(at.items()):
+                at[to[s]] = min(at.get(to[s], (1 << 60, "")), (cost + 5, audit + "I"))
+        return at
+
+    at = inserted({0: (0, "")})
+    for initial, fault in rows:
+        after = {}
+        for s, (cost, audit) in at.items():
+            options = [(s, 2, "D")]
+            if fault not in (1, 2):
+                more = 5 * (fault == 3)
+                options += [(to[s], 1 + more, "R")] + [(end, more, "K") for role, end in step[s].items() if role == initial]
+            for end, price, edit in options:
+                after[end] = min(after.get(end, (1 << 60, "")), (cost + price, audit + edit))
+        at = inserted(after)
+    return min(at[s] for s in (0, 3) if s in at)
+
+
+def conversation(rows):
+    """(turn, role, text) after the damage -> gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256"""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.sha256(r[2].encode()).hexdigest()))
+    faults = []
+    for i, (_, role, text) in enumerate(rows):
+        body = re.sub("[ \t-\r]", "", text)
+        earlier = any(r[1:] == (role, text) for r in rows[:i])
+        faults.append(1 if not body else 2 if earlier else 3 if body[-1] not in ".!?" else 0)
+    cost, audit = cheapest([(r[1][:1], f) for r, f in zip(rows, faults, strict=True)])
+    lines, left = [], iter(rows)
+    for edit in audit:
+        role, text = (None, "") if edit == "I" else next(left)[1:]
+        if edit in "IR":
+            role = "assistant" if lines and lines[-1][0] == "u" else "user"
+        if edit != "D":
+            lines.append(f"{role}:{text}")
+    turns = {r[0] for r in rows} - {None}
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:], strict=False))
+    return (gaps, *(faults.count(k) for k in (1, 2, 3)), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+
+
+def damage(rows):
+    """(conv_id, turn, role, text) -> conv_id: rows (turn, role, text) after the damage"""
+    out = {}
+    for conv, turn, role, text in rows:
+        kept = out.setdefault(conv, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        kept += [(turn, "user" if kind == 4 else role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    return out
+
+
+def jaccard(docs):
+    """(doc_id, text) -> sorted (doc_id, n_shingles, component_id)"""
+    sets = []
+    for _, text in docs:
+        w = words(ascii_lower(text))
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                root[top(i)] = top(j)
+    least = {}
+    for i, (doc, _) in enumerate(docs):
+        if doc is not None:
+            least[top(i)] = min(doc, least.get(top(i), doc))
+    return sorted(((doc, len(s), least.get(top(i))) for i, ((doc, _), s) in enumerate(zip(docs, sets, strict=True))), key=repr)
