@@ -2,13 +2,14 @@
 
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes; equal sets are one set from here on.
 2. Similar sets are partitioned into groups: sets that share one of a few least hashes are compared with the least set of
-   their bucket, and what is linked that way, directly or by others, is a group. Other sets are groups of their own.
+   their bucket and go to the least one that they are linked with. Other sets are groups of their own.
 3. The token-group matrix stores the union of each group's tokens. Two linked sets share a token among the rarest of either
    (for the shorter the first n - ceil(8n/9) + 1, for the longer the first n - ceil(4n/5) + 1 in one order of all tokens), so
    only these are stored and asked. A set whose tokens meet another group in the matrix, at a length that can link, is a
    candidate for it.
 4. A candidate's overlap with the group's whole union bounds its overlap with each member; only where it reaches 4/5 of the
-   set is the group opened and the members compared.
+   set is the group opened and the members compared. (For a group of one set, a signature of a bit a token bounds the overlap
+   before any tokens are fetched.)
 5. Links between groups join them to components.
 
 A link inside a group changes no component, so none has to be written, and large groups of near copies cost one row of the
@@ -38,19 +39,25 @@ BLOCK = 1 << 12
 KEYS = 4
 ODD = (np.random.default_rng(13).integers(1, 1 << 63, KEYS, np.uint64) << np.uint64(1)) | np.uint64(1)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Steps by which sets move on to the group of their group.
+HOPS = 3
 #: Tokens of a group's members that one task holds, and sets that are asked against them there.
 HELD_TOKENS, HELD_ASKED = 1 << 20, 4_096
 #: Ids that travel with every task to pick texts; beyond, texts and ids meet in an ordinary join.
 MAX_IDS = 1_000_000
+#: Bits of the longest signature of a set.
+MOST_BITS = 1 << 15
 #: Sets that a task remembers so as to hand on equal ones once; it changes the work, never the result.
 SEEN = 500_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    """A bijection of 64-bit numbers that spreads every bit, in place."""
+    for odd in (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(33)
+        h *= odd
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -60,11 +67,14 @@ def shingles(text: str | None) -> np.ndarray:
     if not found:
         return np.zeros(0, np.uint64)
     size = min(SHINGLE, len(found))
-    words = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    words = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, found)), ">u8").astype(np.uint64)
     out = np.full(len(found) - size + 1, size, np.uint64)
     for k in range(size):
-        out = out * MULTIPLY + words[k : k + len(out)]
-    return np.unique(_mixed(out))
+        out *= MULTIPLY
+        out += words[k : k + len(out)]
+    out = _mixed(out)
+    out.sort()
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -78,6 +88,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield batch, tokens, [set_id(t) if len(t) else None for t in tokens]
 
 
+def signature(tokens: np.ndarray) -> bytes:
+    """For each of a power of two of buckets, whether an odd number of tokens falls in it: about a bit for each token.
+
+    Where the signatures of two sets differ in d bits, the sets differ in at least d tokens.
+    """
+    width = min(MOST_BITS, max(64, 1 << (len(tokens) - 1).bit_length()))
+    return np.packbits(np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1 == 1).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two signatures differ, the longer one folded to the length of the other."""
+    x, y = np.unpackbits(np.frombuffer(a, np.uint8)), np.unpackbits(np.frombuffer(b, np.uint8))
+    if len(x) < len(y):
+        x, y = y, x
+    return int((np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (g, sid, n and signature of both) that can be linked: linked sets differ in at most a ninth of their tokens."""
+    for batch in batches:
+        n, other_n, bits, other_bits = (batch.column(k).to_pylist() for k in range(2, 6))
+        keep = [9 * differing(p, q) <= a + b for a, b, p, q in zip(n, other_n, bits, other_bits, strict=True)]
+        yield pa.RecordBatch.from_arrays(batch.columns[:2], ["g", "sid"]).filter(pa.array(keep, pa.bool_()))
+
+
 class _New:
     """Tells which sets a task has not met yet, as far as it remembers."""
 
@@ -94,7 +129,8 @@ class _New:
 
 
 class _Profile:
-    """(doc_id, text) to one row per document (doc_id, n, sid, keys) and, at the end of a task, its counts of token buckets."""
+    """(doc_id, text) to one row per document (doc_id, n, sid, keys, bits) and, at the end of a task, its counts of token
+    buckets. Keys are the least hashes of a set, bits its signature."""
 
     def __init__(self, schema: pa.Schema):
         self.schema = schema
@@ -107,8 +143,9 @@ class _Profile:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, n_waiting, new = np.zeros(WIDTH, np.int64), [], 0, _New()
         for batch, tokens, names in _sets(batches):
-            keys = [(t[:, None] * ODD).min(axis=0).view(np.int64).tolist() if len(t) else None for t in tokens]
-            yield self._batch(len(tokens), doc_id=batch.column(0), n=[len(t) for t in tokens], sid=names, keys=keys)
+            keys = [np.array([(t * odd).min() for odd in ODD]).view(np.int64).tolist() if len(t) else None for t in tokens]
+            bits = [signature(t) if len(t) else None for t in tokens]
+            yield self._batch(len(tokens), doc_id=batch.column(0), n=[len(t) for t in tokens], sid=names, keys=keys, bits=bits)
             for t, name in zip(tokens, names, strict=True):
                 if new(name):
                     waiting.append((t & np.uint64(WIDTH - 1)).astype(np.int64))
@@ -258,9 +295,16 @@ class _Sets:
 
     def __init__(self, docs: DataFrame, profile: DataFrame):
         self.docs = docs
-        self.by_doc = profile.where("block is null").select("doc_id", "n", "sid", "keys")
+        self.by_doc = profile.where("block is null").select("doc_id", "n", "sid", "keys", "bits")
         self.distinct = stored(self.by_doc.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "jaccard-sets")
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (g, sid) of two sets that their signatures allow to be linked."""
+        wanted = pairs.select(F.explode(F.array("g", "sid")).alias("sid")).distinct()
+        bits = cut(self.by_doc.select("sid", "n", "bits").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
+        first = bits.select(F.col("sid").alias("g"), F.col("n").alias("g_n"), F.col("bits").alias("g_bits"))
+        return pairs.join(bits, "sid").join(first, "g").select("g", "sid", "n", "g_n", "bits", "g_bits").mapInArrow(_possible, "g long, sid long")
+
     def tokens(self, wanted: DataFrame) -> DataFrame:
         """(sid, tokens) of the sets `wanted` (sid), made again from the text of the first document of each."""
         ids = stored(self.distinct.join(wanted, "sid").select("sid", F.col("first_id").alias("id")), "jaccard-wanted")
@@ -302,7 +346,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     gives an empty result. Every link with 100 * intersection >= 80 * union counts, through however many others.
     """
     slim = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
-    out = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n int, sid long, keys array<long>, block int, counts binary").fields])
+    out = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n int, sid long, keys array<long>, bits binary, block int, counts binary").fields])
     profile = stored(slim.mapInArrow(_Profile(to_arrow_schema(out)), out), "jaccard-profile")
     sets = _Sets(slim, profile)
 
@@ -311,9 +355,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = F.struct("sid", "n")
     buckets = rows.groupBy("k", "key").agg(F.min(least).alias("low"), F.max("sid").alias("high")).where(F.col("low.sid") < F.col("high"))
     near = rows.join(buckets.select("k", "key", "low"), ["k", "key"]).where((F.col("sid") != F.col("low.sid")) & _similar(F.least("n", "low.n"), F.greatest("n", "low.n")))
-    near = cut(near.select(F.col("low.sid").alias("g"), F.col("low.n").alias("g_n"), "sid").distinct())
-    stars = cut(sets.links(near.select("g", F.col("g").alias("sid"), F.col("g_n").alias("n")).distinct(), near.select("g", "sid")))
-    groups = cut(components(stars).select(F.col("node").alias("sid"), F.col("root").alias("g")))
+    near = cut(sets.possible(near.select(F.col("low.sid").alias("g"), "sid").distinct()))
+    sizes = sets.distinct.select(F.col("sid").alias("g"), "n")
+    stars = cut(sets.links(near.select("g").distinct().join(sizes, "g").select("g", F.col("g").alias("sid"), "n"), near))
+    # every set goes to the least set that it is linked with; a few hops bring nearly all of a large group together
+    groups = cut(stars.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("g")))
+    for _ in range(HOPS):
+        groups = cut(groups.join(groups.select(F.col("sid").alias("g"), F.col("g").alias("next")), "g", "left").select("sid", F.coalesce("next", "g").alias("g")))
 
     # matrix
     order, hot = _order(profile)
@@ -326,16 +374,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     matrix = shared.where("stored").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     asks = shared.select("token", "sid", "n", F.col("g").alias("own")).distinct()
     fits = (F.col("g") != F.col("own")) & (F.col("low") <= F.col("n")) & _similar(F.col("high"), F.col("n"))
-    candidates = cut(asks.join(matrix, "token").where(fits).select("g", "sid").distinct())
+    asked = asks.join(matrix, "token").where(fits).select("g", "sid").distinct()
+    several = groups.select("g").distinct().withColumn("several", F.lit(True))
+    asked = cut(asked.join(several, "g", "left"))
+    candidates = cut(sets.possible(asked.where("several is null").select("g", "sid")).unionByName(asked.where("several").select("g", "sid")))
 
     # members of the groups asked, and links
     asked_groups = candidates.select("g").distinct()
     grown = sets.distinct.select("sid", "n").join(groups, "sid", "left").select(F.coalesce("g", "sid").alias("g"), "sid", "n")
     members = cut(grown.join(asked_groups, "g", "left_semi"))
-    found = cut(sets.links(members, candidates))
+    found = sets.links(members, candidates).unionByName(stars)
     to_group = lambda c: F.coalesce(f"g_{c}", c).alias(c)
     by = lambda c: groups.select(F.col("sid").alias(c), F.col("g").alias(f"g_{c}"))
-    joined = components(found.join(by("a"), "a", "left").join(by("b"), "b", "left").select(to_group("a"), to_group("b")))
+    joined = components(found.join(by("a"), "a", "left").join(by("b"), "b", "left").select(to_group("a"), to_group("b")).distinct())
 
     # components
     rooted = sets.distinct.select("sid", "first_id").join(groups, "sid", "left").select("sid", "first_id", F.coalesce("g", "sid").alias("node"))
