@@ -1,8 +1,9 @@
 """Jaccard join of shingle sets by a token-group matrix, for the components of all links.
 
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes; equal sets are one set from here on.
-2. Similar sets are partitioned into groups: sets that share one of a few least hashes are compared with the least set of
-   their bucket and go to the least one that they are linked with. Other sets are groups of their own.
+2. Similar sets are partitioned into groups. Sets that share one of a few least hashes are compared with the least set of
+   their bucket and form a family with the least one that they are linked with. Families whose first sets share a least hash
+   are a group, cut where it would have more than MEMBERS families.
 3. The token-group matrix stores the union of each group's tokens. Two linked sets share a token among the rarest of either
    (for the shorter the first n - ceil(8n/9) + 1, for the longer the first n - ceil(4n/5) + 1 in one order of all tokens), so
    only these are stored and asked. A set whose tokens meet another group in the matrix, at a length that can link, is a
@@ -12,8 +13,8 @@
    before any tokens are fetched.)
 5. Links between groups join them to components.
 
-A link inside a group changes no component, so none has to be written, and large groups of near copies cost one row of the
-matrix per token instead of a square of pairs.
+A link inside a family changes no component, so none has to be written, and sets meet groups, not each other: many similar
+sets cost a row of the matrix per token and group, and a row per set and group, instead of a square of pairs.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ BLOCK = 1 << 12
 KEYS = 4
 ODD = (np.random.default_rng(13).integers(1, 1 << 63, KEYS, np.uint64) << np.uint64(1)) | np.uint64(1)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-#: Steps by which sets move on to the group of their group.
+#: Steps by which sets move on to the family of their family's first set.
 HOPS = 3
+#: Families of a group.
+MEMBERS = 256
 #: Tokens of a group's members that one task holds, and sets that are asked against them there.
 HELD_TOKENS, HELD_ASKED = 1 << 20, 4_096
 #: Ids that travel with every task to pick texts; beyond, texts and ids meet in an ordinary join.
@@ -106,7 +109,8 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (g, sid, n and signature of both) that can be linked: linked sets differ in at most a ninth of their tokens."""
+    """Rows (g, sid, n and signature of both sets) of pairs that can be linked: linked sets differ in at most a ninth of their
+    tokens."""
     for batch in batches:
         n, other_n, bits, other_bits = (batch.column(k).to_pylist() for k in range(2, 6))
         keep = [9 * differing(p, q) <= a + b for a, b, p, q in zip(n, other_n, bits, other_bits, strict=True)]
@@ -229,25 +233,27 @@ class _Tokens:
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, salt, asked, sid, tokens), sorted, a group's members first: to links (a, b) of a set asked and a member."""
+    """Rows (g, salt, asked, sid, family, tokens), sorted, a group's members first: to links (a, b) of a set that asks and a
+    member, one for each family."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
-            g, salt, asked, sid = (batch.column(k).to_pylist() for k in range(4))
+            g, salt, asked, sid, family = (batch.column(k).to_pylist() for k in range(5))
             for i in range(batch.num_rows):
-                yield (g[i], salt[i]), asked[i], sid[i], np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64)
+                yield (g[i], salt[i]), asked[i], sid[i], family[i], np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
 
     a: list[int] = []
     b: list[int] = []
     at, group = None, None
-    for key, asked, sid, tokens in rows():
+    for key, asked, sid, family, tokens in rows():
         if key != at:
             at, group = key, _Group()
-        if not asked:
-            group.add(sid, tokens)
-        elif (other := group.linked(sid, tokens)) is not None:
-            a.append(sid)
-            b.append(other)
+        if asked:
+            others = group.linked(family, tokens)
+            a += [sid] * len(others)
+            b += others
+        else:
+            group.add(sid, family, tokens)
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -256,11 +262,13 @@ class _Group:
 
     def __init__(self):
         self.names: list[int] = []
+        self.families: list[int] = []
         self.sets: list[np.ndarray] = []
         self.union: np.ndarray | None = None
 
-    def add(self, name: int, tokens: np.ndarray) -> None:
+    def add(self, name: int, family: int, tokens: np.ndarray) -> None:
         self.names.append(name)
+        self.families.append(family)
         self.sets.append(tokens.copy())
 
     def _close(self) -> None:
@@ -272,22 +280,23 @@ class _Group:
         self.union, self.start = np.unique(tokens[order], return_index=True)
         self.stop = np.append(self.start[1:], len(tokens))
 
-    def linked(self, name: int, tokens: np.ndarray) -> int | None:
-        """A member that is linked with the set, if any: the union bounds the overlap, then members are counted."""
+    def linked(self, own: int, tokens: np.ndarray) -> list[int]:
+        """A member of each family but the set's own that is linked with the set: the union bounds the overlap, then members
+        are counted."""
         if self.union is None:
             self._close()
         if not len(self.union):
-            return None
+            return []
         at = np.searchsorted(self.union, tokens)
         at = at[at < len(self.union)] if len(at) and at[-1] == len(self.union) else at
         at = at[self.union[at] == tokens[: len(at)]]
         if 5 * len(at) < 4 * len(tokens):
-            return None
+            return []
         width = self.stop[at] - self.start[at]
         place = np.repeat(self.start[at] - np.append(0, np.cumsum(width)[:-1]), width) + np.arange(width.sum())
         both = np.bincount(self.owner[place], minlength=len(self.names))
         good = np.flatnonzero(5 * both >= 4 * (self.sizes + len(tokens) - both))
-        return next((self.names[k] for k in good.tolist() if self.names[k] != name), None)
+        return list({self.families[k]: self.names[k] for k in good.tolist() if self.families[k] != own}.values())
 
 
 class _Sets:
@@ -296,14 +305,14 @@ class _Sets:
     def __init__(self, docs: DataFrame, profile: DataFrame):
         self.docs = docs
         self.by_doc = profile.where("block is null").select("doc_id", "n", "sid", "keys", "bits")
-        self.distinct = stored(self.by_doc.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")), "jaccard-sets")
+        self.distinct = stored(self.by_doc.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first(F.col("keys")[0]).alias("key")), "jaccard-sets")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (g, sid) of two sets that their signatures allow to be linked."""
-        wanted = pairs.select(F.explode(F.array("g", "sid")).alias("sid")).distinct()
+        """(g, sid) of the pairs (g, only, sid) whose sets `only` and `sid` can be linked by their signatures."""
+        wanted = pairs.select(F.explode(F.array("only", "sid")).alias("sid")).distinct()
         bits = cut(self.by_doc.select("sid", "n", "bits").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits")))
-        first = bits.select(F.col("sid").alias("g"), F.col("n").alias("g_n"), F.col("bits").alias("g_bits"))
-        return pairs.join(bits, "sid").join(first, "g").select("g", "sid", "n", "g_n", "bits", "g_bits").mapInArrow(_possible, "g long, sid long")
+        first = bits.select(F.col("sid").alias("only"), F.col("n").alias("g_n"), F.col("bits").alias("g_bits"))
+        return pairs.join(bits, "sid").join(first, "only").select("g", "sid", "n", "g_n", "bits", "g_bits").mapInArrow(_possible, "g long, sid long")
 
     def tokens(self, wanted: DataFrame) -> DataFrame:
         """(sid, tokens) of the sets `wanted` (sid), made again from the text of the first document of each."""
@@ -316,20 +325,20 @@ class _Sets:
         return stored(made.join(F.broadcast(mine) if few else mine, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-tokens")
 
     def links(self, members: DataFrame, asked: DataFrame) -> DataFrame:
-        """Links (a, b) of sets with members of a group: `asked` (g, sid) with `members` (g, sid, n), one link per set and
-        share of a group. Members of very many tokens are shared out, and so are the sets that ask a group."""
+        """Links (a, b) of sets `asked` (g, sid, family) with `members` (g, sid, family, n) of a group, one link per set and
+        family of a share of a group. Members of very many tokens are shared out, and so are the sets that ask a group."""
         shares = members.groupBy("g").agg(F.ceil(F.sum("n") / HELD_TOKENS).cast("long").alias("parts"))
         load = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD_ASKED).cast("long").alias("turns"))
         plan = cut(shares.join(load, "g"))
         salt = lambda part, turn: (part * F.col("turns") + turn).alias("salt")
         spread = lambda c, n: F.pmod(F.xxhash64(c, F.lit(5)), n)
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        inside = members.join(plan, "g").select("g", "sid", "turns", spread(F.col("sid"), F.col("parts")).alias("part"), every("turns").alias("turn"))
-        inside = inside.select("g", salt(F.col("part"), F.col("turn")), F.lit(False).alias("asked"), "sid")
-        outside = asked.join(plan, "g").select("g", "sid", "turns", spread(F.col("sid"), F.col("turns")).alias("turn"), every("parts").alias("part"))
-        outside = outside.select("g", salt(F.col("part"), F.col("turn")), F.lit(True).alias("asked"), "sid")
+        inside = members.join(plan, "g").select("g", "sid", "family", "turns", spread(F.col("sid"), F.col("parts")).alias("part"), every("turns").alias("turn"))
+        inside = inside.select("g", salt(F.col("part"), F.col("turn")), F.lit(False).alias("asked"), "sid", "family")
+        outside = asked.join(plan, "g").select("g", "sid", "family", "turns", spread(F.col("sid"), F.col("turns")).alias("turn"), every("parts").alias("part"))
+        outside = outside.select("g", salt(F.col("part"), F.col("turn")), F.lit(True).alias("asked"), "sid", "family")
         rows = cut(inside.unionByName(outside))
-        full = rows.join(self.tokens(rows.select("sid").distinct()), "sid").select("g", "salt", "asked", "sid", "tokens")
+        full = rows.join(self.tokens(rows.select("sid").distinct()), "sid").select("g", "salt", "asked", "sid", "family", "tokens")
         return full.repartition("g", "salt").sortWithinPartitions("g", "salt", "asked").mapInArrow(_opened, "a long, b long")
 
 
@@ -350,18 +359,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     profile = stored(slim.mapInArrow(_Profile(to_arrow_schema(out)), out), "jaccard-profile")
     sets = _Sets(slim, profile)
 
-    # groups
+    # families
     rows = sets.by_doc.where("n > 0").select("sid", "n", F.posexplode("keys").alias("k", "key"))
-    least = F.struct("sid", "n")
-    buckets = rows.groupBy("k", "key").agg(F.min(least).alias("low"), F.max("sid").alias("high")).where(F.col("low.sid") < F.col("high"))
+    buckets = rows.groupBy("k", "key").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where(F.col("low.sid") < F.col("high"))
     near = rows.join(buckets.select("k", "key", "low"), ["k", "key"]).where((F.col("sid") != F.col("low.sid")) & _similar(F.least("n", "low.n"), F.greatest("n", "low.n")))
-    near = cut(sets.possible(near.select(F.col("low.sid").alias("g"), "sid").distinct()))
-    sizes = sets.distinct.select(F.col("sid").alias("g"), "n")
-    stars = cut(sets.links(near.select("g").distinct().join(sizes, "g").select("g", F.col("g").alias("sid"), "n"), near))
-    # every set goes to the least set that it is linked with; a few hops bring nearly all of a large group together
-    groups = cut(stars.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("g")))
+    near = sets.possible(near.select(F.col("low.sid").alias("g"), F.col("low.sid").alias("only"), "sid").distinct())
+    near = cut(near.select("g", "sid", F.col("sid").alias("family")))
+    first_sets = sets.distinct.select(F.col("sid").alias("g"), "sid", F.col("sid").alias("family"), "n")
+    stars = cut(sets.links(first_sets.join(near.select("g").distinct(), "g", "left_semi"), near))
+    families = cut(stars.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("family")))
     for _ in range(HOPS):
-        groups = cut(groups.join(groups.select(F.col("sid").alias("g"), F.col("g").alias("next")), "g", "left").select("sid", F.coalesce("next", "g").alias("g")))
+        hop = families.select(F.col("sid").alias("family"), F.col("family").alias("next"))
+        families = cut(families.join(hop, "family", "left").select("sid", F.coalesce("next", "family").alias("family")))
+
+    # groups of families
+    heads = families.join(sets.distinct.select(F.col("sid").alias("family"), F.col("key").alias("head_key")), "family")
+    placed = sets.distinct.join(heads, "sid", "left").select("sid", "first_id", "n", F.coalesce("family", "sid").alias("family"), F.coalesce("head_key", "key").alias("key"))
+    crowds = placed.where("sid = family").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("cuts"))
+    g = F.xxhash64("key", F.pmod(F.xxhash64("family"), F.col("cuts"))).alias("g")
+    placed = stored(placed.join(crowds, "key").select("sid", "first_id", "n", "family", g), "jaccard-groups")
 
     # matrix
     order, hot = _order(profile)
@@ -370,27 +386,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_token = Window.partitionBy("token", "salt").orderBy("sid")
     other = (F.lag("sid").over(of_token) != F.col("sid")) | (F.lead("sid").over(of_token) != F.col("sid"))
     shared = rarest.withColumn("shared", F.coalesce(other, F.lit(False))).where("hot or shared").select("token", "sid", "n", "stored")
-    shared = stored(shared.join(groups, "sid", "left").select("token", "sid", "n", "stored", F.coalesce("g", "sid").alias("g")), "jaccard-shared")
-    matrix = shared.where("stored").groupBy("token", "g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    asks = shared.select("token", "sid", "n", F.col("g").alias("own")).distinct()
-    fits = (F.col("g") != F.col("own")) & (F.col("low") <= F.col("n")) & _similar(F.col("high"), F.col("n"))
-    asked = asks.join(matrix, "token").where(fits).select("g", "sid").distinct()
-    several = groups.select("g").distinct().withColumn("several", F.lit(True))
-    asked = cut(asked.join(several, "g", "left"))
-    candidates = cut(sets.possible(asked.where("several is null").select("g", "sid")).unionByName(asked.where("several").select("g", "sid")))
-
-    # members of the groups asked, and links
-    asked_groups = candidates.select("g").distinct()
-    grown = sets.distinct.select("sid", "n").join(groups, "sid", "left").select(F.coalesce("g", "sid").alias("g"), "sid", "n")
-    members = cut(grown.join(asked_groups, "g", "left_semi"))
+    shared = stored(shared.join(placed.select("sid", "family", "g"), "sid"), "jaccard-shared")
+    matrix = shared.where("stored").groupBy("token", "g").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.min("family").alias("one"), F.max("family").alias("last"))
+    asks = shared.select("token", "sid", "n", "family").distinct()
+    fits = ((F.col("one") != F.col("family")) | (F.col("last") != F.col("family"))) & (F.col("low") <= F.col("n")) & _similar(F.col("high"), F.col("n"))
+    asked = asks.join(matrix, "token").where(fits).select("g", "sid", "family").distinct()
+    alone = placed.groupBy("g").agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("only")).where("size = 1").select("g", "only")
+    asked = cut(asked.join(alone, "g", "left"))
+    single = sets.possible(asked.where("only is not null").select("g", "only", "sid")).join(placed.select("sid", "family"), "sid").select("g", "sid", "family")
+    candidates = cut(single.unionByName(asked.where("only is null").select("g", "sid", "family")))
+
+    # members of the groups asked, and links between families
+    members = cut(placed.join(candidates.select("g").distinct(), "g", "left_semi").select("g", "sid", "family", "n"))
     found = sets.links(members, candidates).unionByName(stars)
-    to_group = lambda c: F.coalesce(f"g_{c}", c).alias(c)
-    by = lambda c: groups.select(F.col("sid").alias(c), F.col("g").alias(f"g_{c}"))
-    joined = components(found.join(by("a"), "a", "left").join(by("b"), "b", "left").select(to_group("a"), to_group("b")).distinct())
+    by = lambda c: placed.select(F.col("sid").alias(c), F.col("family").alias(f"f_{c}"))
+    joined = components(found.join(by("a"), "a").join(by("b"), "b").select(F.col("f_a").alias("a"), F.col("f_b").alias("b")).where("a != b").distinct())
 
     # components
-    rooted = sets.distinct.select("sid", "first_id").join(groups, "sid", "left").select("sid", "first_id", F.coalesce("g", "sid").alias("node"))
-    rooted = cut(rooted.join(joined, "node", "left").select("sid", "first_id", F.coalesce("root", "node").alias("root")))
+    rooted = cut(placed.join(joined.withColumnRenamed("node", "family"), "family", "left").select("sid", "first_id", F.coalesce("root", "family").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     ids = cut(rooted.join(firsts, "root").select("sid", "component"))
     plain = sets.by_doc.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid")

@@ -162,6 +162,7 @@ def similar_texts():
 @pytest.mark.parametrize("held", [1 << 20, 40])
 def test_jaccard(spark, monkeypatch, held):
     """With whole groups, and with groups and those that ask them shared out."""
+    monkeypatch.setattr(jaccard, "MEMBERS", 2 if held == 40 else 256)
     monkeypatch.setattr(jaccard, "HELD_TOKENS", held)
     monkeypatch.setattr(jaccard, "HELD_ASKED", 3 if held == 40 else 4096)
     texts = similar_texts()
