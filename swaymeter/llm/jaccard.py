@@ -234,7 +234,7 @@ class _Tokens:
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (g, salt, asked, sid, family, tokens), sorted, a group's members first: to links (a, b) of a set that asks and a
-    member, one for each family."""
+    member that join families; a task writes fewer links than it reads rows."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
@@ -265,6 +265,7 @@ class _Group:
         self.families: list[int] = []
         self.sets: list[np.ndarray] = []
         self.union: np.ndarray | None = None
+        self.first: dict[int, int] = {}
 
     def add(self, name: int, family: int, tokens: np.ndarray) -> None:
         self.names.append(name)
@@ -281,8 +282,8 @@ class _Group:
         self.stop = np.append(self.start[1:], len(tokens))
 
     def linked(self, own: int, tokens: np.ndarray) -> list[int]:
-        """A member of each family but the set's own that is linked with the set: the union bounds the overlap, then members
-        are counted."""
+        """Members that are linked with the set, as far as they join families that were not joined here before: the union
+        bounds the overlap, then members are counted."""
         if self.union is None:
             self._close()
         if not len(self.union):
@@ -296,7 +297,19 @@ class _Group:
         place = np.repeat(self.start[at] - np.append(0, np.cumsum(width)[:-1]), width) + np.arange(width.sum())
         both = np.bincount(self.owner[place], minlength=len(self.names))
         good = np.flatnonzero(5 * both >= 4 * (self.sizes + len(tokens) - both))
-        return list({self.families[k]: self.names[k] for k in good.tolist() if self.families[k] != own}.values())
+        out = []
+        for k in good.tolist():
+            a, b = self._first(own), self._first(self.families[k])
+            if a != b:
+                self.first[b] = a
+                out.append(self.names[k])
+        return out
+
+    def _first(self, family: int) -> int:
+        """What stands for all families that are known here to be linked with this one."""
+        while (above := self.first.get(family, family)) != family:
+            self.first[family] = family = self.first.get(above, above)
+        return family
 
 
 class _Sets:
@@ -325,8 +338,8 @@ class _Sets:
         return stored(made.join(F.broadcast(mine) if few else mine, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")), "jaccard-tokens")
 
     def links(self, members: DataFrame, asked: DataFrame) -> DataFrame:
-        """Links (a, b) of sets `asked` (g, sid, family) with `members` (g, sid, family, n) of a group, one link per set and
-        family of a share of a group. Members of very many tokens are shared out, and so are the sets that ask a group."""
+        """Links (a, b) of sets `asked` (g, sid, family) with `members` (g, sid, family, n) of a group, as many as it takes to
+        join their families as all links do. Members of very many tokens are shared out, and so are the sets that ask a group."""
         shares = members.groupBy("g").agg(F.ceil(F.sum("n") / HELD_TOKENS).cast("long").alias("parts"))
         load = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD_ASKED).cast("long").alias("turns"))
         plan = cut(shares.join(load, "g"))
