@@ -9,6 +9,7 @@ from swaymeter.functions.base import contains_any
 from swaymeter.operators import aggregates as A
 from swaymeter.operators import filters as P
 from swaymeter.operators import joins as J
+from swaymeter.operators import term_search as S
 
 HASH_ID = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
@@ -226,3 +227,49 @@ def _(spark, d):
     return A.count_by(grid, "inferred_actor", "target", name="n")
 
 
+
+def bounded(column: str, terms) -> str:
+    """Any of the terms as a word or phrase of a folded column, `*` leaving it open to the right."""
+    import re
+
+    edge = r"[^\p{L}\p{N}_]"
+    parts = [re.sub(r"([^\w\s])", r"\\\1", t.rstrip("*").lower()) + ("" if t.endswith("*") else f"($|{edge})") for t in terms]
+    return f"regexp_matches({column}, " + quoted(f"(^|{edge})({'|'.join(parts)})") + ")"
+
+
+def answers(column: str, query) -> str:
+    groups, none_of = query
+    return " AND ".join([bounded(column, g) for g in groups] + ([f"NOT {bounded(column, none_of)}"] if none_of else []))
+
+
+SEARCHES = V.topic_searches()
+
+LOW = ", low AS (SELECT id, inferred_actor, lower(article_text) AS t FROM articles)"
+
+
+@check("country_queries", oracle(LOW + " " + " UNION ALL ".join(
+    f"SELECT id, {quoted(c)} AS query FROM low WHERE {answers('t', q)}" for c, q in SEARCHES.items()), "articles"))
+def _(spark, d):
+    return S.percolate(view(spark, d, "articles"), S.query_table(spark, SEARCHES))
+
+
+@check("country_queries_by_actor", oracle(LOW + " SELECT inferred_actor, query AS target, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT inferred_actor, {quoted(c)} AS query FROM low WHERE {answers('t', q)}" for c, q in SEARCHES.items())
+    + ") WHERE inferred_actor IN ('China', 'Turkey', 'Rwanda') GROUP BY ALL", "articles"))
+def _(spark, d):
+    found = S.percolate_grid(view(spark, d, "articles"), S.query_table(spark, SEARCHES), ["China", "Turkey", "Rwanda"], "inferred_actor")
+    return A.count_by(found, "inferred_actor", "target", name="n")
+
+
+# a query per benchmark item: its third and fourth words, not its fifth
+@check("item_queries", r"""
+WITH q AS (SELECT item_id, w[3] AS a, w[4] AS b, w[5] AS c FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark)),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents)
+SELECT x.doc_id AS id, CAST(item_id AS VARCHAR) AS query FROM q JOIN w x ON x.w = a JOIN w y ON y.w = b AND y.doc_id = x.doc_id
+WHERE NOT EXISTS (SELECT 1 FROM w z WHERE z.w = c AND z.doc_id = x.doc_id)""")
+def _(spark, d):
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    words = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.slice(found, 3, 3).alias("w"))
+    queries = words.select("query", F.posexplode("w").alias("group", "term")).withColumn("negated", F.col("group") == 2)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("article_text"))
+    return S.percolate(docs, queries.select("query", "group", "negated", "term"))

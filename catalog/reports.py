@@ -1,12 +1,15 @@
 """Pages and reports, panel by panel."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from catalog import check
+from catalog import CHECKS, check, work_folder
 from catalog.texts import LINES
-from catalog.views import has_any, listed, mapped, oracle, quoted, view
+from catalog.views import has_any, listed, mapped, oracle, quoted, table, view
 from swaymeter import fixed_values as V
-from swaymeter.plans import audit, reports
+from swaymeter.operators import paging, text_search
+from swaymeter.plans import audit, reports, rollup
 
 CLEAN = f"""
 , clean AS (SELECT * FROM articles WHERE target_country IN {listed(V.MONITORED_COUNTRIES)}
@@ -249,6 +252,75 @@ def _(spark, d):
     return reports.article_search(view(spark, d, "articles"), "kremlin", 2).rows.select("id", "position")
 
 
+@check("article_search_by_signature", oracle("""
+SELECT id FROM articles WHERE contains(upper(article_text), 'TRADE DEAL') OR contains(upper(author), 'TRADE DEAL')""", "articles"))
+def _(spark, d):
+    articles = view(spark, d, "articles")
+    path = f"{work_folder(spark)}/signatures-{uuid.uuid4().hex}"
+    text_search.signatures(articles).write.parquet(path)
+    return text_search.search_texts(articles, spark.read.parquet(path), "Trade deal").select("id")
+
+
+@check("article_search_by_short_query", oracle("""
+SELECT id FROM articles WHERE contains(upper(article_text), 'Q2') OR contains(upper(author), 'Q2')""", "articles"))
+def _(spark, d):
+    articles = view(spark, d, "articles")
+    return text_search.search_texts(articles, text_search.signatures(articles), "q2").select("id")
+
+
+@check("article_page_by_day", oracle("""
+SELECT id, posting_time, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS position FROM facts
+ORDER BY position LIMIT 25 OFFSET 2500""", "facts"))
+def _(spark, d):
+    facts = view(spark, d, "facts")
+    return paging.paginate_by_part(facts, 101, 25, F.to_date("posting_time")).rows.select("id", "posting_time", "position")
+
+
+@check("author_page_by_letter", oracle("""
+, a AS (SELECT DISTINCT c_name AS author FROM customer)
+SELECT author, row_number() OVER (ORDER BY author) AS position FROM a ORDER BY position LIMIT 30 OFFSET 60""", "facts"))
+def _(spark, d):
+    authors = table(spark, d, "customer").select(F.col("c_name").alias("author")).distinct()
+    found = paging.paginate_by_part(authors, 3, 30, F.substring("author", 1, 12), [("author", True, False)], "author")
+    return found.rows.select("author", "position")
+
+
+def kept_rollup(spark, d):
+    """The roll-up as a stream of batches leaves it: newest articles first, then late ones, then undated ones, the second
+    batch written twice, and all but the last batch merged."""
+    articles = view(spark, d, "articles")
+    path = f"{work_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    middle = F.to_timestamp(F.lit("2024-01-02"))
+    batches = [articles.filter(F.col("posting_time") >= middle), articles.filter(F.col("posting_time") < middle),
+               articles.filter(F.col("posting_time").isNull())]
+    for number in (0, 1, 1):
+        rollup.write_counts(batches[number], f"{path}/counts/run=a/batch={number}")
+    rollup.merge(spark, f"{path}/counts", f"{path}/merged")
+    rollup.write_counts(batches[2], f"{path}/counts/run=b/batch=0")
+    return rollup.read(spark, f"{path}/counts", f"{path}/merged")
+
+
+def rollup_panel(name, **who):
+    def run(spark, d):
+        return rollup.overview(kept_rollup(spark, d), view(spark, d, "idx"), **who)[name]
+
+    return run
+
+
+check("rollup_cards", CHECKS["overview_cards"][1])(rollup_panel("cards"))
+check("rollup_cards_filtered", CHECKS["overview_cards_filtered"][1])(rollup_panel("cards", country="senegal", actor="russia"))
+check("rollup_volume", CHECKS["overview_volume"][1])(rollup_panel("volume"))
+check("rollup_countries", oracle(CLEAN + f"""
+SELECT target_country, count(*) AS total FROM clean WHERE {no_placeholder("target_country")} GROUP BY 1
+ORDER BY total DESC, target_country LIMIT 10""", "articles"))(rollup_panel("countries"))
+
+
+@check("rollup_daily_volume", oracle("""
+SELECT CAST(posting_time AS DATE) AS day, count(*) AS count FROM facts WHERE posting_time IS NOT NULL GROUP BY 1""", "facts"))
+def _(spark, d):
+    return rollup.daily_volume(kept_rollup(spark, d))
+
+
 def context_panel(name, **who):
     def run(spark, d):
         return reports.question_context(view(spark, d, "articles"), **who)[name]

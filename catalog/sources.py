@@ -74,6 +74,38 @@ def _(spark, d):
         "url", "inferred_actor", "strategic_intent", "confidence", "use_afrolm", F.md5("article_text").alias("text"))
 
 
+def damaged_csv(spark, d):
+    """Articles in three files: whole records, records that lack their last cells, records with a cell too many."""
+    path = new_path(spark, "damaged")
+    facts = view(spark, d, "facts").select(
+        F.lit("t").alias("article_text"), F.date_format("posting_time", "yyyy-MM-dd HH:mm:ss").alias("posting_time"),
+        F.when(F.col("id") % 11 == 0, "n/a").otherwise(F.col("confidence").cast("string")).alias("confidence"),
+        F.col("id").cast("string").alias("URL"), F.lit("x").alias("sector"), "lang_detect")
+    kind = F.col("lang_detect")
+    csv = lambda df, name: df.write.option("header", True).option("escape", '"').csv(f"{path}/{name}")
+    csv(facts.filter(kind.isin("en", "fr") | kind.isNull()), "whole")
+    csv(facts.filter(kind == "sw").drop("lang_detect", "sector"), "short")
+    csv(facts.filter(~kind.isin("en", "fr", "sw")).withColumn("more", F.lit("y")), "long")
+    return f"{path}/*", ["article_text", "posting_time", "confidence", "URL", "sector", "lang_detect"]
+
+
+@check("damaged_csv_records", oracle("""
+SELECT CASE WHEN lang_detect IS NULL OR lang_detect IN ('en', 'fr') THEN 'whole' ELSE 'damaged' END AS kind, count(*) AS n FROM facts GROUP BY 1""", "facts"))
+def _(spark, d):
+    path, names = damaged_csv(spark, d)
+    rows = readers.read_checked_csv(spark, path, names=names)
+    return rows.groupBy(F.when(F.col(readers.DAMAGED).isNull(), "whole").otherwise("damaged").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@check("reject_initial_csv", oracle("""
+SELECT CAST(id AS STRING) AS url, 'unreadable confidence' AS reason, 'n/a' AS value FROM facts WHERE id % 13 = 0""", "facts"))
+def _(spark, d):
+    df = view(spark, d, "facts").select(
+        F.lit("t").alias("article_text"), "posting_time", F.col("id").cast("string").alias("URL"),
+        F.when(F.col("id") % 13 == 0, "n/a").otherwise(F.col("confidence").cast("string")).alias("confidence"))
+    return readers.reject_initial_csv(spark, csv_of(df, "lenient"))
+
+
 @check("read_risk_csv", oracle("SELECT actor, country, intent, final_risk FROM idx", "idx"))
 def _(spark, d):
     df = view(spark, d, "idx").withColumnRenamed("final_risk", "FinalRisk")
@@ -160,6 +192,19 @@ def _(spark, d):
     return both.join(both.groupBy("id").count().filter("count = 1"), "id", "left_semi").drop("id")
 
 
+@check("update_months", oracle("""
+SELECT f.id, CASE WHEN l.doc_id IS NOT NULL THEN 'Economic' ELSE strategic_intent END AS strategic_intent,
+  CASE WHEN l.doc_id IS NOT NULL THEN TIMESTAMP '2031-05-06 07:08:09' ELSE posting_time END AS posting_time
+FROM facts f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = f.id""", "facts"))
+def _(spark, d):
+    path = new_path(spark, "months")
+    sinks.append_articles(view(spark, d, "facts").select("id", "strategic_intent", "posting_time"), path)
+    updates = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("Economic").alias("strategic_intent"),
+                                               F.to_timestamp(F.lit("2031-05-06 07:08:09")).alias("posting_time"))
+    sinks.update_months(spark, path, updates, ["strategic_intent", "posting_time"])
+    return spark.read.parquet(path).drop("month")
+
+
 @check("replace_table", oracle("SELECT actor, country, intent, final_risk FROM idx", "idx"))
 def _(spark, d):
     path = new_path(spark, "index")

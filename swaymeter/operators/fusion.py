@@ -8,18 +8,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swaymeter.functions.base import ColumnOrName, bind, col, missing
 from swaymeter.operators.aggregates import most_frequent, pick_best
-from swaymeter.operators.joins import small
+from swaymeter.operators.lookup import small
 
 MATCH_THRESHOLD = 0.6
-#: Classes a class table may have: models tell apart tens of them.
-MAX_CLASSES = 10_000
+#: Classes whose calibration cells travel with every task (models tell apart tens of them); beyond, they are joined.
+MAX_BROADCAST_CLASSES = 1_000
 
 
 # ---- probabilities and votes ---------------------------------------------
@@ -157,46 +156,43 @@ def fit_calibrator(probs: DataFrame, labels: DataFrame, max_rows: int = MAX_CALI
     return counts.groupBy("class").applyInPandas(_venn_abers_group, "class int, score double, exact boolean, p0 double, p1 double")
 
 
-def calibrate(probs: DataFrame, calibrator: DataFrame | None, max_rows: int = MAX_CALIBRATION_ROWS) -> DataFrame:
+#: Scores of a calibrator that are kept together and searched one by one.
+CELL = 64
+
+
+def _calibration_cells(calibrator: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The calibrator as (class, cell, steps), CELL scores a cell, and as (class, starts), the first score of each cell.
+
+    A class has as many rows as the fit allows (see `fit_calibrator`).
+    """
+    value = F.col("p1") / (F.col("p0") + F.col("p1") + 1e-15)
+    steps = calibrator.groupBy("class", "score").agg(F.max(F.when(F.col("exact"), value)).alias("at"), F.max(F.when(~F.col("exact"), value)).alias("after"))
+    place = F.row_number().over(Window.partitionBy("class").orderBy("score")) - 1
+    numbered = steps.withColumn("cell", F.floor(place / CELL).cast("int"))
+    cells = numbered.groupBy("class", "cell").agg(F.sort_array(F.collect_list(F.struct("score", "at", "after"))).alias("steps"), F.min("score").alias("start"))
+    return cells.drop("start"), cells.groupBy("class").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+
+def calibrate(probs: DataFrame, calibrator: DataFrame | None) -> DataFrame:
     """Calibrated probabilities that sum to 1 per article; without a calibrator, as they are.
 
-    The calibrator is as large as its scores, at most 2 * max_rows + 1 rows a class, and is looked up in place.
+    A score is looked up by the class and the cell of scores that it falls in, an ordinary join; within the cell, the last
+    score not above it holds. Scores of classes that the calibrator does not know stay as they are, a missing score counts 0.
     """
     if calibrator is None:
         return probs
-    tables = {}
-    for (klass,), rows in _by_class(calibrator, max_rows).items():
-        rows = sorted(rows, key=lambda r: (r["score"], not r["exact"]))
-        tables[klass] = (np.array([r["score"] for r in rows]), np.array([r["exact"] for r in rows]),
-                         np.array([r["p1"] / (r["p0"] + r["p1"] + 1e-15) for r in rows]))
-
-    @F.pandas_udf("double")
-    def looked_up(klass: pd.Series, prob: pd.Series) -> pd.Series:
-        out = prob.astype(float).copy()
-        for k, (scores, _, values) in tables.items():
-            own = ((klass == k) & prob.notna()).to_numpy()
-            if own.any():
-                p = prob[own].to_numpy(float)
-                at = np.searchsorted(scores, p, side="right") - 1
-                # the last row of a score is the gap above it, the row before it the score itself
-                out[own] = values[np.where((scores[at] == p), at - 1, at)]
-        return out
-
-    raw = probs.withColumn("_p", looked_up(F.col("class").cast("int"), F.col("prob").cast("double")))
+    kept = calibrator.persist()
+    cells, starts = _calibration_cells(kept)
+    rows = probs.select("article_id", F.col("class").cast("int").alias("class"), F.col("prob").cast("double").alias("prob"))
+    at = rows.join(small(starts, MAX_BROADCAST_CLASSES), "class", "left")
+    at = at.withColumn("cell", F.size(F.filter("starts", lambda s: s <= F.col("prob"))) - 1).drop("starts")
+    found = at.join(small(cells, MAX_BROADCAST_CLASSES * 16), ["class", "cell"], "left")
+    below = F.filter("steps", lambda s: s["score"] <= F.col("prob"))
+    last = F.element_at(below, -1)
+    looked_up = F.when(last["score"] == F.col("prob"), last["at"]).otherwise(last["after"])
+    raw = found.select("article_id", "class", F.when(F.col("prob").isNotNull(), F.coalesce(looked_up, "prob")).alias("_p"))
     total = F.sum("_p").over(Window.partitionBy("article_id"))  # one row per class
-    return raw.select("article_id", F.col("class").cast("int").alias("class"), F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)).alias("prob"))
-
-
-def _by_class(calibrator: DataFrame, max_rows: int) -> dict[tuple[int], list]:
-    n_classes = calibrator.select("class").distinct().limit(MAX_CLASSES + 1).count()
-    most = n_classes * (2 * max_rows + 1)
-    rows = calibrator.limit(most + 1).collect()
-    if n_classes > MAX_CLASSES or len(rows) > most:
-        raise ValueError(f"the calibrator has more than {2 * max_rows + 1} rows a class or more than {MAX_CLASSES} classes")
-    out: dict[tuple[int], list] = {}
-    for r in rows:
-        out.setdefault((r["class"],), []).append(r)
-    return out
+    return raw.select("article_id", "class", F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)).alias("prob"))
 
 
 # ---- scoring texts -------------------------------------------------------
@@ -240,27 +236,30 @@ def score_texts(df: DataFrame, make_scorer: Callable[[], Scorer], text: str = "a
 
 def decode_labels(df: DataFrame, classes: DataFrame, column: str = "class", name: str = "label",
                   default: str = "Factual") -> DataFrame:
-    """Class index to name through a class table (`class`, `label`), which is small by its nature.
-
-    The table becomes one map that every row looks up in place: rows are not dealt out by class. A table of more than
-    MAX_CLASSES classes is an error.
-    """
-    known = classes.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("label").alias("label"))
-    n = known.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} classes; the bound is {MAX_CLASSES}")
-    names = known.agg(F.map_from_entries(F.collect_list(F.struct("class", "label")))).scalar()
-    return df.withColumn(name, F.coalesce(F.try_element_at(names, F.col(column)), F.lit(default)))
+    """Class index to name through a class table (`class`, `label`) of any size; a small one travels to the rows."""
+    known = classes.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("label").alias("_label"))
+    known = known.withColumnRenamed("class", "_class")
+    joined = df.join(small(known), F.col(column) == F.col("_class"), "left").drop("_class")
+    return joined.withColumn(name, F.coalesce("_label", F.lit(default))).drop("_label")
 
 
 def encode_labels(df: DataFrame, label: str) -> DataFrame:
-    """Class table (class, label): distinct labels in sorted order, counted from 0.
+    """Class table (class, label): distinct labels in sorted order, counted from 0; NULL is no label.
 
-    The ranks are counted on the distinct labels, each of which is met once.
+    The distinct labels are dealt out by ranges and sorted there; a label's class is its place in its range behind all
+    labels of the ranges before, whose sizes (one number per task) the driver adds up.
     """
-    classes = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
-    rank = F.row_number().over(Window.orderBy("label")) - 1  # one row per class
-    return classes.select(rank.alias("class"), "label")
+    distinct = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
+    ranged = distinct.repartitionByRange("label").withColumn("part", F.spark_partition_id())
+    ranged = ranged.persist()  # a label stays in its part
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    place = F.row_number().over(Window.partitionBy("part").orderBy("label")) - 1
+    offset = F.try_element_at(F.create_map(*offsets), F.col("part")) if offsets else F.lit(0)
+    return ranged.select((place + offset).cast("int").alias("class"), "label")
 
 
 # ---- merging two sources -------------------------------------------------

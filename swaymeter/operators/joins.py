@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from swaymeter import fixed_values as V
-from swaymeter.functions.base import bind, contains_any, iexact, look_up, present, strip
+from swaymeter.functions.base import iexact, look_up, present, strip
 from swaymeter.functions.labels import alias, score_intent
 from swaymeter.operators.aggregates import best_risk, pick_best
+from swaymeter.operators.lookup import MAX_LOOKUP, small  # noqa: F401
+from swaymeter.operators.term_search import term_mentions, word_mentions  # noqa: F401
 
 
 def spread_key(key: Column, usable: Column, row_id: str = "id") -> Column:
@@ -89,15 +91,6 @@ def of_outlet(df: DataFrame, outlets: DataFrame, outlet: str) -> DataFrame:
 
 
 # ---- score lookups -------------------------------------------------------
-#: Rows of a lookup table that is sent to every task; an index has a few hundred (actors times countries).
-MAX_LOOKUP = 100_000
-
-
-def small(table: DataFrame, most: int = MAX_LOOKUP) -> DataFrame:
-    """A lookup table marked for broadcast after its rows have been counted; beyond the bound Spark joins as it sees fit."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
-
-
 def _key(c: Column) -> Column:
     return F.lower(strip(c))
 
@@ -107,7 +100,7 @@ def _exact(df: DataFrame, index: DataFrame, country: Column, actor: Column, inte
     best = index.groupBy(_key(F.col("country")).alias("_c"), _key(F.col("actor")).alias("_a"),
                          _key(F.col("intent")).alias("_i")).agg(F.max("final_risk").alias(name))
     keyed = df.withColumns({"_c": _key(country), "_a": _key(actor), "_i": _key(intent)})
-    return keyed.join(best, ["_c", "_a", "_i"], "left")
+    return keyed.join(small(best), ["_c", "_a", "_i"], "left")
 
 
 def score_exact(df: DataFrame, index: DataFrame, country: Column, actor: Column, intent: Column,
@@ -144,7 +137,7 @@ def score_without_actor(df: DataFrame, index: DataFrame, country: Column, intent
     exact = _exact(df, index, country, actor, intent, "_exact")
     first = (index.groupBy(F.trim("country").alias("_fc"), F.trim("intent").alias("_fi"))
              .agg(F.min_by("final_risk", "actor").alias("_any")))
-    joined = exact.withColumns({"_fc": country, "_fi": intent}).join(first, ["_fc", "_fi"], "left")
+    joined = exact.withColumns({"_fc": country, "_fi": intent}).join(small(first), ["_fc", "_fi"], "left")
     return (joined.withColumn("score", F.coalesce("_exact", "_any", F.lit(0.0)))
             .drop("_c", "_a", "_i", "_fc", "_fi", "_exact", "_any"))
 
@@ -211,45 +204,6 @@ def resolve_with(df: DataFrame, column: str, aliases: DataFrame, name: str) -> D
             .drop("_key", "_value"))
 
 
-def term_mentions(df: DataFrame, terms: Sequence[tuple[str, str]], text: str = "article_text") -> DataFrame:
-    """One row per article and mentioned term: (id, group, term).
-
-    Texts that hold none of the (literal) terms are left out by one pass of one pattern. The others are folded once
-    and searched in place, so articles are never joined with terms and only hits are emitted.
-    """
-    terms = list(terms)
-    upper = F.upper(F.col(text))
-    spelled = list(dict.fromkeys(term.upper() for _, term in terms))
-
-    def search(t: Column) -> Column:
-        found = [F.when(F.contains(t, F.lit(w)), F.lit(i)) for i, w in enumerate(spelled)]
-        return F.filter(F.array(*found), lambda h: h.isNotNull())
-
-    hits = bind(upper, search)
-    names = F.array(*[F.array(*[F.struct(F.lit(g).alias("group"), F.lit(t).alias("term"))
-                                for g, t in terms if t.upper() == w]) for w in spelled])
-    each = df.filter(contains_any(text, spelled)).select("id", hits.alias("_hits")).select("id", F.explode("_hits").alias("_i"))
-    return each.select("id", F.explode(names[F.col("_i")]).alias("_h")).select("id", "_h.group", "_h.term")
-
-
-def word_mentions(df: DataFrame, terms: DataFrame, text: str = "article_text") -> DataFrame:
-    """Mentions of whole terms from a term table of any size (`group`, `term`).
-
-    An equi-join on the first word of each term; longer terms are then verified in the
-    text, which is fetched again by id for the candidates only.
-    """
-    token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))))
-    words = df.select("id", token.alias("_word"))
-    keyed = terms.select("group", "term", F.lower("term").alias("_term"),
-                         F.regexp_extract(F.lower("term"), r"([\p{L}\p{N}]+)", 1).alias("_word"))
-    one_word = F.col("_term") == F.col("_word")
-    found = words.join(keyed, "_word")
-    sure = found.filter(one_word).select("id", "group", "term")
-    maybe = found.filter(~one_word).select("id", "group", "term", "_term").join(df.select("id", text), "id")
-    checked = maybe.filter(F.contains(F.lower(F.col(text)), F.col("_term"))).select("id", "group", "term")
-    return sure.unionByName(checked)
-
-
 def query_grid(stories: DataFrame, queries: Mapping[str, Column], actors: Sequence[str], actor: str) -> DataFrame:
     """Stories of each actor's collection that answer each target's query: adds `target`.
 

@@ -6,7 +6,7 @@ texts never take part in a sort.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +86,45 @@ def paginate(df: DataFrame, page: object, size: int, order: Sequence[tuple[str,
     return Page(_rows_of(df, numbered, key), numbered, number, num_pages, total)
 
 
+#: Parts (days, first letters) that a page directory may have.
+MAX_PARTS = 100_000
+
+
+def paginate_by_part(df: DataFrame, page: object, size: int, part: Column, order: Sequence[tuple[str, bool, bool]] = NEWEST,
+                     key: str = "id", within: Callable[[list], Column] | None = None) -> Page:
+    """As `paginate`, by a directory of counts per `part`, so that only the parts of the page are sorted.
+
+    `part` must grow with the first column of the order (its day, its first letter) and be null where that is. `within`
+    gives a further filter for a list of parts, e.g. one on the folders in which their rows lie, which lets the scan skip all
+    others. More than MAX_PARTS parts are an error: take coarser ones.
+    """
+    counts = df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).limit(MAX_PARTS + 1).collect()
+    if len(counts) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} parts")
+    _, asc, nulls_first = order[0]
+    known = sorted(((r["part"], r["n"]) for r in counts if r["part"] is not None), reverse=not asc)
+    unknown = [(r["part"], r["n"]) for r in counts if r["part"] is None]
+    directory = unknown + known if nulls_first else known + unknown
+    total = sum(n for _, n in directory)
+    num_pages = max(1, -(-total // size))
+    number = clamp_page(page, num_pages)
+    skip = (number - 1) * size
+    chosen, before, first = [], 0, None
+    for value, n in directory:
+        if before + n > skip and before < skip + size:
+            chosen.append(value)
+            first = before if first is None else first
+        before += n
+    some = [v for v in chosen if v is not None]
+    own = part.isin(some) if some else F.lit(False)
+    own = own | part.isNull() if len(some) < len(chosen) else own
+    rows = df.filter(F.coalesce(own, F.lit(False)) & (within(chosen) if within else F.lit(True)))
+    names = list(dict.fromkeys([n for n, _, _ in order] + [key]))
+    keys = rows.select(*names).orderBy(*_columns(order)).offset(skip - (first or 0)).limit(size)
+    numbered = _numbered(keys, order, key, skip)
+    return Page(_rows_of(rows, numbered, key), numbered, number, num_pages, total)
+
+
 def page_after(df: DataFrame, size: int, last: Mapping[str, object] | None = None,
                order: Sequence[tuple[str, bool, bool]] = NEWEST, key: str = "id") -> DataFrame:
     """The next `size` rows after the row whose order columns are `last` (None: the first rows), in order.

@@ -12,6 +12,7 @@ from swaymeter import fixed_values as V
 from swaymeter.functions.base import look_up, lower_contains_any, strip, title_case
 from swaymeter.functions.labels import has_words
 from swaymeter.operators.filters import no_placeholder
+from swaymeter.operators.lookup import small
 
 
 def _first_key(q: Column, values: dict[str, str]) -> Column:
@@ -102,7 +103,7 @@ def answer_questions(routed: DataFrame, articles: DataFrame, index: DataFrame, k
     asked = routed.filter(route.isin("total", "avg_index", "country_counts", "compare", "tone", "actor_stats")).select(
         *keys, "route", F.when(route.isin("country_counts", "compare", "actor_stats"), place).otherwise(F.lit("")).alias("_c"),
         F.when(route == "country_counts", F.col("country")).alias("_country"), F.explode(who).alias("_who"))
-    joined = asked.withColumn("_a", F.lower("_who")).join(answers, ["route", "_c", "_a"], "left")
+    joined = asked.withColumn("_a", F.lower("_who")).join(small(answers), ["route", "_c", "_a"], "left")
     label = F.coalesce("found", F.when(route == "compare", F.col("_who")), "_country")
     value = F.coalesce("value", F.when(route.isin("country_counts", "compare"), F.lit(0.0)))
     measure = F.when(route == "tone", F.lit("tone")).when(route == "avg_index", F.lit("mean index")).otherwise(F.lit("articles"))

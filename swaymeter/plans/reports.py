@@ -75,12 +75,17 @@ def overview_cards(base: DataFrame, index: DataFrame) -> DataFrame:
 
     Distinct values are counted on the table of combinations, not on the articles.
     """
+    combos = base.groupBy("media_outlet", "strategic_intent", "inferred_actor").agg(
+        F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"))
+    return cards_of(combos, index)
+
+
+def cards_of(combos: DataFrame, index: DataFrame) -> DataFrame:
+    """The cards from counts (n, conf, n_conf) per outlet, intent and actor, in any number of rows."""
     def kinds(c: str):
         # a placeholder is no kind of its own, NULL is one
         return A.distinct_values(c) - F.count_distinct(F.when(F.col(c).isin(V.PLACEHOLDERS), F.col(c)))
 
-    combos = base.groupBy("media_outlet", "strategic_intent", "inferred_actor").agg(
-        F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.count("confidence").alias("n_conf"))
     mean = F.try_divide(F.sum("conf"), F.sum("n_conf"))
     cards = combos.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(A.distinct_values("media_outlet"), F.lit(0)).alias("outlets"),

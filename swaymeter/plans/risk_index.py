@@ -1,8 +1,8 @@
 """The risk index: content signal, contextual signal and their combination.
 
-The article table is read once for the group sums and once more (one boolean column) for
-the anchor share. Everything after the group sums works on a cube whose size does not
-depend on the number of articles.
+The article table is read once, for the group sums; the anchor share is one number made from
+these. Everything after the group sums works on a cube whose size does not depend on the
+number of articles.
 """
 
 from __future__ import annotations
@@ -56,13 +56,12 @@ def ppi_sums(articles: DataFrame) -> DataFrame:
 def ppi(articles: DataFrame, apply_correction: bool = True) -> DataFrame:
     """Estimate `theta` per (actor, country, raw intent); empty when there are no anchors.
 
-    Articles are read once: all groups are summed, those without a name too, and the share of anchors is a window
-    total over the group sums, whose number does not depend on the number of articles.
+    All groups are summed, those without a name too, and the share of anchors is one number made from the sums.
     """
     every = _group_sums(articles)
-    whole = Window.partitionBy(F.lit(1))
-    total, anchors = F.sum("n").over(whole), F.sum("_anchors").over(whole)
-    shared = every.withColumn("share", F.when(anchors > 0, anchors.cast("double") / total)).drop("_anchors")
+    total, anchors = F.sum("n"), F.sum("_anchors")
+    share = every.agg(F.when(anchors > 0, anchors.cast("double") / total)).scalar()
+    shared = every.withColumn("share", share).drop("_anchors")
     sums = shared.filter(known_group() & F.col("share").isNotNull())
     correction = F.col("correction") if apply_correction else F.lit(0.0)
     return sums.withColumn("theta", ppi_estimate("n", "sum_conf", correction, "share"))
@@ -84,13 +83,13 @@ def exposure_grid(exposure: DataFrame, countries: DataFrame) -> DataFrame:
     """
     metrics = ["debt", "res", "mil", "disinfo", "elec", "lgbtq"]
     known = exposure.filter(F.col("actor").isNotNull() & F.col("country").isNotNull())
-    names = countries.filter(F.col("country").isNotNull()).select("country").distinct()
-    actors = known.select("actor").distinct()
+    wide = known.groupBy(*PAIR).agg(*[
+        F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]).persist()  # the figures are read once
+    names = countries.filter(F.col("country").isNotNull()).select("country").distinct().persist()
+    actors = wide.select("actor").distinct()
     n_actors, n_names = actors.count(), names.count()
     if n_actors * n_names > MAX_CELLS:
         raise ValueError(f"{n_actors} actors and {n_names} countries; the bound is {MAX_CELLS} pairs")
-    wide = known.groupBy(*PAIR).agg(*[
-        F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
     every = names.agg(F.collect_list("country")).scalar()  # at most MAX_CELLS names, as just counted
     grid = actors.withColumn("country", F.explode(every)).join(wide, PAIR, "left")
     return grid.select(*PAIR, *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in metrics])

@@ -28,6 +28,22 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> Da
             .option("encoding", encoding).option("nullValue", "\u0001").option("emptyValue", "").csv(path))
 
 
+DAMAGED = "_damaged"
+
+
+def read_checked_csv(spark: SparkSession, path: str, encoding: str = "utf-8", names: Sequence[str] | None = None) -> DataFrame:
+    """As `read_text_csv`, with the whole record in `_damaged` where it has too few or too many cells or an open quote
+    (which takes in what follows it), else NULL there. `names` are the columns, by default those of the header.
+    """
+    names = list(names or read_text_csv(spark, path, encoding).columns)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, DAMAGED]])
+    read = (spark.read.schema(schema).option("columnNameOfCorruptRecord", DAMAGED).option("mode", "PERMISSIVE").option("header", True)
+            .option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", encoding)
+            .option("nullValue", "\u0001").option("emptyValue", "").csv(path))
+    # Spark does not read that column alone, so it is tied to another one
+    return read.withColumn(DAMAGED, F.when(F.coalesce(F.col(f"`{names[0]}`"), F.lit("")) >= "", F.col(DAMAGED)))
+
+
 def _with_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """The named columns, NULL where the file lacks one."""
     have = {c.lower(): c for c in df.columns}
@@ -73,13 +89,21 @@ def article_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_articles_csv(spark: SparkSession, path: str, place: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(articles, rejects): rows without a usable time are rejected with a reason. With `place`, see `with_place`."""
-    read = read_text_csv(spark, path)
-    raw = _with_columns(with_place(read), [*ARTICLE_FIELDS, *PLACE]) if place else _with_columns(read, ARTICLE_FIELDS)
+    """(articles, rejects): damaged records and rows without a usable time are rejected with a reason.
+
+    A damaged record is kept whole in `record`; its cells are not trusted. With `place`, see `with_place`.
+    """
+    read = read_checked_csv(spark, path)
+    read = with_place(read) if place else read
+    raw = _with_columns(read, [*ARTICLE_FIELDS, DAMAGED, *(PLACE if place else [])])
+    whole, damaged = raw.filter(F.col(DAMAGED).isNull()).drop(DAMAGED), raw.filter(F.col(DAMAGED).isNotNull())
     time = parse_timestamp("posting_time")
     reason = F.when(~present(strip("posting_time")), F.lit("posting_time is empty")).otherwise(
         F.concat(F.lit("Could not parse date: "), F.col("posting_time")))
-    return article_rows(raw.filter(time.isNotNull())), raw.filter(time.isNull()).withColumn("reason", reason)
+    rejects = whole.filter(time.isNull()).withColumns({"reason": reason, "record": F.lit(None).cast("string")})
+    nothing = {c: F.lit(None).cast("string") for c in ARTICLE_FIELDS}
+    broken = damaged.withColumns({**nothing, "reason": F.lit("damaged record"), "record": F.col(DAMAGED)}).drop(DAMAGED)
+    return article_rows(whole.filter(time.isNotNull())), rejects.unionByName(broken)
 
 
 def initial_rows(raw: DataFrame) -> DataFrame:
@@ -94,7 +118,23 @@ def initial_rows(raw: DataFrame) -> DataFrame:
 
 
 def read_initial_csv(spark: SparkSession, path: str) -> DataFrame:
-    return initial_rows(_with_columns(read_text_csv(spark, path), ARTICLE_FIELDS))
+    """The lenient import: every whole record gives a row; see `reject_initial_csv` for what was lost or replaced."""
+    read = read_checked_csv(spark, path)
+    return initial_rows(_with_columns(read.filter(F.col(DAMAGED).isNull()), ARTICLE_FIELDS))
+
+
+def reject_initial_csv(spark: SparkSession, path: str) -> DataFrame:
+    """(url, reason, value) for every cell that the lenient import could not read and replaced by its default, and every
+    damaged record, which gives no row; `value` is the cell or the record."""
+    read = read_checked_csv(spark, path)
+    rows = _with_columns(read, [*ARTICLE_FIELDS, DAMAGED])
+    cells = {"confidence": ("confidence", "double"), "posting_time": ("posting_time", "timestamp")}
+    whole = F.col(DAMAGED).isNull()
+    bad = [F.when(whole & blank_to_null(strip(c)).isNotNull() & blank_to_null(c).try_cast(kind).isNull(),
+                  F.struct(F.lit(f"unreadable {name}").alias("reason"), F.col(c).alias("value"))) for name, (c, kind) in cells.items()]
+    broken = F.when(~whole, F.struct(F.lit("damaged record").alias("reason"), F.col(DAMAGED).alias("value")))
+    found = rows.select(F.when(whole, F.col("URL")).alias("url"), F.explode_outer(F.array_compact(F.array(*bad, broken))).alias("x"))
+    return found.filter("x is not null").select("url", "x.reason", "x.value")
 
 
 def read_risk_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from swaymeter import schemas
 from swaymeter.operators.joins import not_stored
 from swaymeter.operators.sets import first_per_key
+from swaymeter.plans.rollup import write_counts
 
 LATE = "2 days"
 
@@ -65,32 +66,48 @@ def daily_volume_stream(stream: DataFrame, time: str = "posting_time", late: str
     return windows.select(F.to_date("window.start").alias("day"), "count")
 
 
+#: Parts of a store by the hash of the url. Fixed: a url has to fall in the same part in every run.
+STORE_PARTS = 64
+
+
+def url_part(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(STORE_PARTS)).cast("int")
+
+
 def store_writer(store_path: str, order: list[str], row_id: str = "id",
-                 transform: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+                 transform: Callable[[DataFrame], DataFrame] | None = None,
+                 rollup_path: str | None = None) -> Callable[[DataFrame, int], None]:
     """Batch handler: first copy of each url the store does not have, labelled, then stored.
 
     A batch writes a folder of its own, named after the streaming query (whose id lives in the checkpoint) and the
     batch, and replaces it if the batch is repeated: a batch that ran twice is stored once, and a query with a new
-    checkpoint adds to what earlier ones stored. Every batch is held against the whole store but its own folder.
+    checkpoint adds to what earlier ones stored. Inside, rows lie in parts by the hash of their url; a batch is held
+    against the urls of its own parts only, in all folders but its own. With `rollup_path` the counts of the stored rows
+    (see `plans.rollup`) are kept next to them, batch by batch.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         run = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
-        earlier = stored_before(spark, store_path, run, batch_id)
-        batch = batch.persist()  # it is read once to choose rows and once to fetch them
+        own = f"run={run}/batch={batch_id}"
+        batch = batch.filter(F.col("url") != "").persist()  # it is read to find its parts, to choose rows and to fetch them
         try:
+            parts = [r["p"] for r in batch.select(url_part(F.col("url")).alias("p")).distinct().collect()]  # at most STORE_PARTS
+            earlier = stored_before(spark, store_path, run, batch_id, parts)
             fresh = first_per_key(batch, "url", order, row_id)
-            fresh = not_stored(fresh, earlier, "url") if earlier is not None else fresh.filter(F.col("url") != "")
-            done = transform(fresh) if transform else fresh
-            done.write.mode("overwrite").parquet(f"{store_path}/run={run}/batch={batch_id}")
+            fresh = not_stored(fresh, earlier, "url") if earlier is not None else fresh
+            done = (transform(fresh) if transform else fresh).withColumn("url_part", url_part(F.col("url")))
+            done.hint("rebalance", "url_part").write.mode("overwrite").partitionBy("url_part").parquet(f"{store_path}/{own}")
+            if rollup_path:
+                written = spark.read.schema(done.schema).parquet(f"{store_path}/{own}")
+                write_counts(written, f"{rollup_path}/{own}")
         finally:
             batch.unpersist()
 
     return handle
 
 
-def stored_before(spark: SparkSession, store_path: str, run: str, batch_id: int) -> DataFrame | None:
-    """The store without the folder of this very batch; None while there is no store."""
+def stored_before(spark: SparkSession, store_path: str, run: str, batch_id: int, parts: list[int] | None = None) -> DataFrame | None:
+    """The store without the folder of this very batch, and only the given parts of it; None while there is no store."""
     try:
         store = spark.read.parquet(store_path)
     except AnalysisException as e:
@@ -98,8 +115,13 @@ def stored_before(spark: SparkSession, store_path: str, run: str, batch_id: int)
             raise
         return None
     own = (F.col("run").cast("string") == run) & (F.col("batch") == batch_id)
-    return store.filter(~own).drop("run", "batch")
+    chosen = store.filter(~own)
+    return (chosen if parts is None else chosen.filter(F.col("url_part").isin(parts))).drop(*FOLDERS)
+
+
+#: Columns that are folders of a store.
+FOLDERS = ["run", "batch", "url_part"]
 
 
 def read_store(spark: SparkSession, store_path: str) -> DataFrame:
-    return spark.read.parquet(store_path).drop("run", "batch")
+    return spark.read.parquet(store_path).drop(*FOLDERS)
