@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from swaymeter.llm.common import cut, free_names, in_arrow, pick, quoted
+from swaymeter.llm.common import cut, free_names, in_arrow, pick, quoted, stored
 from swaymeter.llm.components import components
 
 SHINGLE = 3
@@ -128,23 +128,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have fingerprint 0 and are linked like any other; repeated rows fall in one group; an empty
     table gives an empty result. Only ids and fingerprints are shuffled, never texts.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
+    return _grouped(cut(fingerprints(docs, id_col, text_col)))
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
     return prints.join(groups(prints), "fp").select("doc_id", "fp", "root", F.col("first_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id, columns unchanged.
 
-    Rows that share this id and fingerprint count as repeated rows, of which one stays. Texts are moved once, keyed by
-    id and fingerprint, so that a large group of copies is spread over all tasks.
+    Rows that share this id and fingerprint count as repeated rows, of which one stays. Each text is fingerprinted once
+    and stored with its fingerprint; the rows that stay are fetched from there, keyed by id and fingerprint, so that a large
+    group of copies is spread over all tasks.
     """
     fp, key = free_names(docs, "fp", "id_key")
-    found = near_duplicates(docs, id_col, text_col)
+    at = docs.columns.index(id_col)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    marked = stored(in_arrow(plain, _Append(docs.columns.index(text_col)), fp=T.LongType()), "simhash-rows")
+    found = _grouped(cut(marked.select(F.col(f"c{at}").alias("doc_id"), "fp")))
     as_key = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.min("component_id").alias("id"))
     best = cut(best.select(F.col("fp").alias(fp), as_key(F.col("id")).alias(key)))
-    with_print = in_arrow(docs, _Append(docs.columns.index(text_col)), **{fp: T.LongType()})
-    kept = with_print.withColumn(key, as_key(quoted(id_col))).join(best, [fp, key], "left_semi").dropDuplicates([fp, key])
+    kept = marked.toDF(*docs.columns, fp).withColumn(key, as_key(quoted(id_col))).join(best, [fp, key], "left_semi").dropDuplicates([fp, key])
     return kept.select(*(quoted(c) for c in docs.columns))
 
 

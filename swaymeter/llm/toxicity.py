@@ -27,7 +27,10 @@ LEAST_COUNT, LEAST_SHARE, LEAST_WEIGHT, LEAST_Z = 5, 0.005, 2.0, 3.5
 PER_TEXT = 8
 FLUSH = 200_000
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:,\n()\"]+")
+TOKEN = re.compile(WORD.pattern + r"|[\"“”«»]")
+#: Clauses end here; commas, colons, brackets and quotes are inside a clause.
+END = re.compile(r"[.!?;]+")
+QUOTES = {'"': "quote", "“": "open", "«": "open", "”": "close", "»": "close"}
 # fixed values: closed word classes of the grammar in English, French, German and Spanish
 TARGETS = frozenset("you your yours he she they him her them his their tu toi vous votre ton ta il elle ils du dich dir ihr euch sie er usted tú él ella ellos".split())
 NEGATIONS = frozenset("not no never none don't isn't aren't wasn't pas jamais aucun nicht nie kein keine nunca jamás tampoco".split())
@@ -35,7 +38,7 @@ REPORTS = frozenset("said says say called calls told tells wrote dit disait appe
 FUTURES = frozenset("will shall gonna going must should va vais werde werden wird voy vamos debe".split())
 THREATS = frozenset("kill hurt destroy beat burn shoot hang stab tuer frapper brûler töten schlagen verbrennen matar golpear quemar".split())
 # the arcs' weights
-NEGATED, REPORTED, TARGETED, THREAT = 0.3, 0.5, 1.5, 4.0
+NEGATED, REPORTED, TARGETED, THREAT, HEAPED = 0.3, 0.5, 1.5, 4.0, 1.25
 NEGATION_SCOPE = 3
 
 #: A transducer: state -> class -> (next state, factor on what the token emits). A class without an arc loops with
@@ -45,7 +48,14 @@ NEGATION: Transducer = {
     0: {"negation": (1, 1.0), "": (0, 1.0)},
     **{k: {"negation": (1, 1.0), "": (k + 1 if k < NEGATION_SCOPE else 0, NEGATED)} for k in range(1, NEGATION_SCOPE + 1)},
 }
-SPEECH: Transducer = {0: {"report": (1, 1.0), "": (0, 1.0)}, 1: {"": (1, REPORTED)}}
+#: After a verb of speech, what follows is reported: to the end of the clause, or of the quotation that begins there.
+SPEECH: Transducer = {
+    0: {"report": (1, 1.0), "": (0, 1.0)},
+    1: {"quote": (2, 1.0), "open": (2, 1.0), "": (1, REPORTED)},
+    2: {"quote": (0, 1.0), "close": (0, 1.0), "": (2, REPORTED)},
+}
+#: An insult right after another one weighs more.
+INSULT: Transducer = {0: {"insult": (1, 1.0), "": (0, 1.0)}, 1: {"insult": (1, HEAPED), "": (0, 1.0)}}
 TARGET: Transducer = {0: {"target": (1, 1.0), "": (0, 1.0)}, 1: {"": (1, TARGETED)}}
 #: Without a future word and a target before it, a verb of violence is a report of deeds, not a threat.
 MENACE: Transducer = {
@@ -56,7 +66,7 @@ MENACE: Transducer = {
 
 def compose(*parts: Transducer) -> tuple[dict[tuple[tuple[int, ...], str], tuple[tuple[int, ...], float]], tuple[int, ...]]:
     """The product of transducers that read the same tokens: all move at once and their factors multiply."""
-    classes = {c for part in parts for arcs in part.values() for c in arcs} | {"insult"}
+    classes = {c for part in parts for arcs in part.values() for c in arcs}
     start = (0,) * len(parts)
     arcs: dict = {}
     todo = [start]
@@ -71,7 +81,9 @@ def compose(*parts: Transducer) -> tuple[dict[tuple[tuple[int, ...], str], tuple
     return arcs, start
 
 
-GRAMMAR, START = compose(NEGATION, SPEECH, TARGET, MENACE)
+GRAMMAR, START = compose(NEGATION, SPEECH, TARGET, MENACE, INSULT)
+#: The start of a clause inside a quotation of reported speech that an earlier clause of the line has opened.
+QUOTED = (0, 2, 0, 0, 0)
 CLOSED = {w: kind for kind, some in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("future", FUTURES), ("threat", THREATS)) for w in some}
 
 
@@ -114,24 +126,25 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     if not kinds and not any(t in low for t in THREATS):
         return [0.0] * (len(FEATURES) - 1) + [math.log1p(n_words)]
     scores, hits, threats, heard = [], 0.0, 0.0, dict.fromkeys(kinds, 0.0)
-    for clause in CLAUSE.split(low):
-        found = WORD.findall(clause)
-        if not any(w in kinds or w in THREATS for w in found):
+    for line in low.split("\n"):
+        if not any(w in kinds or w in THREATS for w in WORD.findall(line)):
             continue
-        state, total = START, 0.0
-        for word in found:
-            weight = kinds.get(word, 0.0)
-            kind = "insult" if weight else CLOSED.get(word, "")
-            state, factor = GRAMMAR.get((state, kind)) or GRAMMAR[state, ""]
-            if kind == "insult":
-                total += weight * factor
-                hits += factor
-                heard[word] = max(heard[word], weight * factor)
-            elif kind == "threat":
-                total += THREAT * factor
-                threats += factor
-        if total > 0:
-            scores.append(total)
+        state = START
+        for clause in END.split(line):
+            state, total = QUOTED if state[1] == 2 else START, 0.0
+            for word in TOKEN.findall(clause):
+                weight = kinds.get(word, 0.0)
+                kind = "insult" if weight else QUOTES.get(word) or CLOSED.get(word, "")
+                state, factor = GRAMMAR.get((state, kind)) or GRAMMAR[state, ""]
+                if kind == "insult":
+                    total += weight * factor
+                    hits += factor
+                    heard[word] = max(heard[word], weight * factor)
+                elif kind == "threat":
+                    total += THREAT * factor
+                    threats += factor
+            if total > 0:
+                scores.append(total)
     best = max(scores, default=0.0)
     strong = sorted(heard.values(), reverse=True)
     return [
@@ -224,16 +237,21 @@ class Model:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """(label, text) of at most `per_class` labelled rows a class, those with the smallest id hashes, near copies once.
+    """(label, text) of at most `per_class` texts a class: rows of the labelled ids with the smallest hashes, near copies
+    once, and of these the ones with the smallest hashes of their sketch, however many rows share an id.
 
-    The chosen ids are bounded by the parameter, so they are sent to the tasks and texts are filtered in place.
+    Ids and sketches that are chosen are bounded by the parameter, so they are sent to the tasks and texts are filtered in
+    place; only texts with a chosen sketch are shuffled, and equal sketches meet in a combinable minimum.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [labels.where(F.col("label") == c).dropDuplicates(["doc_id"]).orderBy(*order).limit(per_class) for c in (0, 1)]
     ids = cut(chosen[0].unionByName(chosen[1]))
     sampled = docs.join(F.broadcast(ids), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
     marked = sampled.mapInArrow(_sketches, "label int, text string, sketch long")
-    return cut(marked.groupBy("label", "sketch").agg(F.min("text").alias("text")).select("label", "text"))
+    found = cut(marked.select("label", "sketch").distinct())
+    least = [found.where(F.col("label") == c).orderBy(F.xxhash64("sketch"), "sketch").limit(per_class) for c in (0, 1)]
+    kept = marked.join(F.broadcast(cut(least[0].unionByName(least[1]))), ["label", "sketch"], "left_semi")
+    return cut(kept.groupBy("label", "sketch").agg(F.min("text").alias("text")).select("label", "text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -279,7 +297,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """doc_id, held_out, score, predicted: one row per row of `docs`.
 
     Learns from labelled rows outside the held-out fold (crc32 of the id), bounded by `per_class`; labels other than 0
-    and 1 are left out. Null and empty texts match nothing and get the score of no match. Without both classes the
+    and 1 are left out, of several labels of an id one counts, and repeated rows of an id are rows of their own. Null and empty texts match nothing and get the score of no match. Without both classes the
     score is 0 (or 1, where only toxic rows are known).
     """
     fold = crc32_text(F.col("doc_id")) % folds == held_out

@@ -218,3 +218,40 @@ def jaccard(docs):
         if doc is not None:
             least[top(i)] = min(doc, least.get(top(i), doc))
     return sorted(((doc, len(s), least.get(top(i))) for i, ((doc, _), s) in enumerate(zip(docs, sets, strict=True))), key=repr)
+
+
+def clause_totals(text, weights):
+    """Totals of the clauses that hold an insult (word -> weight) or a threat, by explicit states."""
+    from swaymeter.llm import toxicity as t
+
+    totals = []
+    for line in (text or "").lower().split("\n"):
+        quoted = False
+        for clause in re.split("[.!?;]+", line):
+            total, negated, reported, target, future, heaped = 0.0, 0, quoted, False, False, False
+            for token in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»]", clause):
+                speech = 0.5 if reported else 1.0
+                factor = speech * (0.3 if negated else 1.0) * (1.5 if target else 1.0)
+                insult = weights.get(token, 0.0)
+                if insult:
+                    total += insult * factor * (1.25 if heaped else 1.0)
+                elif token in t.THREATS and (future or target):
+                    total += 4.0 * factor
+                if not insult and token in t.NEGATIONS:
+                    negated = 3
+                elif negated:
+                    negated -= 1
+                heaped = bool(insult)
+                if not insult and token in t.TARGETS:
+                    target = future = True
+                elif not insult and token in t.FUTURES:
+                    future = True
+                elif not insult and token in t.REPORTS:
+                    reported = True
+                elif quoted and token in '"”»':
+                    reported = quoted = False
+                elif reported and not quoted and token in '"“«':
+                    quoted = True
+            if total > 0:
+                totals.append(total)
+    return totals

@@ -1,12 +1,13 @@
-"""Conversation repair, spelling variants and the Jaccard join against their plain versions."""
+"""Conversation repair, spelling variants, the Jaccard join and the classifiers against their plain versions."""
 
+import math
 import random
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from swaymeter.llm import conversations, jaccard, spelling
+from swaymeter.llm import conversations, jaccard, langid, quality_model, simhash, spelling, toxicity
 from swaymeter.llm.queries import QUERIES
 from tests.llm import plain
 
@@ -190,3 +191,54 @@ def test_jaccard_without_first_groups(spark, monkeypatch):
 def test_jaccard_of_the_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(QUERIES["op13_jaccard"](spark, SF)) == plain.jaccard(docs)
+
+
+# toxicity
+
+SAID = ["you", "idiot", "scum", "not", "said", "will", "kill", "they", "kind", ",", ".", "!", "\n", '"', "“", "”", "(", "ihr", "nie", "nobody's"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(SAID), max_size=30))
+def test_clauses_against_a_plain_walk(words):
+    text, weights = " ".join(words), {"idiot": 5.0, "scum": 2.0}
+    totals = plain.clause_totals(text, weights)
+    found = toxicity.features(text, toxicity.Lexicon({"idiot$": 5.0, "scum$": 2.0}))
+    if any(w in words for w in ("idiot", "scum", "kill")):
+        assert found[0] == pytest.approx(max(totals, default=0.0)) and found[2] == pytest.approx(math.log1p(len(totals)))
+        assert found[1] == pytest.approx(math.log1p(sum(totals)))
+
+
+def test_reported_speech_passes_marks():
+    best = lambda text: toxicity.features(text, toxicity.Lexicon({"idiot$": 5.0}))[0]
+    assert best("she said idiot") == best("she said: idiot") == best('she said, "idiot"') == 3.75
+    assert best("she said: “well. idiot”") == 2.5 and best("she said: “well”. idiot") == 5
+    assert best('she said "well" to an idiot') == 7.5 and best("if they come they will, he said, kill you") > 0
+    assert best("idiot") == 5 and best("not, an idiot") == 1.5
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """One id with thousands of different texts gives no more rows than the bound."""
+    docs = spark.createDataFrame([(7, " ".join("abcdefghij"[int(d)] * 3 for d in str(10_000 + i))) for i in range(3000)] + [(8, "clean words here")], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), (7, 1)], "doc_id long, label int")
+    sample = toxicity._sample(docs, labels, 10)
+    assert sorted(r["count"] for r in sample.groupBy("label").count().collect()) == [1, 10]
+
+
+def test_keep_one_marks_each_text_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    real = simhash._Append
+
+    def counted(at):
+        def run(batches):
+            for batch in real(at)(batches):
+                calls.add(batch.num_rows)
+                yield batch
+
+        return run
+
+    monkeypatch.setattr(simhash, "_Append", counted)
+    docs = spark.createDataFrame([(i, f"word{i % 5} " * 60, "x") for i in range(40)] + [(None, "one", "y"), (3, None, "z")], "doc_id long, text string, `odd.name` string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["text"] and "word" in r["text"]) == [0, 1, 2, 3, 4]
+    assert calls.value == 42
