@@ -33,9 +33,12 @@ from swaymeter.llm.common import cut, quoted, stored
 from swaymeter.llm.components import components
 
 SHINGLE = 5
-#: Buckets of tokens that are counted to order tokens from rare to frequent. Two megabytes at any size of the corpus.
-WIDTH = 1 << 20
+#: Buckets of tokens that are counted to order tokens from rare to frequent: half a megabyte for each task at any size of the
+#: corpus, and a megabyte of counts from each.
+WIDTH = 1 << 18
 BLOCK = 1 << 12
+#: Rows that a task hands on at once.
+ROWS = 1 << 19
 #: Least hashes by which sets meet for the groups.
 KEYS = 4
 ODD = (np.random.default_rng(13).integers(1, 1 << 63, KEYS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -51,7 +54,7 @@ MAX_IDS = 1_000_000
 #: Bits of the longest signature of a set.
 MOST_BITS = 1 << 15
 #: Sets that a task remembers so as to hand on equal ones once; it changes the work, never the result.
-SEEN = 500_000
+SEEN = 200_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -204,7 +207,7 @@ class _Rarest:
                 first = np.argsort(level, kind="stable")[: n - (4 * n + 4) // 5 + 1]
                 some.append((t[first], level[first] >= self.hot, name, n, n - (8 * n + 8) // 9 + 1))
                 size += len(first)
-                if size > WIDTH:
+                if size > ROWS:
                     yield self._rows(some)
                     some, size = [], 0
             if some:
