@@ -255,3 +255,34 @@ def clause_totals(text, weights):
             if total > 0:
                 totals.append(total)
     return totals
+
+
+def language_grams(text, orders, step, mix, features):
+    """Counts of hashed runs of 1 to 3 characters that hold a letter; other characters are blanks, one is added at both ends."""
+    low = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+    out = Counter()
+    for n in orders if text else ():
+        for i in range(len(low) - n + 1):
+            run = low[i : i + n]
+            if run.strip(" "):
+                h = 0
+                for c in run:
+                    h = (h * step + ord(c)) % 2**32
+                out[(h * mix % 2**32) >> (32 - features.bit_length() + 1)] += 1
+    return out
+
+
+def gaussian_scores(train, rows, pooled, diagonal, floor, temperature):
+    """Scores of `rows` from log-densities of two shrunken Gaussians fitted on (label, x), by determinants and solves."""
+    import numpy as np
+
+    by_class = {c: np.array([x for y, x in train if y == c]) for c in (0, 1)}
+    n = sum(map(len, by_class.values()))
+    cov = {c: np.cov(x, rowvar=False, bias=True) for c, x in by_class.items()}
+    common = sum(len(by_class[c]) * cov[c] for c in (0, 1)) / n
+    density = {}
+    for c, x in by_class.items():
+        own = (1 - diagonal) * ((1 - pooled) * cov[c] + pooled * common) + diagonal * np.diag(np.diag(common)) + floor * np.eye(len(common))
+        away = np.array(rows) - x.mean(axis=0)
+        density[c] = np.log(len(x) / n) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * np.einsum("ij,ij->i", away, np.linalg.solve(own, away.T).T)
+    return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / temperature, -60, 60)))

@@ -2,10 +2,13 @@
 
 import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from swaymeter.llm import conversations, jaccard, langid, quality_model, simhash, spelling, toxicity
 from swaymeter.llm.queries import QUERIES
@@ -242,3 +245,40 @@ def test_keep_one_marks_each_text_once(spark, monkeypatch):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["text"] and "word" in r["text"]) == [0, 1, 2, 3, 4]
     assert calls.value == 42
+
+
+# language and quality
+
+
+def test_language_scores_against_plain_vectors(spark):
+    """Document frequencies over all training rows, and the cosine with each centroid, from dictionaries of n-grams."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    rows_ = [r.asDict() for r in docs.collect()]
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows_}
+    grams = {r["doc_id"]: plain.language_grams(r["text"], langid.ORDERS, langid.STEP, langid.MIX, langid.FEATURES) for r in rows_}
+    train = [r for r in rows_ if not held[r["doc_id"]] and r["lang"] is not None]
+    df = Counter(g for r in train for g in grams[r["doc_id"]])
+    idf = {g: math.log((1 + len(train)) / (1 + n)) + 1 for g, n in df.items()}
+    model = langid.fit(docs.where(F.col("doc_id").isin([r["doc_id"] for r in train])))
+    assert all(model.idf[g] == pytest.approx(v) for g, v in idf.items())
+    got = {r["doc_id"]: r for r in langid.op7_language_id(docs).collect()}
+    for r in rows_[:40]:
+        own = {g: math.log1p(n) * idf.get(g, math.log(1 + len(train)) + 1) for g, n in grams[r["doc_id"]].items()}
+        size = math.sqrt(sum(v * v for v in own.values())) or 1.0
+        cosines = [sum(v * float(centre[g]) for g, v in own.items()) / size for centre in model.centres]
+        found = got[r["doc_id"]]
+        assert found["score"] == pytest.approx(max(cosines), abs=1e-4) and found["held_out"] == held[r["doc_id"]]
+        near = {lang for lang, c in zip(model.langs, cosines, strict=True) if c > max(cosines) - 1e-5}
+        assert found["lang_pred"] in near
+
+
+def test_quality_scores_against_plain_densities(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    x = {r["doc_id"]: quality_model.statistics(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    train = [(r["quality"], x[r["doc_id"]]) for r in labels.collect()
+             if r["quality"] is not None and r["doc_id"] in x and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    ids = sorted(x)
+    want = plain.gaussian_scores(train, [x[i] for i in ids], quality_model.POOLED, quality_model.DIAGONAL, quality_model.FLOOR, quality_model.TEMPERATURE)
+    got = {r["doc_id"]: r["score"] for r in quality_model.op8_quality_classifier(docs, labels).collect()}
+    for i, score in zip(ids, want, strict=True):
+        assert got[i] == pytest.approx(score, abs=1e-9)
