@@ -249,7 +249,10 @@ class _Clean:
 def decontaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", length_col: str | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """`docs` without contaminated documents (coverage limit), and without the passages of `window` or more benchmark
     words in the others (length limit). Shorter items count for the coverage alone: where one stands by itself in a clean
-    document, its words stay. `length_col`, if named, is counted anew where a text changed."""
+    document, its words stay. `length_col`, if named, is counted anew where a text changed.
+
+    Null and empty texts have no words, are not contaminated and stay; null and empty items match nothing; repeated rows are
+    rows of their own; other columns, whatever their names, pass unchanged; an empty table (of either kind) takes nothing out."""
     names = docs.columns
     make = _Clean(names.index(text_col), names.index(length_col) if length_col else None, window)
     return in_arrow(docs, _Stream(benchmark_items(bench), names.index(text_col), make, window, shard_words))

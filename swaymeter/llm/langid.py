@@ -190,7 +190,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """doc_id, held_out, lang_pred, score, rejected: one row per row of `docs`.
 
     Learns from rows with a language outside the held-out fold (crc32 of the id). Texts without letters, null and empty
-    ones among them, are `und` with score 0 and rejected, as is everything where nothing could be learned.
+    ones among them, are `und` with score 0 and rejected, as is everything where nothing could be learned. Repeated rows are
+    rows of their own; equal texts of a language are learned from once.
     """
     fold = crc32_text(F.col("doc_id")) % folds == held_out
     slim = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)

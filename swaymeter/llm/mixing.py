@@ -89,6 +89,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     The rates of the sources join the rows themselves: broadcast where the sources have been counted and are few, so that
     no text moves; a larger table of sources is joined by a shuffle that splits hot sources.
+
+    A null source is a source of its own, the last one; a null text has size 0; null ids share one draw (as the text `null`);
+    repeated rows of an id have its draw; a column `copy` of `docs` stays beside the new one, which takes a free name; an
+    empty table gives an empty one.
     """
     slim = cut(docs.select(quoted(source_col).alias("source"), sizes(docs, text_col).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size")))
     by_source = cut(rates(slim, weights, max_rate))

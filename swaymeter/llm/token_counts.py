@@ -191,7 +191,8 @@ def widespread(pieces: DataFrame) -> dict[str, int]:
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens), one row per row of `docs`; null texts count as empty.
+    """(doc_id, n_bytes, n_tokens), one row per row of `docs`; null texts count as empty, other columns are not read, an
+    empty table gives an empty result.
 
     Rows are told apart by id, length and a hash of the text; rows equal in all of these are repeated rows, counted
     together and given back one by one. Rows whose pre-tokens are all in the head carry their count alone; the rest
