@@ -15,27 +15,29 @@ def _length(docs: DataFrame) -> str | None:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules; the others go."""
+    """Documents that pass the quality rules; the others go, null and empty texts among them. Repeated rows stay repeated."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
+    """Of each group of near-duplicates the document with the smallest doc_id (null ids last); of repeated rows one."""
     return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; single benchmark passages are cut out of the others, with n_chars counted anew."""
+    """Contaminated documents go; single benchmark passages are cut out of the others, with n_chars counted anew. Null texts
+    stay."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"), length_col=_length(docs))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by its kind, with n_chars counted anew."""
+    """All documents, every secret replaced by its kind, with n_chars counted anew; null texts stay null."""
     return secrets.redacted(docs, length_col=_length(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for, numbered by the last column, `copy`."""
+    """Each document as often as its source's target weight asks for, numbered by the last column, `copy` (another free name
+    where documents have such a column). Empty tables pass every stage, further columns pass unchanged."""
     return mixing.mix(docs)
 
 
