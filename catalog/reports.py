@@ -270,10 +270,10 @@ def _(spark, d):
 
 @check("article_page_by_day", oracle("""
 SELECT id, posting_time, row_number() OVER (ORDER BY posting_time DESC NULLS FIRST, id) AS position FROM facts
-ORDER BY position LIMIT 25 OFFSET 2500""", "facts"))
+ORDER BY position LIMIT 25 OFFSET 500""", "facts"))
 def _(spark, d):
     facts = view(spark, d, "facts")
-    return paging.paginate_by_part(facts, 101, 25, F.to_date("posting_time")).rows.select("id", "posting_time", "position")
+    return paging.paginate_by_part(facts, 21, 25, F.to_date("posting_time")).rows.select("id", "posting_time", "position")
 
 
 @check("author_page_by_letter", oracle("""
