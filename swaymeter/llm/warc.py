@@ -288,13 +288,15 @@ def read_captures(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFr
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every capture whose (key, id) is in `wanted`.
 
     Repeated requests give their captures once. Requests are sorted like the index, so that a task decodes each block
-    that it needs once and holds one block at a time.
+    that it needs once and holds one block at a time. They are dealt to as many tasks as the index has files, or as the
+    session deals shuffled rows to, whatever their few bytes: the work is in the records that they ask for.
     """
     rows = spark.read.parquet(f"{folder}/shards").limit(MAX_SHARDS + 1).collect()
     if len(rows) > MAX_SHARDS:
         raise ValueError(f"more than {MAX_SHARDS} index files")
     shards = sorted((r["key"].encode(), r["id"], r["shard"], r["at"], r["size"]) for r in rows)
-    asked = wanted.select("key", "id").repartitionByRange("key", "id").sortWithinPartitions("key", "id")
+    tasks = max(1, len(shards), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = wanted.select("key", "id").repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id")
     return asked.mapInArrow(_Read(folder, shards), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
