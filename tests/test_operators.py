@@ -368,6 +368,12 @@ def test_authors(spark):
     assert [r.author for r in html.page_authors(df).orderBy("page_id").collect()] == [a for _, a in PAGES]
 
 
+def test_a_repeated_by_is_no_author(spark):
+    texts = ["By By By By by", "lines By By Jane Doe, reporter", "By Jane Roe By Night", "By Byron Lee"]
+    df = spark.createDataFrame([(i, "http://a.b/c", f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id int, url string, html string")
+    assert [r.author for r in html.page_authors(df).orderBy("page_id").collect()] == [None, "Jane Doe", "Jane Roe", "Byron Lee"]
+
+
 IMAGES = [
     ('<meta property="og:image" content="/i/a.jpg">', "http://a.b/i/a.jpg"),
     ('<meta name="twitter:image" content="//c.d/b.png">', "https://c.d/b.png"),
