@@ -227,6 +227,28 @@ def test_calibration_against_a_plain_fit(spark, monkeypatch):
         assert value == pytest.approx(raw[i, c] / total if total else 0.0, abs=1e-9)
 
 
+def test_calibrator_counts_every_labelled_article(spark):
+    """All 20,500 articles take part, and scores of one class that lie in several pieces."""
+    labels = spark.range(20500).select(F.col("id").alias("article_id"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    probs = labels.select("article_id", F.lit(1).alias("class"), F.lit(0.5).alias("prob"))
+    got = fusion.fit_calibrator(probs, labels).where("exact").collect()
+    assert [(r["p0"], r["p1"]) for r in got] == [(4100 / 20501, 4101 / 20501)]
+
+
+def test_calibrator_in_pieces(spark, monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(fusion, "PIECE", 4)
+    points = [(i, rng.random(), rng.randint(0, 1)) for i in range(40)]
+    probs = spark.createDataFrame([(i, c, p if c else 1 - p) for i, p, _ in points for c in (0, 1)], "article_id long, class int, prob double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in points], "article_id long, label int")
+    table = fusion.fit_calibrator(probs, labels).collect()
+    assert len(table) == 2 * (2 * 40 + 1)
+    for r in table:
+        of_class = [(p if r["class"] else 1 - p, int(y == r["class"])) for _, p, y in points]
+        s = r["score"] if r["exact"] else -1.0 if r["score"] < 0 else r["score"] + 1e-9
+        assert (r["p0"], r["p1"]) == pytest.approx(plain_venn_abers(of_class, s))
+
+
 def test_label_ranks_without_one_task(spark):
     df = spark.createDataFrame([(w,) for w in ["b", "a", None, "é", "Z", "b", "", *(f"x{i}" for i in range(500))]], "label string")
     got = fusion.encode_labels(df, "label")
