@@ -19,28 +19,37 @@ def model_input(text: ColumnOrName, size: int = 4000) -> Column:
     return F.substring(strip(F.coalesce(col(text), F.lit(""))), 1, size)
 
 
-LINE_BREAK = r"[\s\p{Z}]*[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029][\s\p{Z}\u001C-\u001F\u0085]*"
+LINE_BREAK = r"[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029][\s\p{Z}\u001C-\u001F\u0085]*"
 BLANKS = r"[\s\p{Z}\u001C-\u001F\u0085]+"
+#: Characters of a text in which its first parts are looked for before the whole text is.
+OPENING = 1024
 
 
-def _first_parts(text: ColumnOrName, pattern: str, n: int) -> Column:
-    """First n parts between separators, and the rest of the text as part n + 1, if any.
+def _first_parts(text: Column, pattern: str, n: int) -> Column:
+    """First n parts between separators, and what follows them (at least its start) as part n + 1, if any.
 
-    The split stops after n separators, so a long text costs no more than its start.
+    Parts may end in whitespace. A separator takes in all whitespace behind it, so the opening of a text that shows something
+    behind n separators has the same first n parts as the whole text, which is split only if it is longer and does not.
     """
-    parts = F.split(F.ltrim(col(text), F.lit(WHITESPACE)), pattern, n + 1)
-    return F.filter(parts, lambda x: x != "")
+    def parts(t: Column) -> Column:
+        return F.filter(F.split(F.ltrim(t, F.lit(WHITESPACE)), pattern, n + 1), lambda x: x != "")
+
+    opening = bind(parts(F.substring(text, 1, OPENING)),
+                   lambda found: F.when((F.size(found) > n) | (F.length(text) <= OPENING), found))
+    return F.coalesce(opening, parts(text))
 
 
 def first_lines(text: ColumnOrName, n: int) -> Column:
     """The first n lines that are not blank, without outer whitespace."""
-    return F.transform(F.slice(_first_parts(text, LINE_BREAK, n), 1, n), strip)
+    return bind(col(text), lambda t: F.transform(F.slice(_first_parts(t, LINE_BREAK, n), 1, n), strip))
 
 
 def truncate_words(text: ColumnOrName, n: int, mark: str = " " + ELLIPSIS) -> Column:
     """First `n` words, with an ellipsis if there were more."""
-    return bind(_first_parts(text, BLANKS, n), lambda w: F.when(
-        F.size(w) > n, F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(mark))).otherwise(F.array_join(w, " ")))
+    def shorten(w: Column) -> Column:
+        return F.when(F.size(w) > n, F.concat(F.array_join(F.slice(w, 1, n), " "), F.lit(mark))).otherwise(F.array_join(w, " "))
+
+    return bind(col(text), lambda t: bind(_first_parts(t, BLANKS, n), shorten))
 
 
 def display_title(text: ColumnOrName) -> Column:
@@ -49,8 +58,8 @@ def display_title(text: ColumnOrName) -> Column:
         candidates = F.filter(lines, lambda x: F.length(x).between(5, 250) & ~x.rlike(V.METADATA_LINE))
         return F.when(F.size(lines) == 0, F.lit("Empty Article")).otherwise(F.try_element_at(candidates, F.lit(1)))
 
-    return F.when(missing(text), F.lit("No Content Available")).otherwise(
-        F.coalesce(bind(first_lines(text, 3), title), truncate_words(text, 20, "...")))
+    return bind(col(text), lambda t: F.when(missing(t), F.lit("No Content Available")).otherwise(
+        F.coalesce(bind(first_lines(t, 3), title), truncate_words(t, 20, "..."))))
 
 
 def simple_title(text: ColumnOrName, size: int = 100) -> Column:

@@ -2,6 +2,8 @@
 
 import datetime
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +200,16 @@ def test_bad_day_bounds_are_ignored(spark):
     assert df.filter(P.between_days("t", "x", "2024-01-05")).count() == 1
     assert df.filter(P.between_days("t", "2024-01-06", None)).count() == 1
     assert df.filter(P.between_days("t", None, "")).count() == 2
+
+
+def test_openings_give_what_whole_texts_give(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["a", "By", "word", "x y", " ", "  ", "\n", "\r\n", " \n ", "\u2028", "\u00a0", "\u001f"]) for _ in range(rng.randint(0, 30)))
+             for _ in range(400)] + [None, "", "one line without a break " * 3]
+    titles = (lambda: X.display_title("x"), lambda: X.simple_title("x"), lambda: X.truncate_words("x", 3), lambda: X.first_lines("x", 2))
+    monkeypatch.setattr(X, "OPENING", 10_000)
+    whole = [values(spark, texts, c) for c in titles]
+    for size in (1, 7, 20):
+        monkeypatch.setattr(X, "OPENING", size)
+        assert [values(spark, texts, c) for c in titles] == whole
+    assert whole[2][-1] == "one line without …"
