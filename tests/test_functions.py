@@ -213,3 +213,12 @@ def test_openings_give_what_whole_texts_give(spark, monkeypatch):
         monkeypatch.setattr(X, "OPENING", size)
         assert [values(spark, texts, c) for c in titles] == whole
     assert whole[2][-1] == "one line without …"
+
+
+def test_long_word_lists_are_searched_like_short_ones(spark):
+    """Beyond FEW_TERMS terms a text is not scanned by one search in the plan per term."""
+    terms = [f"term{i}x" for i in range(30)] + ["É.t_", "it's", "%"]
+    rows = [None, "", "a TERM29X b", "term29", "xé.T_y", "IT'S", "100%", "straße"]
+    assert values(spark, rows, lambda: B.contains_any("x", terms)) == [None, False, True, False, True, True, True, False]
+    df = spark.createDataFrame([(r,) for r in rows], "x string").where(B.contains_any("x", terms))
+    assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 0
