@@ -10,9 +10,10 @@ import json
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from swaymeter import fixed_values as V
 from swaymeter.functions.base import bind, missing, strip
@@ -138,16 +139,29 @@ def _scan(html: str | None, head_chars: int | None = HEAD_CHARS) -> dict:
             "images": page.images, "logos": page.logos, "head": page.head[:head_chars]}
 
 
+#: Pages whose candidates are handed on together.
+PAGES_AT_ONCE = 200
+
+
 def scan_pages(pages: DataFrame, key: str = "page_id", head_chars: int | None = HEAD_CHARS) -> DataFrame:
-    """Candidates of every page; the HTML itself is not passed on."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = pd.DataFrame([_scan(h, head_chars) for h in frame["html"]],
-                                 columns=["metas", "linked_data", "bylines", "images", "logos", "head", "error"])
-            yield pd.concat([frame[[key, "url"]].reset_index(drop=True), found], axis=1)
-
-    kind = f"{key} {pages.schema[key].dataType.simpleString()}"
-    return pages.select(key, "url", "html").mapInPandas(run, SCAN_SCHEMA.format(keys=kind))
+    """Candidates of every page; the HTML itself is not passed on.
+
+    A task decodes one page at a time and keeps the candidates of PAGES_AT_ONCE of them.
+    """
+    schema = SCAN_SCHEMA.format(keys=f"{key} {pages.schema[key].dataType.simpleString()}")
+    columns = ["metas", "linked_data", "bylines", "images", "logos", "head", "error"]
+    types = to_arrow_schema(pages.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                some = batch.slice(at, PAGES_AT_ONCE)
+                found = [_scan(h.as_py(), head_chars) for h in some.column("html")]
+                scanned = [pa.array([f[c] for f in found], types.field(c).type) for c in columns]
+                same = [some.column(c).cast(types.field(c).type) for c in (key, "url")]
+                yield pa.RecordBatch.from_arrays([*same, *scanned], schema=types)
+
+    return pages.select(key, "url", "html").mapInArrow(run, schema)
 
 
 def _first(items: Column, keep) -> Column:

@@ -368,6 +368,14 @@ def test_authors(spark):
     assert [r.author for r in html.page_authors(df).orderBy("page_id").collect()] == [a for _, a in PAGES]
 
 
+def test_pages_are_scanned_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(html, "PAGES_AT_ONCE", 3)
+    df = spark.range(20).selectExpr("id AS page_id", "'u' AS url", "concat('<meta name=author content=A', id, '>') AS html").coalesce(1)
+    got = html.scan_pages(df)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.metas[0].content for r in got.orderBy("page_id").collect()] == [f"A{i}" for i in range(20)]
+
+
 def test_a_repeated_by_is_no_author(spark):
     texts = ["By By By By by", "lines By By Jane Doe, reporter", "By Jane Roe By Night", "By Byron Lee"]
     df = spark.createDataFrame([(i, "http://a.b/c", f"<p>{t}</p>") for i, t in enumerate(texts)], "page_id int, url string, html string")
