@@ -2,6 +2,7 @@
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import check, work_folder
@@ -16,9 +17,13 @@ def new_path(spark, name):
     return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a CSV file: one with quoted line breaks is read by one task.
+ROWS_PER_FILE = 20_000
+
+
 def csv_of(df, name, **options):
     path = new_path(df.sparkSession, name)
-    writer = df.write.option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "")
+    writer = df.write.option("maxRecordsPerFile", ROWS_PER_FILE).option("compression", "gzip").option("header", True).option("quoteAll", True).option("escape", '"').option("nullValue", "").option("emptyValue", "")
     writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     for k, v in options.items():
         writer = writer.option(k, v)
@@ -181,13 +186,17 @@ def _(spark, d):
 SELECT 'first' AS file, url, 0 + row_number() OVER (ORDER BY id) - 1 AS line FROM facts UNION ALL
 SELECT 'second', url, row_number() OVER (ORDER BY id) - 1 FROM facts""", "facts"))
 def _(spark, d):
-    """Ids by place: the two imports share none, and neither has one twice."""
+    """Ids by place: the two imports, each of several files in order, share none, and neither has one twice."""
     parts = []
     for name in ("first", "second"):
         df = view(spark, d, "facts").select(F.lit("t").alias("article_text"), F.lit("2025-01-01 00:00:00").alias("posting_time"), F.col("url").alias("URL"), "id")
-        path = csv_of(df.orderBy("id").coalesce(1).drop("id"), name)
+        path = csv_of(df.orderBy("id").drop("id"), name)
         rows = readers.read_articles_csv(spark, path, place=True)[0]
-        parts.append(rows.select(F.lit(name).alias("file"), F.nullif("url", F.lit("")).alias("url"), F.col("_line").alias("line"), readers.place_id().alias("id")))
+        sizes = rows.groupBy("_file").agg(F.count("*").alias("n"))
+        earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+        before = sizes.select("_file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        rows = rows.join(before, "_file")
+        parts.append(rows.select(F.lit(name).alias("file"), F.nullif("url", F.lit("")).alias("url"), (F.col("before") + F.col("_line")).alias("line"), readers.place_id().alias("id")))
     both = parts[0].unionByName(parts[1])
     return both.join(both.groupBy("id").count().filter("count = 1"), "id", "left_semi").drop("id")
 

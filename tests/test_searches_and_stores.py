@@ -259,6 +259,18 @@ def test_label_ranks_without_one_task(spark):
     spark.catalog.clearCache()
 
 
+def test_import_of_many_files(spark, monkeypatch):
+    """A file with quoted line breaks is read by one task, so an import comes in files of a bounded number of rows."""
+    from catalog import load, sources
+
+    monkeypatch.setattr(sources, "ROWS_PER_FILE", 150)
+    path = sources.csv_of(spark.range(1000).selectExpr("id", "'a\nb' AS text").coalesce(1), "many")
+    assert len(glob.glob(path.removeprefix("file:") + "/*.csv.gz")) == 7
+    assert readers.read_checked_csv(spark, path).where("_damaged is null and text = 'a\nb'").count() == 1000
+    placed = load()["import_twice"][0](spark, "/root/testdata/sf0.001").where("file = 'first'")
+    assert [r["line"] for r in placed.orderBy("line").collect()] == list(range(placed.count()))
+
+
 def test_damaged_records_are_kept(spark, tmp_path):
     f = tmp_path / "a.csv"
     f.write_text('article_text,posting_time,URL,confidence\n"one, two",2025-01-02 03:04:05,u1,0.5\nshort,2025-01-02 03:04:05\n'
