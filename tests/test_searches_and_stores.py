@@ -195,6 +195,19 @@ def test_signature_search(spark, texts, query):
     assert rows(text_search.search_texts(df, signed, query, author=None), "id") == rows(df.where(filters.search(query, "article_text")), "id")
 
 
+def test_signatures_take_one_pass_over_a_text(spark, texts):
+    """The bits are those of the hashed fragments; no row per word or fragment is made and no lambda is interpreted for them."""
+    odd = [(i, c) for i, c in enumerate(["Straße ÉTÉ x2y", "a_b cde\nfgh", "abc", "ab", "中文字 😀😀😀 𝒜𝒜𝒜", "".join(map(chr, range(0x1200, 0x1340))), "ﬃ ŉab"], 5_000)]
+    df = texts[0].unionByName(spark.createDataFrame(odd, "id long, article_text string"))
+    words = F.filter(F.split(F.upper("article_text"), term_search.NO_WORD), lambda w: F.length(w) >= 3)
+    place = lambda w, i: F.pmod(F.xxhash64(F.substring(w, i, 3)), F.lit(text_search.BITS)).cast("int")
+    plain = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: place(w, i)))
+    signed = text_search.signatures(df)
+    assert rows(signed) == rows(df.select("id", F.array_sort(F.array_distinct(F.flatten(plain)))))
+    made = plan(text_search.signatures(texts[0]))
+    assert "lambda" not in made and made.count("ArrowEvalPython") == 1
+
+
 def plain_venn_abers(points, s):
     """p0 and p1 at s: the isotonic fit of all points and one more at s, labelled 0 or 1 (min-max formula)."""
     out = []
