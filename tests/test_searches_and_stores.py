@@ -78,6 +78,33 @@ def test_percolate(spark, texts, few):
     assert rows(term_search.percolate(df.limit(0), table, few=few)) == []
 
 
+@pytest.mark.parametrize("search", ["mentions", "word_mentions", "percolate"])
+def test_texts_are_read_once(spark, search):
+    """Phrases are held against a text in the row that has it: texts are neither read again nor joined."""
+    spark.catalog.clearCache()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    made = [(i, "Talks in Addis Ababa, Straße \u0130stanbul" if i % 2 else "addis\u00a0ababa: ADDIS-Ababa" if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(made, "id long, article_text string").mapInPandas(count, "id long, article_text string")
+    terms = spark.createDataFrame([("E", "Addis Ababa"), ("E", "addis"), ("S", "stra\u00dfe"), ("T", "i\u0307stan"), ("T", "i\u0307stanbul")], "group string, term string")
+    if search == "percolate":
+        found = term_search.percolate(df, term_search.query_table(spark, {"a": ([["addis ababa"]], ["stra\u00dfen"]), "b": ([["addis"], ["ababa"]], ["talk*"])}))
+        want = sorted([(i, "a") for i, t in made if t and "Talks" in t] + [(i, "b") for i, t in made if t and "Talks" not in t], key=repr)
+        assert rows(found) == want
+    else:
+        found = rows(getattr(term_search, search)(df, terms))
+        assert [f for f in found if f[2] == "Addis Ababa"] == [(i, "E", "Addis Ababa") for i, t in sorted(made, key=lambda m: repr(m)) if t and "Talks" in t]
+        assert {f[0] for f in found if f[2] == "addis"} == {i for i, t in made if t}
+        assert {f[0] for f in found if f[2] == "stra\u00dfe"} == {i for i, t in made if t and "Talks" in t}
+    assert seen.value == 60
+    spark.catalog.clearCache()
+
+
 def test_lookups_are_computed_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
