@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,12 +115,65 @@ def detect_french(text: ColumnOrName, size: int | None = 512) -> Column:
     The rule to be matched reads 512 characters; None reads the whole text.
     """
     whole = F.coalesce(col(text), F.lit(""))
-    head = F.lower(whole) if size is None else F.substring(F.lower(F.substring(whole, 1, size)), 1, size)
-    hits = bind(F.concat(F.lit(" "), head, F.lit(" ")), lambda t: sum(
-        (F.contains(t, F.lit(f" {w} ")).cast("int") for w in V.FRENCH_WORDS), F.lit(0)))
+    if size is None:
+        hits = count_alone(whole, V.FRENCH_WORDS)
+    else:
+        head = F.substring(F.lower(F.substring(whole, 1, size)), 1, size)
+        hits = bind(F.concat(F.lit(" "), head, F.lit(" ")), lambda t: sum(
+            (F.contains(t, F.lit(f" {w} ")).cast("int") for w in V.FRENCH_WORDS), F.lit(0)))
     return F.when(hits > 3, F.lit("fr")).otherwise(F.lit("en"))
 
 
+def count_alone(text: Column, words: Iterable[str]) -> Column:
+    """How many of the (lower-case) words stand between spaces or ends of a text, ignoring case; NULL holds none.
+
+    The words of a whole text are compared as numbers of 8 bytes, so the number of words sought does not matter.
+    """
+    sought = sorted(set(words))
+    if any(not w or " " in w or len(w.encode()) > 8 for w in sought):
+        raise ValueError("words of 1 to 8 bytes without a space")
+    # only ASCII letters fold to ASCII letters, but for the Kelvin sign
+    bytewise = all(w.isascii() and "k" not in w for w in sought)
+    pairs = sorted((int.from_bytes(w.encode(), "little"), len(w.encode())) for w in sought)
+    keys, sizes = np.array([k for k, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.int64)
+
+    @F.arrow_udf("int")
+    def count(texts: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // WORD_BYTES)) + 1).tolist(), len(texts)]  # a bounded number of bytes at once
+        found = [_alone(texts[i:j], keys, sizes, bytewise) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.array(np.concatenate(found).astype(np.int32))
+
+    return count(F.concat(F.lit(" "), F.coalesce(text if bytewise else F.lower(text), F.lit("")), F.lit(" ")))
+
+
+#: Bytes of text whose words are compared at once.
+WORD_BYTES = 1 << 22
+
+
+def _alone(texts: pa.Array, keys: np.ndarray, sizes: np.ndarray, fold: bool) -> np.ndarray:
+    """For each text (with a space at either end) the number of different words (keys of so many bytes) that it has."""
+    seen = np.zeros((len(texts), len(keys)), bool)
+    if not len(texts) or not len(keys):
+        return seen.sum(axis=1)
+    width = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], width)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    if fold:
+        data = data + ((data >= 65) & (data <= 90)) * np.uint8(32)
+    spaces = np.flatnonzero(data == 32)
+    size = np.diff(spaces) - 1
+    short = np.flatnonzero((size > 0) & (size <= sizes.max()))
+    first, size = spaces[short] + 1, size[short]
+    word = np.zeros(len(first), np.uint64)
+    for i in range(int(sizes.max())):  # a word ends before the last byte, which is a space
+        word |= np.where(i < size, data[np.minimum(first + i, len(data) - 1)], 0).astype(np.uint64) << np.uint64(8 * i)
+    at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+    hit = (keys[at] == word) & (sizes[at] == size)
+    seen[np.searchsorted(offsets - offsets[0], first[hit], side="right") - 1, at[hit]] = True
+    return seen.sum(axis=1)
+
+
 def is_corrupt(text: ColumnOrName) -> Column:
     """Missing, blank or a stored error message instead of an article."""
     t = col(text)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from swaymeter import fixed_values as V
 from swaymeter.functions import base as B
 from swaymeter.functions import labels as L
 from swaymeter.functions import scores as S
@@ -222,3 +223,18 @@ def test_long_word_lists_are_searched_like_short_ones(spark):
     assert values(spark, rows, lambda: B.contains_any("x", terms)) == [None, False, True, False, True, True, True, False]
     df = spark.createDataFrame([(r,) for r in rows], "x string").where(B.contains_any("x", terms))
     assert df._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") == 0
+
+
+def test_french_words_of_a_whole_text(spark):
+    """The whole text takes one pass however many words are sought; odd letters, ends and repeats count as in plain searches."""
+    rng = random.Random(4)
+    parts = ["le", "LA", "Les", "que", "dans", "qu\u0130", "le\0", "l\u212ae", "dans,", "d\u00e9s", "", "et\n", "et", "avecs", "xavec", "avec", "\U0001f600", "PAR"]
+    made = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    made += [(900, None), (901, ""), (902, "le"), (903, "le la les des"), (904, "x " * 3_000_000 + "le la les des"), (905, " le  la les")]
+    df = spark.createDataFrame(made, "id long, t string").repartition(3)
+    found = df.select("id", X.detect_french("t", None).alias("lang"), X.count_alone(F.col("t"), ["le", "ok", "dans"]).alias("n"))
+    plain = {i: f" {(t or '').lower()} " for i, t in made}
+    want = {i: ("fr" if sum(f" {w} " in t for w in V.FRENCH_WORDS) > 3 else "en", sum(f" {w} " in t for w in ("le", "ok", "dans"))) for i, t in plain.items()}
+    assert {r["id"]: (r["lang"], r["n"]) for r in found.collect()} == want
+    shown = df.select(X.detect_french("t", None))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in shown and "contains(" not in shown.lower()
