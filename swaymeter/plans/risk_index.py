@@ -109,6 +109,7 @@ def factors(exposure: DataFrame, profile: DataFrame, as_of: str | Column | None
                                             F.col("country")), F.lit(999)) if months else F.lit(999)
     else:
         clock = months_to_election("election_date", F.lit(as_of) if isinstance(as_of, str) else as_of)
+    profile = profile.persist()  # a row per country, for the grid and the figures
     grid = exposure_grid(exposure, profile).join(profile, "country")
     foothold = presence("debt", "mil", "res", "disinfo")
     return grid.select(

@@ -590,3 +590,28 @@ def test_fixed_tables():
     assert V.intent_aliases("display")["human rights advocacy"] == "LGBTQ"
     assert V.intent_aliases("score")["human rights advocacy"] == "SocialFragility"
     assert "economic" not in V.intent_aliases("context")
+
+
+def test_factors_read_the_profile_once(spark):
+    spark.catalog.clearCache()
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    profile = readers.country_profile(spark)
+    counted = profile.mapInPandas(count, profile.schema)
+    found = R.factors(readers.exposure(spark), counted, months={})
+    assert found.count() == R.factors(readers.exposure(spark), profile, months={}).count() > 0
+    assert seen.value == profile.count()
+    spark.catalog.clearCache()
+
+
+def test_order_lines_meet_orders_that_know_their_country(spark):
+    from catalog.views import view
+
+    lines = view(spark, "/root/testdata/sf0.001", "exposure")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {key: next(line.index("Join") for line in lines if "Join Inner" in line and key in line) for key in ("o_custkey", "l_orderkey")}
+    assert at["o_custkey"] > at["l_orderkey"]
