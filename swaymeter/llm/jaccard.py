@@ -1,9 +1,9 @@
 """Jaccard join of shingle sets by a token-group matrix, for the components of all links.
 
 1. Every text becomes the set of its distinct 5-word shingles, as 64-bit hashes; equal sets are one set from here on.
-2. Similar sets are partitioned into groups. Sets that share one of a few least hashes are compared with the least set of
-   their bucket and form a family with the least one that they are linked with. Families whose first sets share a least hash
-   are a group, cut where it would have more than MEMBERS families.
+2. Similar sets are partitioned into groups. Sets that share one of a few least hashes are a bucket. They are compared with
+   the most typical set of their bucket, the one whose buckets hold the most sets, and form a family with the most typical one
+   that they are linked with. Families whose first sets have the same fullest bucket are a group.
 3. The token-group matrix stores the union of each group's tokens. Two linked sets share a token among the rarest of either
    (for the shorter the first n - ceil(8n/9) + 1, for the longer the first n - ceil(4n/5) + 1 in one order of all tokens), so
    only these are stored and asked. A set whose tokens meet another group in the matrix, at a length that can link, is a
@@ -14,7 +14,9 @@
 5. Links between groups join them to components.
 
 A link inside a family changes no component, so none has to be written, and sets meet groups, not each other: many similar
-sets cost a row of the matrix per token and group, and a row per set and group, instead of a square of pairs.
+sets cost a row of the matrix per token and group, and a row per set and group, instead of a square of pairs. Copies around one
+text are one group, most of them in the family of the set nearest to it, so that their tokens meet few groups at any number of
+copies. A group may be of any size; where it is opened, its members and those that ask it are shared out over tasks.
 """
 
 from __future__ import annotations
@@ -45,10 +47,9 @@ ODD = (np.random.default_rng(13).integers(1, 1 << 63, KEYS, np.uint64) << np.uin
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Steps by which sets move on to the family of their family's first set.
 HOPS = 3
-#: Families of a group.
-MEMBERS = 256
-#: Tokens of a group's members that one task holds, and sets that are asked against them there.
-HELD_TOKENS, HELD_ASKED = 1 << 20, 4_096
+#: Members of a group and their tokens that one task holds, and sets that are asked against them there.
+MEMBERS = 1_024
+HELD_TOKENS, HELD_ASKED = 1 << 20, 1_024
 #: Ids that travel with every task to pick texts; beyond, texts and ids meet in an ordinary join.
 MAX_IDS = 1_000_000
 #: Bits of the longest signature of a set.
@@ -316,12 +317,12 @@ class _Group:
 
 
 class _Sets:
-    """The texts and the sets made of them: distinct sets as (sid, n, first_id), their tokens on demand."""
+    """The texts and the sets made of them: distinct sets as (sid, n, first_id, key0, key1 ...), their tokens on demand."""
 
     def __init__(self, docs: DataFrame, profile: DataFrame):
         self.docs = docs
         self.by_doc = profile.where("block is null").select("doc_id", "n", "sid", "keys", "bits")
-        self.distinct = stored(self.by_doc.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first(F.col("keys")[0]).alias("key")), "jaccard-sets")
+        self.distinct = stored(self.by_doc.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), *(F.first(F.col("keys")[k]).alias(f"key{k}") for k in range(KEYS))), "jaccard-sets")
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """(g, sid) of the pairs (g, only, sid) whose sets `only` and `sid` can be linked by their signatures."""
@@ -342,8 +343,8 @@ class _Sets:
 
     def links(self, members: DataFrame, asked: DataFrame) -> DataFrame:
         """Links (a, b) of sets `asked` (g, sid, family) with `members` (g, sid, family, n) of a group, as many as it takes to
-        join their families as all links do. Members of very many tokens are shared out, and so are the sets that ask a group."""
-        shares = members.groupBy("g").agg(F.ceil(F.sum("n") / HELD_TOKENS).cast("long").alias("parts"))
+        join their families as all links do. Very many members or tokens are shared out, and so are the sets that ask a group."""
+        shares = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / HELD_TOKENS), F.ceil(F.count(F.lit(1)) / MEMBERS)).cast("long").alias("parts"))
         load = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD_ASKED).cast("long").alias("turns"))
         plan = cut(shares.join(load, "g"))
         salt = lambda part, turn: (part * F.col("turns") + turn).alias("salt")
@@ -376,24 +377,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = _Sets(slim, profile)
 
     # families
-    rows = sets.by_doc.where("n > 0").select("sid", "n", F.posexplode("keys").alias("k", "key"))
-    buckets = rows.groupBy("k", "key").agg(F.min(F.struct("sid", "n")).alias("low"), F.max("sid").alias("high")).where(F.col("low.sid") < F.col("high"))
-    near = rows.join(buckets.select("k", "key", "low"), ["k", "key"]).where((F.col("sid") != F.col("low.sid")) & _similar(F.least("n", "low.n"), F.greatest("n", "low.n")))
-    near = sets.possible(near.select(F.col("low.sid").alias("g"), F.col("low.sid").alias("only"), "sid").distinct())
+    rows = sets.distinct.select("sid", "n", F.posexplode(F.array(*(f"key{k}" for k in range(KEYS)))).alias("k", "key"))
+    buckets = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    crowded = stored(rows.join(buckets, ["k", "key"]), "jaccard-buckets")
+    typical = cut(crowded.groupBy("sid").agg(F.sum("size").alias("score"), F.max(F.struct("size", "k", "key")).alias("fullest")))
+    ranked = crowded.join(typical.select("sid", "score"), "sid").select("k", "key", "sid", "n", "score")
+    centres = ranked.groupBy("k", "key").agg(F.max(F.struct("score", "sid", "n")).alias("centre"))
+    near = ranked.join(centres, ["k", "key"]).where((F.col("sid") != F.col("centre.sid")) & _similar(F.least("n", "centre.n"), F.greatest("n", "centre.n")))
+    near = sets.possible(near.select(F.col("centre.sid").alias("g"), F.col("centre.sid").alias("only"), "sid").distinct())
     near = cut(near.select("g", "sid", F.col("sid").alias("family")))
     first_sets = sets.distinct.select(F.col("sid").alias("g"), "sid", F.col("sid").alias("family"), "n")
     stars = cut(sets.links(first_sets.join(near.select("g").distinct(), "g", "left_semi"), near))
-    families = cut(stars.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("family")))
+    # a link leads from a set to a more typical one, so that no steps go in circles
+    above = stars.join(typical.select(F.col("sid").alias("b"), "score"), "b").groupBy(F.col("a").alias("sid")).agg(F.max(F.struct("score", "b")).alias("most"))
+    families = cut(above.select("sid", F.col("most.b").alias("family")))
     for _ in range(HOPS):
         hop = families.select(F.col("sid").alias("family"), F.col("family").alias("next"))
         families = cut(families.join(hop, "family", "left").select("sid", F.coalesce("next", "family").alias("family")))
 
     # groups of families
-    heads = families.join(sets.distinct.select(F.col("sid").alias("family"), F.col("key").alias("head_key")), "family")
-    placed = sets.distinct.join(heads, "sid", "left").select("sid", "first_id", "n", F.coalesce("family", "sid").alias("family"), F.coalesce("head_key", "key").alias("key"))
-    crowds = placed.where("sid = family").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("cuts"))
-    g = F.xxhash64("key", F.pmod(F.xxhash64("family"), F.col("cuts"))).alias("g")
-    placed = stored(placed.join(crowds, "key").select("sid", "first_id", "n", "family", g), "jaccard-groups")
+    placed = sets.distinct.join(families, "sid", "left").select("sid", "first_id", "n", F.coalesce("family", "sid").alias("family"))
+    crowds = typical.select(F.col("sid").alias("family"), F.xxhash64("fullest.k", "fullest.key").alias("crowd"))
+    placed = stored(placed.join(crowds, "family", "left").select("sid", "first_id", "n", "family", F.coalesce("crowd", "family").alias("g")), "jaccard-groups")
 
     # matrix
     order, hot = _order(profile)

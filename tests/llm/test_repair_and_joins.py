@@ -191,6 +191,25 @@ def test_jaccard_without_first_groups(spark, monkeypatch):
     assert rows(jaccard.op13_jaccard(spark.createDataFrame(texts, "doc_id long, text string"))) == plain.jaccard(texts)
 
 
+def test_jaccard_near_copies_meet_few_groups(spark, monkeypatch):
+    """Near copies of one text, many too far from it to be linked: each asks a group for each of the keys at most, and not one for
+    every MEMBERS copies."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(90)]
+    copy = lambda edits: " ".join("".join(rng.choices("abcdefgh", k=9)) if i in edits else w for i, w in enumerate(base))
+    texts = [(i, copy(set(rng.sample(range(90), rng.randint(1, 5))))) for i in range(400)]
+    real, asked_rows = jaccard._Sets.links, []
+
+    def links(self, members, asked):
+        asked_rows.append(asked.count())
+        return real(self, members, asked)
+
+    monkeypatch.setattr(jaccard, "MEMBERS", 16)
+    monkeypatch.setattr(jaccard._Sets, "links", links)
+    assert rows(jaccard.op13_jaccard(spark.createDataFrame(texts, "doc_id long, text string"))) == plain.jaccard(texts)
+    assert asked_rows[1] <= jaccard.KEYS * len(texts)
+
+
 def test_jaccard_of_the_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(QUERIES["op13_jaccard"](spark, SF)) == plain.jaccard(docs)
