@@ -8,9 +8,9 @@
    (for the shorter the first n - ceil(8n/9) + 1, for the longer the first n - ceil(4n/5) + 1 in one order of all tokens), so
    only these are stored and asked. A set whose tokens meet another group in the matrix, at a length that can link, is a
    candidate for it.
-4. A candidate's overlap with the group's whole union bounds its overlap with each member; only where it reaches 4/5 of the
-   set is the group opened and the members compared. (For a group of one set, a signature of a bit a token bounds the overlap
-   before any tokens are fetched.)
+4. Signatures of a bit a token bound the overlap of candidates and members before any tokens are fetched: only sets and members
+   that can be linked go on. Of these, a candidate's overlap with the group's whole union bounds its overlap with each member;
+   only where it reaches 4/5 of the set is the group opened and the members compared.
 5. Links between groups join them to components.
 
 A link inside a family changes no component, so none has to be written, and sets meet groups, not each other: many similar
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from swaymeter.llm.common import cut, quoted, stored
+from swaymeter.llm.common import cut, dropped, quoted, shuffles_freed, stored
 from swaymeter.llm.components import components
 
 SHINGLE = 5
@@ -50,6 +50,8 @@ HOPS = 3
 #: Members of a group and their tokens that one task holds, and sets that are asked against them there.
 MEMBERS = 1_024
 HELD_TOKENS, HELD_ASKED = 1 << 20, 1_024
+#: Times as many where a group is opened by signatures only, which have a bit for a token.
+SIGNED = 8
 #: Ids that travel with every task to pick texts; beyond, texts and ids meet in an ordinary join.
 MAX_IDS = 1_000_000
 #: Bits of the longest signature of a set.
@@ -121,6 +123,78 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], ["g", "sid"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, salt, asked, sid, family, n, bits), sorted, a group's members first: to rows (g, asked, sid) of sets that ask and
+    members of other families that can be linked by their signatures; a task writes no more rows than it reads."""
+    at, group = None, None
+    for batch in batches:
+        g, salt, asked, sid, family, n = (batch.column(k).to_pylist() for k in range(6))
+        out: list[tuple] = []
+        for i in range(batch.num_rows):
+            if (g[i], salt[i]) != at:
+                out += group.met() if group else []
+                at, group = (g[i], salt[i]), _Signed(g[i])
+            bits = batch.column(6)[i].as_py()
+            if not asked[i]:
+                group.add(sid[i], family[i], n[i], bits)
+            elif group.asks(family[i], n[i], bits):
+                out.append((g[i], True, sid[i]))
+        yield _kept(out)
+    yield _kept(group.met() if group else [])
+
+
+def _kept(rows: list[tuple]) -> pa.RecordBatch:
+    g, asked, sid = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(asked, pa.bool_()), pa.array(sid, pa.int64())], ["g", "asked", "sid"])
+
+
+class _Signed:
+    """A group's members by the width of their signatures, and which of them a set that asks can be linked with."""
+
+    def __init__(self, g: int):
+        self.g = g
+        self.waiting: dict[int, list[tuple]] = {}
+        self.members: dict[int, tuple[np.ndarray, ...]] = {}
+        self.hit: dict[int, np.ndarray] = {}
+        self.folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(self, name: int, family: int, n: int, bits: bytes) -> None:
+        self.waiting.setdefault(len(bits), []).append((name, family, n, bits))
+
+    def _close(self) -> None:
+        for width, rows in self.waiting.items():
+            self.members[width] = tuple(np.array([r[k] for r in rows], np.int64) for k in range(3))
+            self.hit[width] = np.zeros(len(rows), bool)
+            self.folded[width, width] = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
+        self.waiting.clear()
+
+    def asks(self, family: int, n: int, bits: bytes) -> bool:
+        """Whether a member of another family can be linked with the set: linked sets differ in at most a ninth of their tokens, and
+        so in the width of their signatures by a factor of 2 at most."""
+        if self.waiting:
+            self._close()
+        found, own = False, np.frombuffer(bits, np.uint64)
+        for width in (len(bits) // 2, len(bits), len(bits) * 2):
+            if width not in self.members:
+                continue
+            least = min(width, len(bits))
+            if (width, least) not in self.folded:
+                whole = self.folded[width, width]
+                self.folded[width, least] = np.bitwise_xor.reduce(whole.reshape(len(whole), -1, least // 8), axis=1)
+            _, families, sizes = self.members[width]
+            near = np.flatnonzero((families != family) & (5 * np.minimum(sizes, n) >= 4 * np.maximum(sizes, n)))
+            mine = np.bitwise_xor.reduce(own.reshape(-1, least // 8), axis=0)
+            differ = np.bitwise_count(self.folded[width, least][near] ^ mine).sum(axis=1, dtype=np.int64)
+            near = near[9 * differ <= sizes[near] + n]
+            self.hit[width][near] = True
+            found |= len(near) > 0
+        return found
+
+    def met(self) -> list[tuple]:
+        """The members that a set asked for."""
+        return [(self.g, False, name) for width, (names, _, _) in self.members.items() for name in names[self.hit[width]].tolist()]
+
+
 class _New:
     """Tells which sets a task has not met yet, as far as it remembers."""
 
@@ -316,6 +390,21 @@ class _Group:
         return family
 
 
+def _shared_out(members: DataFrame, asked: DataFrame, times: int) -> DataFrame:
+    """(g, salt, asked, sid, family): the members of each group and the sets that ask it, dealt over as many salts as hold them."""
+    shares = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / (times * HELD_TOKENS)), F.ceil(F.count(F.lit(1)) / (times * MEMBERS))).cast("long").alias("parts"))
+    load = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / (times * HELD_ASKED)).cast("long").alias("turns"))
+    plan = cut(shares.join(load, "g"))
+    salt = lambda part, turn: (part * F.col("turns") + turn).alias("salt")
+    spread = lambda c, n: F.pmod(F.xxhash64(c, F.lit(5)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    inside = members.join(plan, "g").select("g", "sid", "family", "turns", spread(F.col("sid"), F.col("parts")).alias("part"), every("turns").alias("turn"))
+    inside = inside.select("g", salt(F.col("part"), F.col("turn")), F.lit(False).alias("asked"), "sid", "family")
+    outside = asked.join(plan, "g").select("g", "sid", "family", "turns", spread(F.col("sid"), F.col("turns")).alias("turn"), every("parts").alias("part"))
+    outside = outside.select("g", salt(F.col("part"), F.col("turn")), F.lit(True).alias("asked"), "sid", "family")
+    return inside.unionByName(outside)
+
+
 class _Sets:
     """The texts and the sets made of them: distinct sets as (sid, n, first_id, key0, key1 ...), their tokens on demand."""
 
@@ -331,6 +420,16 @@ class _Sets:
         first = bits.select(F.col("sid").alias("only"), F.col("n").alias("g_n"), F.col("bits").alias("g_bits"))
         return pairs.join(bits, "sid").join(first, "only").select("g", "sid", "n", "g_n", "bits", "g_bits").mapInArrow(_possible, "g long, sid long")
 
+    def sifted(self, members: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of `members` and `asked`, as `links` takes them, those that can be linked by their signatures."""
+        rows = cut(_shared_out(members, asked, SIGNED))
+        wanted = rows.select("sid").distinct()
+        bits = self.by_doc.select("sid", "n", "bits").join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        full = rows.join(cut(bits), "sid").select("g", "salt", "asked", "sid", "family", "n", "bits")
+        kept = full.repartition("g", "salt").sortWithinPartitions("g", "salt", "asked").mapInArrow(_sifted, "g long, asked boolean, sid long")
+        kept = cut(kept.distinct())
+        return tuple(cut(df.join(kept.where(side).select("g", "sid"), ["g", "sid"], "left_semi")) for df, side in ((members, "not asked"), (asked, "asked")))
+
     def tokens(self, wanted: DataFrame) -> DataFrame:
         """(sid, tokens) of the sets `wanted` (sid), made again from the text of the first document of each."""
         ids = stored(self.distinct.join(wanted, "sid").select("sid", F.col("first_id").alias("id")), "jaccard-wanted")
@@ -344,19 +443,12 @@ class _Sets:
     def links(self, members: DataFrame, asked: DataFrame) -> DataFrame:
         """Links (a, b) of sets `asked` (g, sid, family) with `members` (g, sid, family, n) of a group, as many as it takes to
         join their families as all links do. Very many members or tokens are shared out, and so are the sets that ask a group."""
-        shares = members.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / HELD_TOKENS), F.ceil(F.count(F.lit(1)) / MEMBERS)).cast("long").alias("parts"))
-        load = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / HELD_ASKED).cast("long").alias("turns"))
-        plan = cut(shares.join(load, "g"))
-        salt = lambda part, turn: (part * F.col("turns") + turn).alias("salt")
-        spread = lambda c, n: F.pmod(F.xxhash64(c, F.lit(5)), n)
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        inside = members.join(plan, "g").select("g", "sid", "family", "turns", spread(F.col("sid"), F.col("parts")).alias("part"), every("turns").alias("turn"))
-        inside = inside.select("g", salt(F.col("part"), F.col("turn")), F.lit(False).alias("asked"), "sid", "family")
-        outside = asked.join(plan, "g").select("g", "sid", "family", "turns", spread(F.col("sid"), F.col("turns")).alias("turn"), every("parts").alias("part"))
-        outside = outside.select("g", salt(F.col("part"), F.col("turn")), F.lit(True).alias("asked"), "sid", "family")
-        rows = cut(inside.unionByName(outside))
-        full = rows.join(self.tokens(rows.select("sid").distinct()), "sid").select("g", "salt", "asked", "sid", "family", "tokens")
-        return full.repartition("g", "salt").sortWithinPartitions("g", "salt", "asked").mapInArrow(_opened, "a long, b long")
+        rows = cut(_shared_out(members, asked, 1))
+        tokens = self.tokens(rows.select("sid").distinct())
+        full = rows.join(tokens, "sid").select("g", "salt", "asked", "sid", "family", "tokens")
+        links = cut(full.repartition("g", "salt").sortWithinPartitions("g", "salt", "asked").mapInArrow(_opened, "a long, b long"))
+        dropped(tokens)
+        return links
 
 
 def _similar(least: Column, most: Column) -> Column:
@@ -373,9 +465,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     slim = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
     out = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n int, sid long, keys array<long>, bits binary, block int, counts binary").fields])
-    profile = stored(slim.mapInArrow(_Profile(to_arrow_schema(out)), out), "jaccard-profile")
-    sets = _Sets(slim, profile)
+    with shuffles_freed(docs.sparkSession):
+        profile = stored(slim.mapInArrow(_Profile(to_arrow_schema(out)), out), "jaccard-profile")
+        sets = _Sets(slim, profile)
+        ids = _components(slim, profile, sets)
+    plain = sets.by_doc.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid")
+    linked = plain.where("sid is not null").join(ids, "sid").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    return linked.unionByName(plain.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
+
+def _components(slim: DataFrame, profile: DataFrame, sets: _Sets) -> DataFrame:
+    """(sid, component) of every set: the least id of a document in its component."""
     # families
     rows = sets.distinct.select("sid", "n", F.posexplode(F.array(*(f"key{k}" for k in range(KEYS)))).alias("k", "key"))
     buckets = rows.groupBy("k", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -387,7 +487,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = sets.possible(near.select(F.col("centre.sid").alias("g"), F.col("centre.sid").alias("only"), "sid").distinct())
     near = cut(near.select("g", "sid", F.col("sid").alias("family")))
     first_sets = sets.distinct.select(F.col("sid").alias("g"), "sid", F.col("sid").alias("family"), "n")
-    stars = cut(sets.links(first_sets.join(near.select("g").distinct(), "g", "left_semi"), near))
+    stars = sets.links(first_sets.join(near.select("g").distinct(), "g", "left_semi"), near)
     # a link leads from a set to a more typical one, so that no steps go in circles
     above = stars.join(typical.select(F.col("sid").alias("b"), "score"), "b").groupBy(F.col("a").alias("sid")).agg(F.max(F.struct("score", "b")).alias("most"))
     families = cut(above.select("sid", F.col("most.b").alias("family")))
@@ -402,7 +502,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # matrix
     order, hot = _order(profile)
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+    sent = slim.sparkSession.sparkContext.broadcast(order)
     rarest = slim.mapInArrow(_Rarest(sent, hot), "token long, salt int, hot boolean, sid long, n int, stored boolean")
     of_token = Window.partitionBy("token", "salt").orderBy("sid")
     other = (F.lag("sid").over(of_token) != F.col("sid")) | (F.lead("sid").over(of_token) != F.col("sid"))
@@ -420,17 +520,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # members of the groups asked, and links between families
     members = cut(placed.join(candidates.select("g").distinct(), "g", "left_semi").select("g", "sid", "family", "n"))
-    found = sets.links(members, candidates).unionByName(stars)
+    found = sets.links(*sets.sifted(members, candidates)).unionByName(stars)
     by = lambda c: placed.select(F.col("sid").alias(c), F.col("family").alias(f"f_{c}"))
     joined = components(found.join(by("a"), "a").join(by("b"), "b").select(F.col("f_a").alias("a"), F.col("f_b").alias("b")).where("a != b").distinct())
 
     # components
     rooted = cut(placed.join(joined.withColumnRenamed("node", "family"), "family", "left").select("sid", "first_id", F.coalesce("root", "family").alias("root")))
     firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    ids = cut(rooted.join(firsts, "root").select("sid", "component"))
-    plain = sets.by_doc.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sid")
-    linked = plain.where("sid is not null").join(ids, "sid").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return linked.unionByName(plain.where("sid is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return cut(rooted.join(firsts, "root").select("sid", "component"))
 
 
 def op13_jaccard(docs: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -210,6 +212,61 @@ def test_jaccard_near_copies_meet_few_groups(spark, monkeypatch):
     assert asked_rows[1] <= jaccard.KEYS * len(texts)
 
 
+def test_jaccard_opens_only_for_sets_that_can_be_linked(spark, monkeypatch):
+    """Families that share most of a passage but are not linked meet in the matrix; their signatures tell them apart, and no tokens
+    are fetched for them."""
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(81)]
+    texts = []
+    for _ in range(30):
+        own = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(19)]
+        texts += [" ".join(passage + own[: 19 - k]) for k in range(3)]
+    texts = list(enumerate(texts))
+    real, fetched = jaccard._Sets.tokens, []
+
+    def tokens(self, wanted):
+        fetched.append(wanted.count())
+        return real(self, wanted)
+
+    monkeypatch.setattr(jaccard._Sets, "tokens", tokens)
+    assert rows(jaccard.op13_jaccard(spark.createDataFrame(texts, "doc_id long, text string"))) == plain.jaccard(texts)
+    assert fetched[1] < len(texts) // 3
+
+
+def test_jaccard_sifts_no_link(spark):
+    """Sets and members that are linked stay, at any width of the signatures and however groups are shared out."""
+    rng = random.Random(8)
+    sides = []
+    for k in range(120):
+        n = rng.choice([3, 63, 64, 66, 127, 130, 1000])
+        a = np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        b = np.sort(a[: max(1, (9 * len(a) + 9) // 10)]) if k % 3 else np.unique(np.array([rng.getrandbits(64) for _ in range(n)], np.uint64))
+        sides.append((k, a, b))
+    group = jaccard._Signed(7)
+    for k, a, _ in sides:
+        group.add(k, k, len(a), jaccard.signature(a))
+    for _, _, b in sides:
+        linked = [i for i, a, _ in sides if 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))]
+        assert group.asks(-1, len(b), jaccard.signature(b)) >= bool(linked)
+        assert {(7, False, i) for i in linked} <= set(group.met())
+
+
+def test_jaccard_leaves_no_shuffle_files(spark):
+    """The shuffle files of a step go when it ends, not when the driver collects its garbage, and the tokens fetched go too."""
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, before = spark.conf.get(name, None), files()
+    jaccard.op13_jaccard(spark.createDataFrame(list(enumerate(t for _, t in similar_texts())), "doc_id long, text string"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.5)
+    assert not files() - before
+    assert spark.conf.get(name, None) == was
+
+
 def test_jaccard_of_the_tables(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     assert rows(QUERIES["op13_jaccard"](spark, SF)) == plain.jaccard(docs)
