@@ -296,6 +296,38 @@ def test_calibrator_against_pooling(spark):
     assert all(r.p0 <= r.p1 for r in table)
 
 
+def test_calibrated_probabilities_of_unrounded_scores(spark, tmp_path):
+    """Scores of one class within a hundredth of each other keep their own places in the fit."""
+    from catalog import load
+
+    rng = np.random.default_rng(9)
+    vectors = (rng.normal(size=(40, 64)) / 100).astype(np.float32)
+    vectors[1], labels = vectors[0], [int(x) for x in rng.integers(0, 8, 40)]
+    spark.createDataFrame([(i, [float(x) for x in v], k) for i, (v, k) in enumerate(zip(vectors, labels))],
+                          "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    powers = np.exp(vectors.astype(float).reshape(40, 8, 8) * 4)
+    scores = (powers / powers.sum(axis=2, keepdims=True)).mean(axis=1).round(12)
+    assert all(len(set(scores[:, c])) == 39 and len(set(scores[:, c].round(2))) < 6 for c in range(8))
+    raw = np.zeros((40, 8))
+    for c in range(8):
+        for i, s in enumerate(scores[:, c]):
+            p0, p1 = (fit_with_extra(scores[:, c], [k == c for k in labels], s, extra) for extra in (0, 1))
+            raw[i, c] = p1 / (p0 + p1 + 1e-15)
+    want = raw / raw.sum(axis=1, keepdims=True)
+    got = load()["calibrated_probabilities"][0](spark, str(tmp_path)).collect()
+    assert len(got) == 320
+    for row in got:
+        assert row.prob == pytest.approx(want[row.article_id, row["class"]], abs=1e-6)
+
+
+def fit_with_extra(scores, hits, at, extra):
+    """The isotonic fit at the score `at` with one extra point there; equal scores form one point."""
+    pairs = sorted([(float(b), int(h)) for b, h in zip(scores, hits)] + [(float(at), extra)])
+    places = sorted({b for b, _ in pairs})
+    ys = [[h for x, h in pairs if x == b] for b in places]
+    return weighted_pava([sum(y) / len(y) for y in ys], [len(y) for y in ys])[places.index(at)]
+
+
 def weighted_pava(y, w):
     blocks = []
     for v, n in zip(y, w):
