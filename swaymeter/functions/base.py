@@ -88,15 +88,15 @@ def holds_any(text: Column, terms: Iterable[str]) -> Column:
     return found(text)
 
 
-def contains_any(c: ColumnOrName, terms: Iterable[str]) -> Column:
+def contains_any(c: ColumnOrName, terms: Iterable[str], in_engine: bool = False) -> Column:
     """True if the text holds one of the terms, ignoring case. NULL text gives NULL.
 
-    The text is folded once; plain searches for the terms end at the first hit.
+    The text is folded once; plain searches for the terms end at the first hit. `in_engine` keeps long lists out of Python too.
     """
     words = shortest_terms(terms)
     if not words:
         return F.lit(False)
-    if len(words) > FEW_TERMS:
+    if len(words) > FEW_TERMS and not in_engine:
         return holds_any(F.upper(col(c)), words)
     return bind(F.upper(col(c)), lambda t: any_of(F.contains(t, F.lit(w)) for w in words))
 

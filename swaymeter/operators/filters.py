@@ -26,7 +26,7 @@ def matching(df: DataFrame, country: str | None = None, actor: str | None = None
 
 def without_words(df: DataFrame, words: Iterable[str], text: ColumnOrName = "article_text") -> DataFrame:
     """Drop rows whose text holds one of the words; rows without a text stay."""
-    return df.filter(~F.coalesce(contains_any(text, words), F.lit(False)))
+    return df.filter(~F.coalesce(contains_any(text, words, in_engine=True), F.lit(False)))
 
 
 def monitored(country: ColumnOrName = "target_country") -> Column:
